@@ -94,15 +94,82 @@ FROM {lineitem}
 
 FILES = """
 SELECT source AS artifact_id,
-       lang || '/' || CAST(doc_id AS STRING) || CASE doc_id % 11
+       lang || '-' || CAST(doc_id AS STRING) || CASE doc_id % 11
          WHEN 0 THEN '.gguf' WHEN 1 THEN '.safetensors' WHEN 2 THEN '.onnx' WHEN 3 THEN '.bin' WHEN 4 THEN '.pkl'
          WHEN 5 THEN '.py' WHEN 6 THEN '.json' WHEN 7 THEN '.H5' WHEN 8 THEN '.so' WHEN 9 THEN '.sh' ELSE '' END AS path,
        text,
-       CAST(octet_length(encode(text)) AS BIGINT) AS size
+       CAST(length(text) AS BIGINT) AS size
 FROM {documents}
 """
 
 
+RAW_KV = """
+SELECT 'm' || CAST(c_custkey AS STRING) AS artifact_id, 'general.name' AS key, c_name AS value FROM {customer}
+UNION ALL SELECT 'm' || CAST(c_custkey AS STRING), 'general.architecture',
+  CASE c_nationkey % 4 WHEN 0 THEN 'llama' WHEN 1 THEN 'qwen2' WHEN 2 THEN 'bert' ELSE '' END FROM {customer}
+UNION ALL SELECT 'm' || CAST(c_custkey AS STRING), 'general.file_type', CAST(c_nationkey * 2 AS STRING) FROM {customer}
+UNION ALL SELECT 'm' || CAST(c_custkey AS STRING), 'general.quantization_version', CAST(c_nationkey % 3 AS STRING) FROM {customer}
+UNION ALL SELECT 'm' || CAST(c_custkey AS STRING), 'general.license',
+  CASE c_mktsegment WHEN 'BUILDING' THEN 'apache 2.0' WHEN 'MACHINERY' THEN 'llama3' WHEN 'FURNITURE' THEN 'House Terms/1' ELSE '' END FROM {customer}
+UNION ALL SELECT 'm' || CAST(c_custkey AS STRING), 'general.license.name', 'mit' FROM {customer} WHERE c_mktsegment = 'HOUSEHOLD'
+UNION ALL SELECT 'm' || CAST(c_custkey AS STRING), 'general.repo_url', 'https://huggingface.co/org' || CAST(c_nationkey AS STRING) || '/model' FROM {customer}
+UNION ALL SELECT 'm' || CAST(c_custkey AS STRING), 'general.size_label', CAST(c_nationkey AS STRING) || 'B' FROM {customer}
+UNION ALL SELECT 'm' || CAST(c_custkey AS STRING), 'general.alignment', CAST(c_custkey AS STRING) FROM {customer}
+UNION ALL SELECT 'm' || CAST(c_custkey AS STRING), 'tokenizer.chat_template',
+  CASE c_mktsegment WHEN 'BUILDING' THEN '{% if x %}' WHEN 'MACHINERY' THEN '{' || '{ x }}' WHEN 'FURNITURE' THEN '{' || '{ x.__class__ }}' ELSE 'plain' END FROM {customer}
+UNION ALL SELECT 'm' || CAST(o_custkey AS STRING), 'llama.block.' || CAST(o_orderkey AS STRING), o_orderstatus FROM {orders}
+UNION ALL SELECT 'm' || CAST(o_custkey AS STRING), 'llama.vocab_size.' || CAST(o_orderkey AS STRING), '32000' FROM {orders}
+UNION ALL SELECT 'm' || CAST(o_custkey AS STRING),
+  'general.base_model.' || CAST(o_orderkey AS STRING) || CASE o_orderstatus WHEN 'F' THEN '.name' WHEN 'O' THEN '.repo_url' ELSE '.organization' END,
+  CASE o_orderpriority WHEN '5-LOW' THEN '' ELSE 'base' || CAST(o_custkey AS STRING) END FROM {orders}
+UNION ALL SELECT 'm' || CAST(o_custkey AS STRING), 'general.base_model.' || CAST(o_orderkey AS STRING) || '.doi',
+  '10.1/' || CAST(o_orderkey AS STRING) FROM {orders} WHERE o_orderpriority IN ('1-URGENT', '2-HIGH')
+"""
+
+DRIFT_ROWS = f"""
+SELECT 'm' || CAST(o_orderkey AS STRING) AS artifact_id,
+       CASE o_orderkey % 3 WHEN 0 THEN 'gguf' WHEN 1 THEN 'safetensors' ELSE 'onnx' END AS format,
+       'weights.' || o_orderstatus AS primary_path,
+       CASE o_custkey % 2 WHEN 0 THEN 'config.json' ELSE '' END AS declared_source,
+       CASE o_custkey % 4 WHEN 0 THEN 'LlamaForCausalLM' WHEN 1 THEN 'Qwen2ForCausalLM' WHEN 2 THEN '' ELSE 'BertModel' END AS declared_architecture,
+       CASE o_orderstatus WHEN 'F' THEN 'llama' WHEN 'O' THEN 'qwen2' ELSE '' END AS architecture,
+       CASE o_custkey % 5 WHEN 0 THEN 'bfloat16' WHEN 1 THEN 'Float16' WHEN 2 THEN 'float32' WHEN 3 THEN '' ELSE 'I8' END AS declared_dtype,
+       CASE o_orderkey % 4 WHEN 0 THEN 'BF16' WHEN 1 THEN 'F16' WHEN 2 THEN 'f32' ELSE '' END AS dtype,
+       CASE o_custkey % 3 WHEN 0 THEN 'Q4_K_M' WHEN 1 THEN ' q4_k_m ' ELSE '' END AS declared_quantization,
+       CASE o_orderkey % 3 WHEN 0 THEN 'Q4_K_M' WHEN 1 THEN 'Q8_0' ELSE '' END AS quantization,
+       CASE o_custkey % 7 WHEN 0 THEN CAST({CENTS} AS STRING) WHEN 1 THEN '30M' WHEN 2 THEN '22,000_000' WHEN 3 THEN 'large'
+         WHEN 4 THEN '-3B' WHEN 5 THEN ' 0.02b ' ELSE '' END AS declared_parameter_count,
+       CASE o_orderstatus WHEN 'F' THEN '25M' ELSE '' END AS size_label,
+       {CENTS} AS measured_parameters,
+       CAST(o_custkey % 4 AS INT) AS declared_shards,
+       CAST(o_orderkey % 4 AS INT) AS present_shards,
+       CAST(o_orderkey % 2 AS INT) AS peer_count,
+       'a.bin' AS first_peer
+FROM {{orders}}
+"""
+
+PRICED_ORDERS = """
+SELECT 'm' || CAST(o_orderkey AS STRING) AS artifact_id, 'onnx' AS format, 'orders' AS declared_source,
+       CAST(CAST(floor(o_totalprice) AS BIGINT) AS STRING) AS declared_parameter_count,
+       measured_parameters
+FROM {orders} JOIN (
+  SELECT l_orderkey, CAST(floor(CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)
+         * (100 - CAST(round(l_discount * 100) AS BIGINT)) * (100 + CAST(round(l_tax * 100) AS BIGINT))) AS DOUBLE) / 1000000.0) AS BIGINT)
+         AS measured_parameters
+  FROM {lineitem} GROUP BY l_orderkey) x ON o_orderkey = l_orderkey
+"""
+
+SHARD_INDEX = """
+SELECT 'm' || CAST(l_orderkey AS STRING) AS artifact_id, 'shard-' || CAST(l_linenumber AS STRING) AS path FROM {lineitem}
+"""
+
+SHARD_FILES = """
+SELECT 'm' || CAST(l_orderkey AS STRING) AS artifact_id, 'shard-' || CAST(l_linenumber AS STRING) AS path,
+       l_partkey * 1024 AS size
+FROM {lineitem} WHERE l_returnflag <> 'R'
+"""
+
+
 def sql_for_duckdb(text: str) -> str:
     """The same text with table names DuckDB knows."""
     return re.sub(r"\{(\w+)\}", r"\1", text)

@@ -22,7 +22,7 @@ def build_session(cores: str = "*", shuffle_partitions: int | None = None, app:
         builder = builder.config(key, value)
     if shuffle_partitions is not None:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-    spark = builder.config("spark.ui.enabled", "false").config("spark.driver.memory", "12g").getOrCreate()
+    spark = builder.config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.driver.memory", "12g").getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
