@@ -35,7 +35,19 @@ def _prepared(rows: DataFrame) -> DataFrame:
     missing = {n: F.lit(None).cast(t) for n, t in INPUTS.items() if n not in rows.columns}
     rows = rows.withColumns(missing) if missing else rows
     texts = {n: nullif_empty(F.col(n)) for n, t in INPUTS.items() if t == "string"}
-    return rows.withColumns(texts)
+    # counts are columns of their own, so that each label is parsed once however often it is used
+    counts = {
+        "_first_count": S.parse_count(F.col("declared_parameter_count")),
+        "_second_count": S.parse_count(F.col("size_label")),
+    }
+    first_known = F.coalesce(F.col("_first_count") > 0, F.lit(False))
+    chosen = {
+        "_declared_count": F.when(first_known, F.col("_first_count")).otherwise(F.col("_second_count")),
+        "_declared_label": F.when(first_known, F.col("declared_parameter_count")).otherwise(F.col("size_label")),
+    }
+    measured, declared = F.col("measured_parameters"), F.col("_declared_count")
+    ratio = F.when((measured > 0) & (declared > 0), measured.cast("double") / declared.cast("double"))
+    return rows.withColumns(texts).withColumns(counts).withColumns(chosen).withColumn("_ratio", ratio)
 
 
 def _finding(number: int, severity: str, title: str, location: Column, detail: Column) -> Column:
@@ -117,22 +129,15 @@ def mixed_format_cases() -> list[tuple[Column, Column]]:
 
 
 def parameter_cases() -> list[tuple[Column, Column]]:
-    first, second = F.col("declared_parameter_count"), F.col("size_label")
-    first_count, second_count = S.parse_count(first), S.parse_count(second)
-    first_known = F.coalesce(first_count > 0, F.lit(False))
-    declared = F.when(first_known, first_count).otherwise(second_count)
-    label = F.when(first_known, first).otherwise(second)
-    measured = F.col("measured_parameters")
-    usable = (measured > 0) & (declared > 0)
-    ratio = F.when(usable, measured.cast("double") / declared.cast("double"))
-    outside = usable & ~((ratio > BAND[0]) & (ratio < BAND[1]))
+    ratio = F.col("_ratio")
+    outside = ratio.isNotNull() & ~((ratio > BAND[0]) & (ratio < BAND[1]))
     detail = F.concat(
         F.lit("declared "),
-        label,
+        F.col("_declared_label"),
         F.lit(" ("),
-        S.human_count(declared),
+        S.human_count(F.col("_declared_count")),
         F.lit("), measured "),
-        S.human_count(measured),
+        S.human_count(F.col("measured_parameters")),
         F.lit(", factor "),
         F.format_string("%.1f", S.max_ratio(ratio)),
     )

@@ -177,7 +177,9 @@ def sql_for_duckdb(text: str) -> str:
 
 def read(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
     """Run an adapter text on the parquet files of ``sf_dir``."""
-    return spark.sql(re.sub(r"\{(\w+)\}", lambda m: f"parquet.`{sf_dir}/{m.group(1)}.parquet`", text))
+    for name in set(re.findall(r"\{(\w+)\}", text)):
+        table(spark, sf_dir, name).createOrReplaceTempView(f"fleetrisk_{name}")
+    return spark.sql(re.sub(r"\{(\w+)\}", r"fleetrisk_\1", text))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
