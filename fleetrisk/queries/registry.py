@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import detect, gate, measure
+from . import detect, gate, measure, platform
 
-MODULES = [gate, measure, detect]
+MODULES = [gate, measure, detect, platform]
 
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}

@@ -170,6 +170,182 @@ FROM {lineitem} WHERE l_returnflag <> 'R'
 """
 
 
+MODEL_FILES = """
+SELECT source AS artifact_id, 'd' || CAST(doc_id AS STRING) AS path, SHA256(text) AS sha256,
+       CASE WHEN lang = 'de' THEN 'F' || SHA256(text) ELSE '' END AS sha384, CAST(length(text) AS BIGINT) AS size
+FROM {documents}
+"""
+
+# a document lists the labelled files of its source, some of them wrongly, and some that do not exist
+DOC_FILES = """
+SELECT 'bom-' || source AS doc_id, 'd' || CAST(d.doc_id AS STRING) AS path,
+       CASE WHEN toxic = 1 THEN SHA256(lang) WHEN lang = 'en' THEN upper(SHA256(text)) WHEN lang = 'fr' AND quality = 0 THEN '' ELSE SHA256(text) END AS sha256,
+       CASE WHEN lang = 'de' AND quality = 1 THEN 'f' || SHA256(text) ELSE '' END AS sha384,
+       CASE WHEN quality = 0 THEN CAST(length(text) + 1 AS BIGINT) WHEN quality = 1 THEN CAST(length(text) AS BIGINT) END AS size
+FROM {documents} d JOIN {labels} l ON d.doc_id = l.doc_id
+UNION ALL
+SELECT 'bom-src' || CAST(item_id % 20 AS STRING), 'bench' || CAST(item_id AS STRING), SHA256(text), '', CAST(length(text) AS BIGINT) FROM {benchmark}
+"""
+
+DOCS = """
+SELECT 'bom-' || source AS doc_id, source AS artifact_id, upper(source) AS model_name,
+       CASE WHEN count(*) % 2 = 0 THEN '1.0' ELSE '' END AS version,
+       min(lang) AS architecture, CASE WHEN min(doc_id) % 3 = 0 THEN 'Q4' ELSE '' END AS quantization,
+       'bf16' AS dtype, CAST(sum(n_chars) AS STRING) AS parameters
+FROM {documents} GROUP BY source
+"""
+
+MODELS = """
+SELECT source AS artifact_id, source AS name, CASE WHEN min(doc_id) % 4 = 0 THEN '1.0' WHEN min(doc_id) % 4 = 1 THEN '2.0' ELSE '' END AS version,
+       upper(min(lang)) AS architecture, CASE WHEN min(doc_id) % 2 = 0 THEN 'Q8' ELSE '' END AS quantization,
+       '' AS dtype, CAST(sum(n_chars) + min(doc_id) % 2 AS BIGINT) AS measured_parameters
+FROM {documents} GROUP BY source
+"""
+
+BUNDLE_MEMBERS = """
+SELECT source AS manifest_id, doc_id AS ord,
+       CASE WHEN lang = 'es' AND doc_id % 9 = 0 THEN '../' ELSE '' END || 'd' || CAST(doc_id AS STRING) AS name,
+       CAST(length(text) AS BIGINT) AS size, SHA256(text) AS sha256, SHA256(lang) AS sha512,
+       CASE WHEN lang = 'fr' AND doc_id % 7 = 0 THEN 'link' ELSE 'file' END AS kind
+FROM {documents}
+UNION ALL SELECT DISTINCT source, 120, 'manifest.json', 0, '', '', 'file' FROM {documents} WHERE source <> 'src3'
+"""
+
+BUNDLE_ENTRIES = """
+SELECT source AS manifest_id, 'd' || CAST(d.doc_id AS STRING) AS path,
+       CAST(length(text) + quality AS BIGINT) AS size, CASE WHEN toxic = 1 THEN SHA256(lang) ELSE SHA256(text) END AS sha256, SHA256(lang) AS sha512
+FROM {documents} d JOIN {labels} l ON d.doc_id = l.doc_id
+UNION ALL SELECT 'src' || CAST(item_id % 20 AS STRING), 'bench' || CAST(item_id AS STRING), 1, '', '' FROM {benchmark}
+"""
+
+BUNDLE_MANIFESTS = """
+SELECT source AS manifest_id, CASE source WHEN 'src5' THEN 2 ELSE 1 END AS format_version,
+       CASE source WHEN 'src1' THEN '' ELSE 'rule-pack' END AS kind, CASE source WHEN 'src2' THEN '' ELSE source END AS name,
+       CASE source WHEN 'src4' THEN '' ELSE '2026-01-01T00:00:00Z' END AS created_at
+FROM (SELECT DISTINCT source FROM {documents}) s
+"""
+
+BUNDLE_SOURCES = """
+SELECT source AS manifest_id, lang AS name, CASE WHEN source = 'src6' AND lang = 'en' THEN '' ELSE '2026-01-01' END AS retrieved_at
+FROM (SELECT DISTINCT source, lang FROM {documents}) s
+"""
+
+COMPONENT_FILES = """
+SELECT 'm' || CAST(o_custkey AS STRING) AS artifact_id,
+       'f' || CAST(o_orderkey AS STRING) || CASE o_orderkey % 5 WHEN 0 THEN '.safetensors' ELSE '' END AS path,
+       CASE o_orderkey % 4 WHEN 0 THEN 'shard' WHEN 1 THEN 'external-data' WHEN 2 THEN 'primary' ELSE 'shard' END AS role,
+       o_orderkey + 1 AS size,
+       CASE o_orderstatus WHEN 'P' THEN '' ELSE SHA256(o_orderstatus) END AS sha256,
+       CASE o_orderstatus WHEN 'F' THEN SHA256(o_orderpriority) ELSE '' END AS sha384,
+       CASE o_orderstatus WHEN 'O' THEN SHA256(o_orderpriority) ELSE '' END AS sha512
+FROM {orders}
+"""
+
+LICENSE_ROWS = """
+SELECT 'm' || CAST(o_custkey AS STRING) AS artifact_id, o_orderkey AS ord,
+       CASE o_orderkey % 4 WHEN 0 THEN 'house' WHEN 1 THEN '' WHEN 2 THEN 'mit' ELSE 'terms' END AS raw,
+       CASE o_orderkey % 8 WHEN 2 THEN 'MIT' ELSE '' END AS spdx_id
+FROM {orders} WHERE o_orderstatus = 'F'
+"""
+
+DATASET_ROWS = """
+SELECT 'm' || CAST(o_custkey AS STRING) AS artifact_id, o_orderkey AS ord, 'ds' || CAST(o_orderkey AS STRING) AS name
+FROM {orders} WHERE o_orderstatus = 'O'
+"""
+
+DOMAIN_ROWS = """
+SELECT DISTINCT 'm' || CAST(o_custkey AS STRING) AS artifact_id, 'dom' || CAST(o_orderkey % 5 AS STRING) AS domain
+FROM {orders} WHERE o_orderpriority = '1-URGENT'
+"""
+
+PROFILES = """
+SELECT 'm' || CAST(c_custkey AS STRING) AS artifact_id, c_name AS name,
+       CASE c_nationkey % 2 WHEN 0 THEN '1.0' ELSE '' END AS version,
+       CASE c_nationkey % 3 WHEN 0 THEN 'dev@example.org' WHEN 1 THEN 'dev' ELSE '' END AS author,
+       CASE c_nationkey % 4 WHEN 0 THEN 'org' ELSE '' END AS organization,
+       CASE c_nationkey % 5 WHEN 0 THEN 'about' ELSE '' END AS description,
+       CASE c_nationkey % 6 WHEN 0 THEN 'uuid-' || CAST(c_custkey AS STRING) ELSE '' END AS uuid,
+       CASE c_nationkey % 7 WHEN 0 THEN 'https://example.org/' || CAST(c_custkey AS STRING) ELSE '' END AS url,
+       CASE c_nationkey % 5 WHEN 1 THEN 'https://huggingface.co/o/' || CAST(c_custkey AS STRING) ELSE '' END AS repo_url,
+       CASE c_nationkey % 8 WHEN 0 THEN 'doi:10.1/' || CAST(c_custkey AS STRING) ELSE '' END AS doi,
+       CASE c_nationkey % 3 WHEN 0 THEN 'llama' ELSE '' END AS architecture,
+       CASE c_nationkey % 4 WHEN 1 THEN 'Q4_0' ELSE '' END AS quantization,
+       CASE c_nationkey % 9 WHEN 0 THEN '' ELSE 'gguf/ggml' END AS framework,
+       CASE c_nationkey % 10 WHEN 1 THEN 'maker' ELSE '' END AS producer,
+       CASE c_mktsegment WHEN 'BUILDING' THEN 'gguf' WHEN 'MACHINERY' THEN 'onnx' ELSE 'safetensors' END AS format,
+       CASE c_nationkey % 2 WHEN 0 THEN 'tpl' ELSE '' END AS chat_template,
+       CASE WHEN c_nationkey % 3 = 1 THEN CAST(c_custkey AS BIGINT) END AS measured_parameters,
+       c_nationkey
+FROM {customer}
+"""
+
+EVIDENCE = """
+SELECT 'm' || CAST(c_custkey AS STRING) AS artifact_id, c_mktsegment AS profile,
+       c_nationkey <> 3 AS scan_complete, CASE c_nationkey % 4 WHEN 0 THEN 'Unknown' WHEN 1 THEN '' ELSE 'Approved' END AS verdict,
+       c_custkey % 2 = 0 AS risk_scored, c_custkey % 3 <> 0 AS security_scanned, c_custkey % 5 <> 0 AS secrets_scanned,
+       c_custkey % 7 <> 0 AS sbom_generated, c_custkey % 4 <> 0 AS aibom_generated, c_custkey % 6 = 0 AS signature_verified,
+       CASE WHEN c_acctbal > 0 THEN 'p' ELSE '' END AS policy_ref, c_custkey % 8 <> 0 AS inventoried,
+       c_custkey % 9 = 0 AS continuous_monitoring, c_custkey % 2 = 1 AS admission_enforcing,
+       c_custkey % 3 = 0 AS residual_risks_documented, c_custkey % 11 = 0 AS bias_evaluated
+FROM {customer}
+"""
+
+ATTESTATIONS = """
+SELECT 'm' || CAST(o_custkey AS STRING) AS artifact_id,
+       CASE o_orderkey % 6 WHEN 0 THEN 'GOVERN 1.1' WHEN 1 THEN 'MAP 2.1' WHEN 2 THEN 'MEASURE 2.7' WHEN 3 THEN 'MANAGE 1.1' WHEN 4 THEN 'GOVERN 2.1' ELSE 'NO 1' END AS control_id,
+       o_orderkey AS ord, CASE o_orderstatus WHEN 'P' THEN ' ' ELSE 'stated' END AS statement,
+       CASE o_orderpriority WHEN '1-URGENT' THEN '' ELSE 'person' END AS attested_by,
+       CASE o_orderpriority WHEN '5-LOW' THEN NULL ELSE o_orderdate END AS expires_at
+FROM {orders}
+"""
+
+SCOPE = """
+SELECT profile, 'GOVERN 2.2' AS control_id, CASE profile WHEN 'BUILDING' THEN ' ' ELSE 'no suppliers' END AS justification
+FROM (SELECT DISTINCT c_mktsegment AS profile FROM {customer} WHERE c_mktsegment <> 'HOUSEHOLD') s
+"""
+
+SIGNED_FILES = """
+SELECT DISTINCT 'm' || CAST(l_orderkey AS STRING) AS artifact_id,
+       CASE l_partkey % 14 WHEN 0 THEN 'w.bin' WHEN 1 THEN 'w.bin.sig' WHEN 2 THEN 'w.bin.pem' WHEN 3 THEN 'w.bin.crt' WHEN 4 THEN 'd/Model.sig'
+         WHEN 5 THEN 'x.pkl.sigstore.json' WHEN 6 THEN 'x.pkl' WHEN 7 THEN 'y.cosign.bundle' WHEN 8 THEN 'z.SIGSTORE' WHEN 9 THEN 'q.safetensors'
+         WHEN 10 THEN '.bundle' WHEN 11 THEN 'd/v.pt' WHEN 12 THEN 'd/v.pt.sig' ELSE 'readme.md' END AS path
+FROM {lineitem}
+"""
+
+OUTCOMES = """
+SELECT 'm' || CAST(o_orderkey AS STRING) AS artifact_id, 's' AS sig_path, o_orderstatus <> 'P' AS valid, o_orderstatus = 'O' AND o_custkey % 4 = 0 AS failed,
+       'signer' || CAST(o_custkey AS STRING) AS signer, split('w.bin,x.pkl', ',') AS covered,
+       CASE o_custkey % 5 WHEN 0 THEN 'no Matching Certificate found' WHEN 1 THEN 'subject MISMATCH' WHEN 2 THEN 'certificate expired'
+         WHEN 3 THEN 'subject only' ELSE 'bad signature' END AS message
+FROM {orders}
+"""
+
+STATEMENTS = """
+SELECT source AS artifact_id, 'model.sig' AS sig_path, CASE WHEN toxic = 1 THEN 'gone' ELSE 'd' END || CAST(d.doc_id AS STRING) AS name,
+       CASE WHEN quality = 0 THEN upper(SHA256(text)) WHEN lang = 'de' AND toxic = 0 THEN NULL WHEN lang = 'es' THEN SHA256(lang) ELSE SHA256(text) END AS sha256
+FROM {documents} d JOIN {labels} l ON d.doc_id = l.doc_id
+"""
+
+URIS = "SELECT CAST(page_id AS STRING) AS artifact_id, url AS uri FROM {pages}"
+
+PUBLISHERS = """
+SELECT host AS name, CASE WHEN length(host) % 2 = 0 THEN '' ELSE 'Team ' || host END AS display_name,
+       CASE WHEN length(host) % 3 = 0 THEN 'issuer' ELSE '' END AS issuer, CASE WHEN length(host) % 3 = 0 THEN 'https://example.org/*' ELSE '' END AS subject,
+       CASE WHEN length(host) % 3 = 1 THEN 'PEM' ELSE '' END AS public_key, split('https://' || host || ',http://' || host || '/fr', ',') AS uri_prefixes
+FROM (SELECT DISTINCT split_part(url, '/', 3) AS host FROM {pages}) h
+UNION ALL SELECT 'any-' || r_name, '', '', '', '', CASE WHEN r_regionkey = 0 THEN NULL ELSE split('http', ',') END FROM {region} WHERE r_regionkey < 2
+"""
+
+LINKS = """
+SELECT page_id, url,
+       CASE page_id % 8 WHEN 0 THEN 'HF://org' || CAST(page_id AS STRING) || '/m@Main' WHEN 1 THEN 'https://huggingface.co/org/m' || CAST(page_id AS STRING) || '/tree/dev/'
+         WHEN 2 THEN 'https://HuggingFace.co/a/b/c' WHEN 3 THEN 'huggingface://solo' WHEN 4 THEN 'hf://' WHEN 5 THEN 'mlflow-artifacts:/run/' || CAST(page_id AS STRING)
+         WHEN 6 THEN 'mlflow-artifacts://host:5000/run/x' ELSE 'S3://Bucket/Key' END AS uri,
+       CASE page_id % 3 WHEN 0 THEN 'ABC' ELSE '' END AS commit_id
+FROM {pages}
+"""
+
+
 def sql_for_duckdb(text: str) -> str:
     """The same text with table names DuckDB knows."""
     return re.sub(r"\{(\w+)\}", r"\1", text)
@@ -179,6 +355,8 @@ def read(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
     """Run an adapter text on the parquet files of ``sf_dir``."""
     for name in set(re.findall(r"\{(\w+)\}", text)):
         table(spark, sf_dir, name).createOrReplaceTempView(f"fleetrisk_{name}")
+    # the one function whose name differs between the two engines
+    text = re.sub(r"SHA256\((\w+)\)", r"sha2(\1, 256)", text)
     return spark.sql(re.sub(r"\{(\w+)\}", r"fleetrisk_\1", text))
 
 
