@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import findings as O
 from ..operators import measure as M
 from ..sinks import cyclonedx as CX
 from ..sinks import sarif as SA
@@ -130,7 +131,7 @@ def _refs(s, d):
 
 def _inputs(s, d):
     read = lambda text: T.read(s, d, text)
-    return PL._profiles(s, d), read(T.COMPONENT_FILES), read(T.LICENSE_ROWS), read(T.DATASET_ROWS), read(T.DOMAIN_ROWS), read(T.FINDINGS)
+    return PL._profiles(s, d), read(T.COMPONENT_FILES), read(T.LICENSE_ROWS), read(T.DATASET_ROWS), read(T.DOMAIN_ROWS), O.normalized(read(T.FINDINGS))
 
 
 def emit_cyclonedx(s, d, version="1.6"):
@@ -146,7 +147,7 @@ def emit_spdx(s, d):
 
 
 def emit_sarif(s, d):
-    profiles, findings = PL._profiles(s, d), T.read(s, d, T.FINDINGS)
+    profiles, findings = PL._profiles(s, d), O.normalized(T.read(s, d, T.FINDINGS))
     return SA.emit_sarif(profiles, SA.sarif_nodes(profiles, findings), NOW).select("artifact_id", "document")
 
 
@@ -227,7 +228,8 @@ def short(sha, fallback):
 MODEL_REF = f"'urn:fleetrisk:model:' || {short('p256', 'name')}"
 FILE_EXEC = f"CASE WHEN role = 'primary' THEN {PL.EXECUTABLE} ELSE 'non-executable' END"
 FILE_STRUCT = "CASE WHEN role = 'primary' OR (role = 'shard' AND format = 'safetensors') OR path LIKE '%.safetensors' THEN 'structured' ELSE 'unstructured' END"
-KV_CTES = """, ar AS (SELECT artifact_id, value AS arch FROM kv WHERE key='general.architecture' AND value<>''),
+NORMAL = "CASE upper(severity) WHEN 'HIGH' THEN 'High' WHEN 'MEDIUM' THEN 'Medium' WHEN 'LOW' THEN 'Low' ELSE 'Unknown' END"
+KV_CTES = f""", fn AS (SELECT * REPLACE ({NORMAL} AS severity) FROM fi)""" + """, ar AS (SELECT artifact_id, value AS arch FROM kv WHERE key='general.architecture' AND value<>''),
  hy AS (SELECT artifact_id, CASE WHEN key='general.quantization_version' THEN 'quantization_version' ELSE substr(key, length(arch)+2) END AS name, value
    FROM kv JOIN ar USING (artifact_id) WHERE (starts_with(key, arch||'.') AND NOT starts_with(key, arch||'.vocab')) OR key='general.quantization_version'),
  rf AS (SELECT artifact_id, CAST(split_part(key,'.',3) AS INTEGER) AS ord, max(value) FILTER (WHERE split_part(key,'.',4) IN ('name','organization')) AS name,
@@ -256,8 +258,8 @@ FILE_NODE = ob(
 )
 LIB_NODE = ob(("type", js("'library'")), ("bom-ref", js("'urn:fleetrisk:op-domain:' || domain")), ("name", js("domain")), ("properties", lst(prop("fleetrisk:role", "'custom-operator-domain'"))))
 VULN_NODE = ob(
-    ("id", js("fi.id")), ("source", ob(("name", js("'fleetrisk'")))), ("ratings", lst(ob(("severity", js("lower(fi.severity)")), ("method", js("'other'"))))),
-    ("description", js("fi.title || ' — ' || fi.description")), ("affects", lst(ob(("ref", js(MODEL_REF))))),
+    ("id", js("fn.id")), ("source", ob(("name", js("'fleetrisk'")))), ("ratings", lst(ob(("severity", js("lower(fn.severity)")), ("method", js("'other'"))))),
+    ("description", js("fn.title || ' — ' || fn.description")), ("affects", lst(ob(("ref", js(MODEL_REF))))),
 )
 LIC_NODE = ob(("license", ob(("id", js("nullif(spdx_id, '')")), ("name", js("CASE WHEN spdx_id = '' THEN raw END")))))
 REF_NODE = ob(
@@ -292,7 +294,7 @@ CDX_DOC = ob(
 CDX_SQL = _doc_sql(
     ", cp AS (SELECT cf.artifact_id, 0 AS k, path, " + FILE_NODE + " AS j FROM cf JOIN q USING (artifact_id) WHERE role <> 'primary' UNION ALL SELECT artifact_id, 1, domain, " + LIB_NODE + " FROM dom)"
     + agg("cpn", "cp", "j", "k, path")
-    + agg("vun", "fi JOIN q USING (artifact_id)", VULN_NODE, "ord", "fi.artifact_id")
+    + agg("vun", "fn JOIN q USING (artifact_id)", VULN_NODE, "ord", "fn.artifact_id")
     + agg("lin", "(SELECT * FROM li WHERE spdx_id <> '' OR raw <> '')", LIC_NODE, "ord")
     + agg("dsn", "ds", ob(("type", js("'dataset'")), ("name", js("name"))), "ord")
     + agg("hyn", "hy", ob(("name", js("'hyperparameter:' || name")), ("value", js("value"))), "name")
@@ -301,6 +303,7 @@ CDX_SQL = _doc_sql(
     + f" SELECT q.artifact_id, {CDX_DOC} AS document FROM q LEFT JOIN ps USING (artifact_id)"
 )
 
+RANK = "CASE severity WHEN 'High' THEN 1 WHEN 'Medium' THEN 2 WHEN 'Low' THEN 3 ELSE 4 END"
 NS = "'https://spdx.org/spdxdocs/fleetrisk/' || " + uuid("coalesce(p256, '') || name")
 
 
@@ -350,17 +353,19 @@ SPDX_SQL = _doc_sql(
     + agg("rfn", "rf JOIN qn USING (artifact_id)", spdx_node("ai_AIPackage", RF_ID, ("name", js("rf.name")), ("software_downloadLocation", js("coalesce(rf.url, 'NOASSERTION')"))), "ord", "rf.artifact_id")
     + agg("rfi", "rf JOIN qn USING (artifact_id)", js(RF_ID), "ord", "rf.artifact_id")
     + agg("hyn", "hy", dictionary("name", "value"), "name")
-    + ", lim AS (SELECT artifact_id, string_agg('[' || severity || '] ' || id || ': ' || title, chr(10) ORDER BY ord) AS l FROM fi GROUP BY 1)"
+    + f", lim AS (SELECT artifact_id, string_agg('[' || severity || '] ' || id || ': ' || title, chr(10) ORDER BY {RANK}, ord) AS l FROM fn GROUP BY 1)"
     + f""" SELECT artifact_id, {ob(("@context", js("'https://spdx.org/rdf/3.0.1/spdx-context.jsonld'")), ("@graph", SPDX_GRAPH))} AS document FROM qn q"""
 )
 
+LEVEL = "CASE severity WHEN 'High' THEN 'error' WHEN 'Medium' THEN 'warning' WHEN 'Low' THEN 'note' ELSE 'none' END"
+SCORE = "CASE severity WHEN 'High' THEN '7.5' WHEN 'Medium' THEN '5.0' WHEN 'Low' THEN '2.0' ELSE '0.0' END"
 RULE_NODE = ob(
     ("id", js("id")), ("name", js("'Ar' || split_part(id,'-',2) || split_part(id,'-',3)")), ("shortDescription", ob(("text", js("title")))), ("fullDescription", ob(("text", js("description")))),
-    ("defaultConfiguration", """'{"level":"none"}'"""), ("properties", ob(("tags", lst(js("'fleetrisk'"), js("category"), opt("category = 'drift'", js("'supply-chain'")))), ("security-severity", js("'0.0'")))),
+    ("defaultConfiguration", ob(("level", js(LEVEL)))), ("properties", ob(("tags", lst(js("'fleetrisk'"), js("category"), opt("category = 'drift'", js("'supply-chain'")))), ("security-severity", js(SCORE)))),
 )
 RESULT_NODE = ob(
-    ("ruleId", js("fi.id")), ("level", js("'none'")), ("message", ob(("text", js("fi.description")))), ("locations", lst(ob(("physicalLocation", ob(("artifactLocation", ob(("uri", js("location"))))))))),
-    ("partialFingerprints", ob(("fleetriskFinding/v1", js(f"({short('p256', 'name')}) || ':' || fi.id")))),
+    ("ruleId", js("fn.id")), ("level", js(LEVEL)), ("message", ob(("text", js("fn.description")))), ("locations", lst(ob(("physicalLocation", ob(("artifactLocation", ob(("uri", js("location"))))))))),
+    ("partialFingerprints", ob(("fleetriskFinding/v1", js(f"({short('p256', 'name')}) || ':' || fn.id")))),
 )
 SARIF_DOC = ob(
     ("$schema", js(f"'{SA.SCHEMA}'")), ("version", js("'2.1.0'")),
@@ -368,10 +373,9 @@ SARIF_DOC = ob(
         ("artifacts", lst(ob(("location", ob(("uri", js("coalesce(pp, 'model')")))), ("hashes", some(ob(("sha256", js("p256")), ("sha384", js("p384")), ("sha512", js("p512")))))))),
         ("invocations", lst(ob(("executionSuccessful", "'true'"), ("endTimeUtc", js(f"'{NOW}'"))))), ("results", f"coalesce({pick('ren')}, '[]')")))),
 )
-# raw severities of the table are not the normalised ones, so every one of them ranks last here
 SARIF_SQL = _doc_sql(
-    agg("run", "(SELECT * FROM fi QUALIFY row_number() OVER (PARTITION BY artifact_id, id ORDER BY ord) = 1)", RULE_NODE, "id")
-    + agg("ren", "fi JOIN q USING (artifact_id)", RESULT_NODE, "fi.id, ord", "fi.artifact_id")
+    agg("run", f"(SELECT * FROM fn QUALIFY row_number() OVER (PARTITION BY artifact_id, id ORDER BY {RANK}, ord) = 1)", RULE_NODE, f"{RANK}, id")
+    + agg("ren", "fn JOIN q USING (artifact_id)", RESULT_NODE, f"{RANK}, fn.id, ord", "fn.artifact_id")
     + f" SELECT artifact_id, {SARIF_DOC} AS document FROM q"
 )
 
