@@ -9,8 +9,22 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def sql_literal(value) -> str:
+    """SQL text of a fixed value."""
+    if value is None:
+        return "NULL"
+    if isinstance(value, bool):
+        return str(value).lower()
+    if isinstance(value, (int, float)):
+        return str(value)
+    if isinstance(value, (list, tuple)):
+        return f"array({', '.join(map(sql_literal, value))})" if value else "cast(array() AS array<string>)"
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def literal_map(mapping: Mapping) -> Column:
-    return F.create_map(*[F.lit(x) for x in chain.from_iterable(mapping.items())])
+    """One parsed expression instead of a call per entry."""
+    return F.expr(f"map({', '.join(sql_literal(x) for x in chain.from_iterable(mapping.items()))})")
 
 
 def lookup(mapping: Mapping, key: Column) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import controls as K
 from ..functions import text as S
-from ..functions.lookups import literal_map, lookup
+from ..functions.lookups import literal_map, lookup, sql_literal
 
 OPEN = {"NotSatisfied": 3, "PartiallySatisfied": 2, "AttestationRequired": 1}
 STATUSES = [
@@ -133,17 +133,14 @@ def control_status(
     else:
         why = F.coalesce("justification", F.lit(""))
         rows = rows.join(_map_of(scope, "profile", why, "_scope"), "profile", "left")
-    catalogue = F.array(
-        *[
-            F.struct(
-                F.lit(c["control_id"]).alias("control_id"),
-                F.lit(c["function"]).alias("function"),
-                F.lit(c["automation"]).alias("automation"),
-                (F.array(*map(F.lit, c["evidence"])) if c["evidence"] else F.array().cast("array<string>")).alias("evidence"),
-            )
-            for c in K.catalog(framework)
-        ]
+    # a literal of at most 72 controls; artifacts are never joined to the catalogue
+    entries = ", ".join(
+        "named_struct('control_id', {}, 'function', {}, 'automation', {}, 'evidence', {})".format(
+            *[sql_literal(c[k]) for k in ("control_id", "function", "automation", "evidence")]
+        )
+        for c in K.catalog(framework)
     )
+    catalogue = F.expr(f"array({entries})")
     each = rows.select("artifact_id", "_seen", "_attested", "_scope", F.explode(catalogue).alias("c")).select(
         "artifact_id", "_seen", F.try_element_at("_attested", F.col("c.control_id")).alias("a"),
         F.try_element_at("_scope", F.col("c.control_id")).alias("why"), "c.*"
@@ -263,7 +260,7 @@ def atlas_summary(findings: DataFrame) -> DataFrame:
     for tid, (_, _, _, evidence, _) in K.TECHNIQUES.items():
         for key in evidence.split():
             by_key.setdefault(key, []).append(tid)
-    arrays = F.create_map(*[x for k, v in by_key.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
+    arrays = literal_map(by_key)
     prefix = F.regexp_extract("id", r"^(AR-[A-Z]+)", 1)
     empty = F.array().cast("array<string>")
     both = F.array_union(

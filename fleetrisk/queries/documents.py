@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import findings as O
 from ..operators import measure as M
+from ..session import cut_lineage
 from ..sinks import cyclonedx as CX
 from ..sinks import sarif as SA
 from ..sinks import spdx as SP
@@ -131,7 +132,9 @@ def _refs(s, d):
 
 def _inputs(s, d):
     read = lambda text: T.read(s, d, text)
-    return PL._profiles(s, d), read(T.COMPONENT_FILES), read(T.LICENSE_ROWS), read(T.DATASET_ROWS), read(T.DOMAIN_ROWS), O.normalized(read(T.FINDINGS))
+    # one row per artifact, read once per list of the documents
+    profiles = cut_lineage(PL._profiles(s, d))
+    return profiles, read(T.COMPONENT_FILES), read(T.LICENSE_ROWS), read(T.DATASET_ROWS), read(T.DOMAIN_ROWS), O.normalized(read(T.FINDINGS))
 
 
 def emit_cyclonedx(s, d, version="1.6"):
@@ -147,7 +150,7 @@ def emit_spdx(s, d):
 
 
 def emit_sarif(s, d):
-    profiles, findings = PL._profiles(s, d), O.normalized(T.read(s, d, T.FINDINGS))
+    profiles, findings = cut_lineage(PL._profiles(s, d)), O.normalized(T.read(s, d, T.FINDINGS))
     return SA.emit_sarif(profiles, SA.sarif_nodes(profiles, findings), NOW).select("artifact_id", "document")
 
 

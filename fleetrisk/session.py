@@ -42,4 +42,4 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` reliably so that it is computed once and can be re-read after executor loss."""
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=False)
+    return df.checkpoint(eager=True)

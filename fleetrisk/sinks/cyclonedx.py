@@ -12,21 +12,24 @@ from ..operators.coverage import executable_property, file_executable_property,
 from . import parts as J
 
 VERSIONS = ["1.6", "1.7"]
-SECTIONS = ["licenses", "datasets", "inputs", "outputs", "hyperparameters", "ancestors", "opsets", "components", "vulnerabilities"]
+SECTIONS = [
+    "licenses", "datasets", "hyperparameters", "ancestors", "components", "vulnerabilities",
+]
 PREFIX = "fleetrisk:"
+NO_TEXTS = "array<string>"
 
 
-def _prop(name, value: Column) -> Column:
+def _prop(name: str | Column, value: Column) -> Column:
     label = name if isinstance(name, Column) else F.lit(name)
-    return F.when(value.isNotNull(), J.obj(name=J.text(label), value=J.text(value)))
+    return F.when(value.isNotNull(), J.record(name=label, value=value))
 
 
 def hashes(prefix: str = "") -> Column:
     def one(bits: int) -> Column:
         value = nullif_empty(F.col(f"{prefix}sha{bits}"))
-        return F.when(value.isNotNull(), J.obj(alg=J.text(F.lit(f"SHA-{bits}")), content=J.text(value)))
+        return F.when(value.isNotNull(), J.record(alg=F.lit(f"SHA-{bits}"), content=value))
 
-    return J.non_empty(J.arr(one(256), one(384), one(512)))
+    return J.present(one(256), one(384), one(512))
 
 
 def _file_properties(executable: Column, structured: Column, path: Column) -> list[Column]:
@@ -39,183 +42,201 @@ def _file_properties(executable: Column, structured: Column, path: Column) -> li
 
 
 def _external(kind: str, url: Column) -> Column:
-    return F.when(url.isNotNull(), J.obj(type=J.text(F.lit(kind)), url=J.text(url)))
+    return F.when(url.isNotNull(), J.record(type=F.lit(kind), url=url))
 
 
 def _doi(doi: Column) -> Column:
     return F.concat(F.lit("https://doi.org/"), F.regexp_replace(doi, "^doi:", ""))
 
 
-def cyclonedx_nodes(profiles, files, licenses, datasets, domains, findings, hyperparameters=None, references=None) -> DataFrame:
+def model_reference() -> Column:
+    name = F.coalesce("name", F.lit(""))
+    return F.concat(F.lit("urn:fleetrisk:model:"), S.short_id(F.col("primary_sha256"), name))
+
+
+def cyclonedx_nodes(
+    profiles: DataFrame,
+    files: DataFrame,
+    licenses: DataFrame,
+    datasets: DataFrame,
+    domains: DataFrame,
+    findings: DataFrame,
+    hyperparameters: DataFrame | None = None,
+    references: DataFrame | None = None,
+) -> DataFrame:
     """All list members of the documents as nodes.
 
-    ``references(artifact_id, ord, name, url, doi)`` are base models and sources, base models first.
+    ``references(artifact_id, ord, name, url, doi)`` are base models and sources, base models first. The
+    profile is read for several lists, so pass a written or checkpointed one.
     """
     c = F.col
-    facts = profiles.select("artifact_id", "format", "chat_template", "domains_count", "name", "primary_sha256")
-    reference = F.concat(F.lit("urn:fleetrisk:model:"), S.short_id(c("primary_sha256"), F.coalesce("name", F.lit(""))))
-
-    others = files.filter(c("role") != "primary").join(facts.drop("name", "primary_sha256"), "artifact_id")
-    identity = F.concat(F.lit("urn:fleetrisk:file:"), S.short_id(nullif_empty(c("sha256")), c("path")))
-    component = J.obj_of(
-        [
-            ("type", J.text(F.lit("file"))),
-            ("bom-ref", J.text(identity)),
-            ("name", J.text(c("path"))),
-            ("hashes", hashes()),
-            (
-                "properties",
-                J.arr(
-                    _prop(PREFIX + "role", c("role")),
-                    _prop(PREFIX + "size", c("size").cast("string")),
-                    *_file_properties(file_executable_property(), file_structured_property(), c("path")),
-                ),
-            ),
-        ]
+    kind = profiles.select("artifact_id", "format", "chat_template", "domains_count")
+    component = J.leaf(
+        type=F.lit("file"),
+        bom__ref=F.concat(F.lit("urn:fleetrisk:file:"), S.short_id(nullif_empty(c("sha256")), c("path"))),
+        name=c("path"),
+        hashes=hashes(),
+        properties=J.present(
+            _prop(PREFIX + "role", c("role")),
+            _prop(PREFIX + "size", c("size").cast("string")),
+            *_file_properties(file_executable_property(), file_structured_property(), c("path")),
+        ),
     )
-    result = J.nodes(others, "components", F.lit(0), c("path"), component)
-
-    library = J.obj_of(
-        [
-            ("type", J.text(F.lit("library"))),
-            ("bom-ref", J.text(F.concat(F.lit("urn:fleetrisk:op-domain:"), S.slug(c("domain"))))),
-            ("name", J.text(c("domain"))),
-            ("properties", J.arr(_prop(PREFIX + "role", F.lit("custom-operator-domain")))),
-        ]
+    others = files.filter(c("role") != "primary").join(kind, "artifact_id")
+    library = J.leaf(
+        type=F.lit("library"),
+        bom__ref=F.concat(F.lit("urn:fleetrisk:op-domain:"), S.slug(c("domain"))),
+        name=c("domain"),
+        properties=J.present(_prop(PREFIX + "role", F.lit("custom-operator-domain"))),
     )
-    result = result.unionByName(J.nodes(domains, "components", F.lit(1), c("domain"), library))
-
-    reported = findings.join(facts.select("artifact_id", "name", "primary_sha256"), "artifact_id")
-    vulnerability = J.obj(
-        id=J.text(c("id")),
-        source=J.obj(name=J.text(F.lit("fleetrisk"))),
-        ratings=J.arr(J.obj(severity=J.text(F.lower("severity")), method=J.text(F.lit("other")))),
-        description=J.text(F.concat(F.coalesce("title", F.lit("")), F.lit(" — "), F.coalesce("description", F.lit("")))),
-        affects=J.arr(J.obj(ref=J.text(reference))),
+    vulnerability = J.leaf(
+        id=c("id"),
+        source=J.record(name=F.lit("fleetrisk")),
+        ratings=F.array(J.record(severity=F.lower("severity"), method=F.lit("other"))),
+        description=F.concat(F.coalesce("title", F.lit("")), F.lit(" — "), F.coalesce("description", F.lit(""))),
+        affects=F.array(J.record(ref=c("_ref"))),
     )
-    result = result.unionByName(J.nodes(reported, "vulnerabilities", c("ord"), c("id"), vulnerability))
-
+    reported = findings.join(profiles.select("artifact_id", model_reference().alias("_ref")), "artifact_id")
     spdx, own = nullif_empty(c("spdx_id")), nullif_empty(c("raw"))
     url = nullif_empty(c("url")) if "url" in licenses.columns else F.lit(None).cast("string")
     listed = F.startswith(spdx, F.lit("LicenseRef-"))
-    choice = J.obj(
-        license=J.obj(
-            id=J.text(F.when(~listed, spdx)), name=J.text(F.when(spdx.isNull(), own).when(listed, spdx)), url=J.text(url)
+    choice = J.leaf(
+        license=J.record(
+            id=F.when(~listed, spdx), name=F.when(spdx.isNull(), own).when(listed, spdx), url=url
+        )
+    )
+    result = (
+        J.nodes(others, "components", F.lit(0), c("path"), component)
+        .unionByName(J.nodes(domains, "components", F.lit(1), c("domain"), library))
+        .unionByName(J.nodes(reported, "vulnerabilities", c("ord"), c("id"), vulnerability))
+        .unionByName(
+            J.nodes(licenses.filter(spdx.isNotNull() | own.isNotNull()), "licenses", c("ord"), c("raw"), choice)
+        )
+        .unionByName(
+            J.nodes(datasets, "datasets", c("ord"), c("name"), J.leaf(type=F.lit("dataset"), name=c("name")))
         )
     )
-    result = result.unionByName(J.nodes(licenses.filter(spdx.isNotNull() | own.isNotNull()), "licenses", c("ord"), c("raw"), choice))
-
-    dataset = J.obj(type=J.text(F.lit("dataset")), name=J.text(c("name")))
-    result = result.unionByName(J.nodes(datasets, "datasets", c("ord"), c("name"), dataset))
-
-    for side in ("inputs", "outputs"):
-        specs = profiles.select("artifact_id", F.posexplode(side).alias("ord", "s"))
-        shown = J.obj(format=J.text(S.io_format(c("s.dtype"), c("s.shape"), F.lit(None).cast("string"))))
-        result = result.unionByName(J.nodes(specs, side, c("ord"), F.lit(""), shown))
-
     if hyperparameters is not None:
-        entry = _prop(F.concat(F.lit("hyperparameter:"), c("name")), c("value"))
+        entry = F.to_json(_prop(F.concat(F.lit("hyperparameter:"), c("name")), c("value")))
         result = result.unionByName(J.nodes(hyperparameters, "hyperparameters", F.lit(0), c("name"), entry))
     if references is not None:
-        links = J.non_empty(J.arr(_external("vcs", nullif_empty(c("url"))), _external("other", _doi(nullif_empty(c("doi"))))))
-        ancestor = J.obj(type=J.text(F.lit("machine-learning-model")), name=J.text(F.coalesce("name", F.lit(""))), externalReferences=links)
-        result = result.unionByName(J.nodes(references, "ancestors", c("ord"), c("name"), ancestor))
-    if "opset_imports" in profiles.columns:
-        opsets = profiles.select("artifact_id", F.posexplode("opset_imports").alias("ord", "o"))
-        domain = F.coalesce(nullif_empty(c("o.domain")), F.lit("ai.onnx"))
-        result = result.unionByName(
-            J.nodes(opsets, "opsets", c("ord"), domain, _prop(F.concat(F.lit("onnx:opset:"), domain), c("o.version").cast("string")))
+        links = J.present(_external("vcs", nullif_empty(c("url"))), _external("other", _doi(nullif_empty(c("doi")))))
+        ancestor = J.leaf(
+            type=F.lit("machine-learning-model"), name=F.coalesce("name", F.lit("")), externalReferences=links
         )
+        result = result.unionByName(J.nodes(references, "ancestors", c("ord"), c("name"), ancestor))
     return result
 
 
-def _document(version: str, generated_at: str, tool_version: str) -> Column:
+def _document(profiles: DataFrame, version: str, generated_at: str, tool_version: str) -> Column:
     c = F.col
     name = F.coalesce("name", F.lit(""))
-    reference = F.concat(F.lit("urn:fleetrisk:model:"), S.short_id(c("primary_sha256"), name))
     serial = S.serial_uuid(F.concat(F.coalesce("primary_sha256", F.lit("")), name))
+
+    def shapes(side: str) -> Column:
+        described = F.transform(side, lambda s: J.record(format=S.io_format(s["dtype"], s["shape"], F.lit(None).cast("string"))))
+        return F.to_json(F.when(F.size(side) > 0, described))
+
     parameters = J.non_empty(
-        J.obj(
-            task=J.text(c("task")),
-            architectureFamily=J.text(c("architecture")),
-            modelArchitecture=J.text(c("architecture")),
-            datasets=J.joined(c("datasets_nodes")),
-            inputs=J.joined(c("inputs_nodes")),
-            outputs=J.joined(c("outputs_nodes")),
+        J.splice(
+            J.members(
+                J.leaf(task=c("task"), architectureFamily=c("architecture"), modelArchitecture=c("architecture"))
+            ),
+            J.member("datasets", J.joined(c("datasets_nodes"))),
+            J.member("inputs", shapes("inputs")),
+            J.member("outputs", shapes("outputs")),
         )
     )
+    none = F.array().cast(NO_TEXTS)
+
+    def as_json(properties: Column) -> Column:
+        return F.coalesce(F.transform(properties, lambda p: F.to_json(p)), none)
+
     card_properties = F.concat(
-        F.array_compact(
-            F.array(
+        as_json(
+            J.present(
                 _prop(PREFIX + "quantization", c("quantization")),
                 _prop(PREFIX + "dtype", c("dtype")),
                 _prop(PREFIX + "parameterCount", c("parameter_count")),
             )
         ),
-        F.coalesce("hyperparameters_nodes", F.array().cast("array<string>")),
+        F.coalesce("hyperparameters_nodes", none),
     )
-    card = J.non_empty(J.obj(modelParameters=parameters, properties=J.joined(card_properties)))
-    measured = F.when(c("measured_parameters") > 0, c("measured_parameters").cast("string"))
-    properties = F.concat(
-        F.array_compact(
-            F.array(
-                _prop(PREFIX + "format", c("format")),
-                _prop(PREFIX + "framework", c("framework")),
-                _prop(PREFIX + "uuid", c("uuid")),
-                _prop(PREFIX + "producer", c("producer")),
-                _prop(PREFIX + "tensorCount", F.when(c("tensor_count") > 0, c("tensor_count").cast("string"))),
-                *_file_properties(executable_property(), F.lit("structured"), c("primary_path")),
-                _prop(PREFIX + "primaryFile", nullif_empty(c("primary_path"))),
-                _prop(PREFIX + "size", c("primary_size").cast("string")),
-                _prop(PREFIX + "measuredParameters", measured),
-            )
-        ),
-        F.coalesce("opsets_nodes", F.array().cast("array<string>")),
+    card = J.non_empty(
+        J.splice(J.member("modelParameters", parameters), J.member("properties", J.joined(card_properties)))
     )
+    properties = as_json(
+        J.present(
+            _prop(PREFIX + "format", c("format")),
+            _prop(PREFIX + "framework", c("framework")),
+            _prop(PREFIX + "uuid", c("uuid")),
+            _prop(PREFIX + "irVersion", c("ir_version")),
+            _prop(PREFIX + "producer", c("producer")),
+            _prop(PREFIX + "tensorCount", F.when(c("tensor_count") > 0, c("tensor_count").cast("string"))),
+            *_file_properties(executable_property(), F.lit("structured"), c("primary_path")),
+            _prop(PREFIX + "primaryFile", nullif_empty(c("primary_path"))),
+            _prop(PREFIX + "size", c("primary_size").cast("string")),
+            _prop(
+                PREFIX + "measuredParameters",
+                F.when(c("measured_parameters") > 0, c("measured_parameters").cast("string")),
+            ),
+        )
+    )
+    if "opset_imports" in profiles.columns:
+        label = lambda o: F.concat(F.lit("onnx:opset:"), F.coalesce(nullif_empty(o["domain"]), F.lit("ai.onnx")))
+        opsets = F.transform("opset_imports", lambda o: F.to_json(_prop(label(o), o["version"].cast("string"))))
+        properties = F.concat(properties, F.coalesce(opsets, none))
     vcs = F.when(F.coalesce(c("repo_url") != c("url"), F.lit(True)), c("repo_url"))
     maker = F.coalesce("organization", "author")
-    component = J.obj_of(
-        [
-            ("type", J.text(F.lit("machine-learning-model"))),
-            ("bom-ref", J.text(reference)),
-            ("name", J.text(name)),
-            ("version", J.text(c("version"))),
-            ("purl", J.text(purl(F.coalesce("repo_url", "url"), c("commit")))),
-            ("description", J.text(c("description"))),
-            ("publisher", J.text(c("author"))),
-            ("supplier", F.when(maker.isNotNull(), J.obj(name=J.text(maker)))),
-            ("licenses", J.joined(c("licenses_nodes"))),
-            ("hashes", hashes("primary_")),
-            (
-                "externalReferences",
-                J.non_empty(J.arr(_external("website", c("url")), _external("vcs", vcs), _external("other", _doi(c("doi"))))),
-            ),
-            ("modelCard", card),
-            ("pedigree", J.non_empty(J.obj(ancestors=J.joined(c("ancestors_nodes"))))),
-            ("properties", J.joined(properties)),
-        ]
+    head = J.leaf(
+        type=F.lit("machine-learning-model"),
+        bom__ref=model_reference(),
+        name=name,
+        version=c("version"),
+        purl=purl(F.coalesce("repo_url", "url"), c("commit")),
+        description=c("description"),
+        publisher=c("author"),
+        supplier=F.when(maker.isNotNull(), J.record(name=maker)),
+    )
+    sources = J.leaf(
+        hashes=hashes("primary_"),
+        externalReferences=J.present(
+            _external("website", c("url")), _external("vcs", vcs), _external("other", _doi(c("doi")))
+        ),
+    )
+    ancestors = F.concat(F.lit('{"ancestors":'), J.joined(c("ancestors_nodes")), F.lit("}"))
+    component = J.splice(
+        J.members(head),
+        J.member("licenses", J.joined(c("licenses_nodes"))),
+        J.members(sources),
+        J.member("modelCard", card),
+        J.member("pedigree", ancestors),
+        J.member("properties", J.joined(properties)),
     )
-    tool = J.obj(
-        type=J.text(F.lit("application")), name=J.text(F.lit("fleetrisk")), version=J.text(F.lit(tool_version))
+    before = J.leaf(
+        bomFormat=F.lit("CycloneDX"),
+        specVersion=F.lit(version),
+        serialNumber=F.concat(F.lit("urn:uuid:"), serial),
+        version=F.lit(1),
     )
-    metadata = J.obj(
-        timestamp=J.text(F.lit(generated_at)),
-        tools=J.obj(components=J.arr(tool)),
-        component=component,
-        lifecycles=J.arr(J.obj(phase=J.text(F.lit("post-build")))),
+    tool = J.record(type=F.lit("application"), name=F.lit("fleetrisk"), version=F.lit(tool_version))
+    metadata = J.splice(
+        J.members(J.leaf(timestamp=F.lit(generated_at), tools=J.record(components=F.array(tool)))),
+        J.member("component", component),
+        J.members(J.leaf(lifecycles=F.array(J.record(phase=F.lit("post-build"))))),
     )
-    return J.obj(
-        bomFormat=J.text(F.lit("CycloneDX")),
-        specVersion=J.text(F.lit(version)),
-        serialNumber=J.text(F.concat(F.lit("urn:uuid:"), serial)),
-        version=F.lit("1"),
-        metadata=metadata,
-        components=J.joined(c("components_nodes")),
-        vulnerabilities=J.joined(c("vulnerabilities_nodes")),
+    return J.splice(
+        J.members(before),
+        J.member("metadata", metadata),
+        J.member("components", J.joined(c("components_nodes"))),
+        J.member("vulnerabilities", J.joined(c("vulnerabilities_nodes"))),
     )
 
 
-HEAD_COLUMNS = {"task": "string", "dtype": "string", "parameter_count": "string", "commit": "string", "tensor_count": "int"}
+HEAD_COLUMNS = {
+    "task": "string", "dtype": "string", "parameter_count": "string", "commit": "string", "ir_version": "string",
+    "tensor_count": "int",
+}
 
 
 def emit_cyclonedx(
@@ -234,4 +255,4 @@ def emit_cyclonedx(
     # section names double as head columns, so the gathered arrays get a suffix
     renamed = node_rows.withColumn("section", F.concat("section", F.lit("_nodes")))
     sections = [f"{s}_nodes" for s in SECTIONS]
-    return J.assembled(heads, renamed, sections, _document(version, generated_at, tool_version), limit)
+    return J.assembled(heads, renamed, sections, _document(heads, version, generated_at, tool_version), limit)

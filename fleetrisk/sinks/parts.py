@@ -14,30 +14,35 @@ NODE_LIMIT = 50_000
 NODE_COLUMNS = ["artifact_id", "section", "ord", "tie", "json"]
 
 
-def text(value: Column) -> Column:
-    """A JSON string literal, or NULL."""
-    encoded = F.to_json(F.array(value.cast("string")))
-    return F.when(value.isNotNull(), F.substr(encoded, F.lit(2), F.length(encoded) - 2))
+def leaf(**fields: Column) -> Column:
+    """JSON object from native columns; NULL members are left out. ``__`` in a name stands for ``-``."""
+    return F.to_json(record(**fields))
 
 
-def raw(value: Column) -> Column:
-    """A number or boolean as JSON, or NULL."""
-    return value.cast("string")
+def record(**fields: Column) -> Column:
+    """Struct with the given members, for use inside other leaves."""
+    return F.struct(*[value.alias(name.replace("__", "-")) for name, value in fields.items()])
 
 
-def obj(**fields: Column) -> Column:
-    """JSON object from JSON values; NULL members are left out. ``_`` stands for ``-`` where noted by callers."""
-    return obj_of(list(fields.items()))
+def present(*values: Column) -> Column:
+    """Array of the values that are not NULL; NULL instead of an empty one, so that its member is left out."""
+    kept = F.array_compact(F.array(*values))
+    return F.when(F.size(kept) > 0, kept)
 
 
-def obj_of(fields: list[tuple[str, Column]]) -> Column:
-    members = [F.concat(F.lit(f'"{name}":'), value) for name, value in fields]
-    return F.concat(F.lit("{"), F.array_join(F.array_compact(F.array(*members)), ","), F.lit("}"))
+def members(json_object: Column) -> Column:
+    """The members of a JSON object without its braces, or NULL when it has none."""
+    return F.nullif(F.substr(json_object, F.lit(2), F.length(json_object) - 2), F.lit(""))
 
 
-def arr(*values: Column) -> Column:
-    """JSON array from JSON values; NULL elements are left out."""
-    return F.concat(F.lit("["), F.array_join(F.array_compact(F.array(*values)), ","), F.lit("]"))
+def member(name: str, json_value: Column) -> Column:
+    """One member with a value that already is JSON; NULL without a value."""
+    return F.concat(F.lit(f'"{name}":'), json_value)
+
+
+def splice(*parts: Column) -> Column:
+    """JSON object from groups of members; NULL groups are left out."""
+    return F.concat(F.lit("{"), F.array_join(F.array_compact(F.array(*parts)), ","), F.lit("}"))
 
 
 def non_empty(json: Column) -> Column:
@@ -50,6 +55,12 @@ def joined(json_array: Column) -> Column:
     return F.when(F.size(json_array) > 0, F.concat(F.lit("["), F.array_join(json_array, ","), F.lit("]")))
 
 
+def quoted(value: Column) -> Column:
+    """A text as a JSON string."""
+    encoded = F.to_json(F.array(value))
+    return F.substr(encoded, F.lit(2), F.length(encoded) - 2)
+
+
 def nodes(rows: DataFrame, section: str, order: Column, tie: Column, json: Column) -> DataFrame:
     return rows.select(
         "artifact_id",
@@ -60,11 +71,9 @@ def nodes(rows: DataFrame, section: str, order: Column, tie: Column, json: Colum
     )
 
 
-def split_by_size(parts: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
-    """(parts of small documents, parts of large ones)."""
-    sizes = parts.groupBy("artifact_id").agg((F.count(F.lit(1)) > limit).alias("_large"))
-    marked = parts.join(sizes, "artifact_id")
-    return marked.filter(~F.col("_large")).drop("_large"), marked.filter("_large").drop("_large")
+def large_artifacts(parts: DataFrame, limit: int) -> DataFrame:
+    """Artifacts with more nodes than one text should hold. Counts keys only; no JSON is built for it."""
+    return parts.groupBy("artifact_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > limit).select("artifact_id")
 
 
 def gather(parts: DataFrame, sections: list[str]) -> DataFrame:
@@ -82,15 +91,16 @@ def assembled(heads: DataFrame, parts: DataFrame, sections: list[str], document:
     ``document`` is built from the head columns and one array column per section. A large document has a
     text without its lists; ``large_nodes`` gives those.
     """
-    small, _ = split_by_size(parts, limit)
-    sizes = parts.groupBy("artifact_id").agg((F.count(F.lit(1)) > limit).alias("large"))
-    rows = heads.join(gather(small, sections), "artifact_id", "left").join(sizes, "artifact_id", "left")
+    large = large_artifacts(parts, limit)
+    small = parts.join(large, "artifact_id", "left_anti")
+    flagged = large.withColumn("large", F.lit(True))
+    rows = heads.join(gather(small, sections), "artifact_id", "left").join(flagged, "artifact_id", "left")
     return rows.select("artifact_id", document.alias("document"), F.coalesce("large", F.lit(False)).alias("large"))
 
 
 def large_nodes(parts: DataFrame, limit: int = NODE_LIMIT) -> DataFrame:
     """Nodes of documents above the limit, in document order across partitions."""
-    _, large = split_by_size(parts, limit)
+    large = parts.join(large_artifacts(parts, limit), "artifact_id", "left_semi")
     return large.orderBy("artifact_id", "section", "ord", "tie")
 
 

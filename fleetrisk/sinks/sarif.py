@@ -22,56 +22,56 @@ def _uri(path: Column) -> Column:
 def sarif_nodes(profiles: DataFrame, findings: DataFrame) -> DataFrame:
     """Rules (the worst finding of each id) and results, both by severity and then id."""
     c = F.col
-    rank = S.severity_rank(c("severity"))
-    rows = findings.withColumn("_rank", rank)
+    rows = findings.withColumn("_rank", S.severity_rank(c("severity")))
     message = F.coalesce(nullif_empty(c("description")), c("title"))
     worst = first_row_per_key(rows, ["artifact_id", "id"], [c("_rank"), c("ord")])
-    tags = F.concat(F.lit("["), F.array_join(F.transform(S.finding_tags(c("category")), J.text), ","), F.lit("]"))
-    rule = J.obj(
-        id=J.text(c("id")),
-        name=J.text(S.rule_name(c("id"))),
-        shortDescription=J.obj(text=J.text(c("title"))),
-        fullDescription=J.obj(text=J.text(message)),
-        defaultConfiguration=J.obj(level=J.text(S.sarif_level(c("severity")))),
-        properties=J.obj_of([("tags", tags), ("security-severity", J.text(S.security_score(c("severity"))))]),
+    score = J.record(tags=S.finding_tags(c("category")), security__severity=S.security_score(c("severity")))
+    rule = J.leaf(
+        id=c("id"),
+        name=S.rule_name(c("id")),
+        shortDescription=J.record(text=c("title")),
+        fullDescription=J.record(text=message),
+        defaultConfiguration=J.record(level=S.sarif_level(c("severity"))),
+        properties=score,
     )
-    result = J.nodes(worst, "rules", c("_rank"), c("id"), rule)
     facts = profiles.select("artifact_id", "name", "primary_path", "primary_sha256")
     located = rows.join(facts, "artifact_id", "left")
     where = F.coalesce(nullif_empty(c("location")), nullif_empty(c("primary_path")), F.lit("model"))
-    place = J.obj(physicalLocation=J.obj(artifactLocation=J.obj(uri=J.text(_uri(where)))))
-    sha = nullif_empty(c("primary_sha256"))
-    mark = S.fingerprint(sha, F.coalesce("name", F.lit("")), c("id"))
-    entry = J.obj(
-        ruleId=J.text(c("id")),
-        level=J.text(S.sarif_level(c("severity"))),
-        message=J.obj(text=J.text(message)),
-        locations=J.arr(place),
-        partialFingerprints=J.obj_of([(FINGERPRINT, J.text(mark))]),
+    place = J.record(physicalLocation=J.record(artifactLocation=J.record(uri=_uri(where))))
+    mark = S.fingerprint(nullif_empty(c("primary_sha256")), F.coalesce("name", F.lit("")), c("id"))
+    entry = J.leaf(
+        ruleId=c("id"),
+        level=S.sarif_level(c("severity")),
+        message=J.record(text=message),
+        locations=F.array(place),
+        partialFingerprints=J.record(**{FINGERPRINT: mark}),
     )
     # within a severity the id decides, then the scanner's order
     tie = F.concat("id", F.lit("\u0001"), F.lpad(c("ord").cast("string"), 20, "0"))
-    return result.unionByName(J.nodes(located, "results", c("_rank"), tie, entry))
+    return J.nodes(worst, "rules", c("_rank"), c("id"), rule).unionByName(
+        J.nodes(located, "results", c("_rank"), tie, entry)
+    )
 
 
 def _document(generated_at: str, tool_version: str) -> Column:
     c = F.col
     empty = F.lit("[]")
-    driver = J.obj(
-        name=J.text(F.lit("fleetrisk")), version=J.text(F.lit(tool_version)), rules=F.coalesce(J.joined(c("rules")), empty)
-    )
-    digests = J.non_empty(
-        J.obj(**{f"sha{b}": J.text(nullif_empty(c(f"primary_sha{b}"))) for b in (256, 384, 512)})
+    driver = J.splice(
+        J.members(J.leaf(name=F.lit("fleetrisk"), version=F.lit(tool_version))),
+        J.member("rules", F.coalesce(J.joined(c("rules")), empty)),
     )
-    path = _uri(F.coalesce(nullif_empty(c("primary_path")), F.lit("model")))
-    artifact = J.obj(location=J.obj(uri=J.text(path)), hashes=digests)
-    run = J.obj(
-        tool=J.obj(driver=driver),
-        artifacts=J.arr(artifact),
-        invocations=J.arr(J.obj(executionSuccessful=F.lit("true"), endTimeUtc=J.text(F.lit(generated_at)))),
-        results=F.coalesce(J.joined(c("results")), empty),
+    digests = {f"sha{b}": nullif_empty(c(f"primary_sha{b}")) for b in (256, 384, 512)}
+    known = F.coalesce(*digests.values()).isNotNull()
+    location = J.record(uri=_uri(F.coalesce(nullif_empty(c("primary_path")), F.lit("model"))))
+    artifact = J.record(location=location, hashes=F.when(known, J.record(**digests)))
+    invocation = J.record(executionSuccessful=F.lit(True), endTimeUtc=F.lit(generated_at))
+    run = J.splice(
+        J.member("tool", J.splice(J.member("driver", driver))),
+        J.members(J.leaf(artifacts=F.array(artifact), invocations=F.array(invocation))),
+        J.member("results", F.coalesce(J.joined(c("results")), empty)),
     )
-    return J.obj_of([("$schema", J.text(F.lit(SCHEMA))), ("version", J.text(F.lit("2.1.0"))), ("runs", J.arr(run))])
+    head = J.leaf(**{"$schema": F.lit(SCHEMA)}, version=F.lit("2.1.0"))
+    return J.splice(J.members(head), J.member("runs", F.concat(F.lit("["), run, F.lit("]"))))
 
 
 def emit_sarif(

@@ -15,171 +15,185 @@ SECTIONS = [
 NAMESPACE = "https://spdx.org/spdxdocs/fleetrisk/"
 
 
-def namespace(sha: Column, name: Column) -> Column:
-    return F.concat(F.lit(NAMESPACE), S.serial_uuid(F.concat(F.coalesce(sha, F.lit("")), F.coalesce(name, F.lit("")))))
+def namespace() -> Column:
+    seed = F.concat(F.coalesce("primary_sha256", F.lit("")), F.coalesce("name", F.lit("")))
+    return F.concat(F.lit(NAMESPACE), S.serial_uuid(seed))
 
 
-def _node(kind: str, spdx_id: Column, fields: list[tuple[str, Column]]) -> Column:
-    head = [("type", J.text(F.lit(kind))), ("spdxId", J.text(spdx_id)), ("creationInfo", J.text(F.lit("_:creationinfo")))]
-    return J.obj_of(head + fields)
+def _node(kind: str, spdx_id: Column, **fields: Column) -> Column:
+    return J.leaf(type=F.lit(kind), spdxId=spdx_id, creationInfo=F.lit("_:creationinfo"), **fields)
 
 
 def _hashes(prefix: str = "") -> Column:
     def one(bits: int) -> Column:
         value = nullif_empty(F.col(f"{prefix}sha{bits}"))
-        fields = J.obj(type=J.text(F.lit("Hash")), algorithm=J.text(F.lit(f"sha{bits}")), hashValue=J.text(value))
-        return F.when(value.isNotNull(), fields)
+        entry = J.record(type=F.lit("Hash"), algorithm=F.lit(f"sha{bits}"), hashValue=value)
+        return F.when(value.isNotNull(), entry)
 
-    return J.non_empty(J.arr(one(256), one(384), one(512)))
+    return J.present(one(256), one(384), one(512))
 
 
 def _entry(key: Column, value: Column) -> Column:
-    fields = J.obj(type=J.text(F.lit("DictionaryEntry")), key=J.text(key), value=J.text(value))
-    return F.when(value.isNotNull(), fields)
-
+    return F.when(value.isNotNull(), J.record(type=F.lit("DictionaryEntry"), key=key, value=value))
+
+
+def _relation(local: Column, kind: str, targets_json: Column) -> Column:
+    """Relationship from the model to targets that already are a JSON array."""
+    ns = F.col("_ns")
+    head = J.leaf(
+        type=F.lit("Relationship"),
+        spdxId=F.concat(ns, F.lit("#"), local),
+        creationInfo=F.lit("_:creationinfo"),
+        **{"from": F.concat(ns, F.lit("#model"))},
+        relationshipType=F.lit(kind),
+    )
+    return F.when(targets_json.isNotNull(), J.splice(J.members(head), J.member("to", targets_json)))
 
-def _relation(ns: Column, local: Column, kind: str, targets: Column) -> Column:
-    model = F.concat(ns, F.lit("#model"))
-    fields = [("from", J.text(model)), ("relationshipType", J.text(F.lit(kind))), ("to", targets)]
-    return _node("Relationship", F.concat(ns, F.lit("#"), local), fields)
 
+def spdx_nodes(
+    profiles: DataFrame,
+    files: DataFrame,
+    datasets: DataFrame,
+    findings: DataFrame,
+    hyperparameters: DataFrame | None = None,
+    references: DataFrame | None = None,
+) -> DataFrame:
+    """List members of the graphs as nodes. ``references`` are base models only.
 
-def spdx_nodes(profiles, files, datasets, findings, hyperparameters=None, references=None) -> DataFrame:
-    """List members of the graphs as nodes. ``references`` are base models only."""
+    The profile is read for several lists, so pass a written or checkpointed one.
+    """
     c = F.col
-    facts = profiles.select("artifact_id", namespace(c("primary_sha256"), c("name")).alias("_ns"))
-    local = S.short_id(nullif_empty(c("sha256")), c("path"))
-    others = files.filter(c("role") != "primary").join(facts, "artifact_id")
-    file_id = F.concat("_ns", F.lit("#file-"), local)
-    file_node = _node("software_File", file_id, [("name", J.text(c("path"))), ("verifiedUsing", _hashes())])
-    contains = _relation(c("_ns"), F.concat(F.lit("rel-file-"), local), "contains", J.arr(J.text(file_id)))
-    result = J.nodes(others, "files", F.lit(0), c("path"), file_node)
-    result = result.unionByName(J.nodes(others, "rel_files", F.lit(0), c("path"), contains))
-
-    def named(rows: DataFrame, section: str, ids: str, label: str, kind: str, fields) -> DataFrame:
-        joined = rows.join(facts, "artifact_id")
+    facts = profiles.select("artifact_id", namespace().alias("_ns"))
+    others = (
+        files.filter(c("role") != "primary")
+        .join(facts, "artifact_id")
+        .withColumn("_local", S.short_id(nullif_empty(c("sha256")), c("path")))
+        .withColumn("_id", F.concat("_ns", F.lit("#file-"), "_local"))
+    )
+    file_node = _node("software_File", c("_id"), name=c("path"), verifiedUsing=_hashes())
+    contains = _relation(F.concat(F.lit("rel-file-"), "_local"), "contains", F.to_json(F.array("_id")))
+    result = J.nodes(others, "files", F.lit(0), c("path"), file_node).unionByName(
+        J.nodes(others, "rel_files", F.lit(0), c("path"), contains)
+    )
+
+    def named(rows: DataFrame, section: str, ids: str, label: str, node: Column) -> DataFrame:
         node_id = F.concat("_ns", F.lit(f"#{label}-"), S.slug(c("name")), F.lit("-"), c("ord").cast("string"))
-        members = J.nodes(joined, section, c("ord"), c("name"), _node(kind, node_id, fields))
-        return members.unionByName(J.nodes(joined, ids, c("ord"), c("name"), J.text(node_id)))
+        joined = rows.join(facts, "artifact_id").withColumn("_id", node_id)
+        return J.nodes(joined, section, c("ord"), c("name"), node).unionByName(
+            J.nodes(joined, ids, c("ord"), c("name"), J.quoted(c("_id")))
+        )
 
-    location = ("software_downloadLocation", J.text(F.lit("NOASSERTION")))
-    data_fields = [("name", J.text(c("name"))), ("dataset_datasetType", J.arr(J.text(F.lit("other")))), location]
-    result = result.unionByName(named(datasets, "datasets", "dataset_ids", "dataset", "dataset_DatasetPackage", data_fields))
+    nowhere = F.lit("NOASSERTION")
+    dataset = _node(
+        "dataset_DatasetPackage",
+        c("_id"),
+        name=c("name"),
+        dataset_datasetType=F.array(F.lit("other")),
+        software_downloadLocation=nowhere,
+    )
+    result = result.unionByName(named(datasets, "datasets", "dataset_ids", "dataset", dataset))
     if references is not None:
-        where = F.coalesce(nullif_empty(c("url")), F.lit("NOASSERTION"))
-        base_fields = [("name", J.text(c("name"))), ("software_downloadLocation", J.text(where))]
-        result = result.unionByName(named(references, "basemodels", "basemodel_ids", "basemodel", "ai_AIPackage", base_fields))
+        where = F.coalesce(nullif_empty(c("url")), nowhere)
+        base = _node("ai_AIPackage", c("_id"), name=c("name"), software_downloadLocation=where)
+        result = result.unionByName(named(references, "basemodels", "basemodel_ids", "basemodel", base))
     if hyperparameters is not None:
-        entry = _entry(c("name"), c("value"))
+        entry = F.to_json(_entry(c("name"), c("value")))
         result = result.unionByName(J.nodes(hyperparameters, "hyperparameters", F.lit(0), c("name"), entry))
     # limitation lines are plain text here; the document joins them into one string
     line = F.concat(F.lit("["), "severity", F.lit("] "), "id", F.lit(": "), F.coalesce("title", F.lit("")))
     rank = S.severity_rank(c("severity")).cast("bigint")
-    return result.unionByName(
-        J.nodes(findings, "limitations", rank * 1_000_000_000_000 + c("ord"), c("id"), line)
-    )
+    return result.unionByName(J.nodes(findings, "limitations", rank * 1_000_000_000_000 + c("ord"), c("id"), line))
 
 
 def _document(generated_at: str, tool_version: str) -> Column:
     c = F.col
     name = F.coalesce("name", F.lit(""))
-    ns = c("_ns")
 
     def local(text: str) -> Column:
-        return F.concat(ns, F.lit("#" + text))
+        return F.concat("_ns", F.lit("#" + text))
 
-    tool_id = J.arr(J.text(local("tool")))
+    profiles = ["core", "software", "ai", "dataset", "simpleLicensing"]
     document = _node(
         "SpdxDocument",
         local("document"),
-        [
-            ("name", J.text(F.concat(name, F.lit(" bill of materials")))),
-            ("profileConformance", J.arr(*[J.text(F.lit(p)) for p in ("core", "software", "ai", "dataset", "simpleLicensing")])),
-            ("rootElement", J.arr(J.text(local("model")))),
-        ],
+        name=F.concat(name, F.lit(" bill of materials")),
+        profileConformance=F.array(*map(F.lit, profiles)),
+        rootElement=F.array(local("model")),
     )
-    creation = J.obj_of(
-        [
-            ("type", J.text(F.lit("CreationInfo"))),
-            ("@id", J.text(F.lit("_:creationinfo"))),
-            ("specVersion", J.text(F.lit("3.0.1"))),
-            ("created", J.text(F.lit(generated_at))),
-            ("createdBy", tool_id),
-            ("createdUsing", tool_id),
-        ]
+    creation = J.leaf(
+        type=F.lit("CreationInfo"),
+        **{"@id": F.lit("_:creationinfo")},
+        specVersion=F.lit("3.0.1"),
+        created=F.lit(generated_at),
+        createdBy=F.array(local("tool")),
+        createdUsing=F.array(local("tool")),
     )
-    tool = _node("Tool", local("tool"), [("name", J.text(F.lit(f"fleetrisk {tool_version}")))])
+    tool = _node("Tool", local("tool"), name=F.lit(f"fleetrisk {tool_version}"))
     maker = F.coalesce("organization", "author")
-    supplier = F.when(maker.isNotNull(), _node("Organization", local("supplier"), [("name", J.text(maker))]))
+    supplier = F.when(maker.isNotNull(), _node("Organization", local("supplier"), name=maker))
     measured = F.when(c("measured_parameters") > 0, c("measured_parameters").cast("string"))
-    own = F.array_compact(
-        F.array(
+    none = F.array().cast("array<string>")
+
+    def entries(*values: Column) -> Column:
+        return F.transform(F.array_compact(F.array(*values)), lambda e: F.to_json(e))
+
+    stated = F.concat(
+        entries(
             _entry(F.lit("quantization"), c("quantization")),
             _entry(F.lit("parameterCount"), c("parameter_count")),
             _entry(F.lit("measuredParameters"), measured),
             _entry(F.lit("inputOutputSignature"), S.io_signature(c("inputs"), c("outputs"))),
-        )
+        ),
+        F.coalesce("hyperparameters_nodes", none),
+        entries(_entry(F.lit("primaryFile"), nullif_empty(c("primary_path")))),
     )
-    empty = F.array().cast("array<string>")
-    primary = F.array_compact(F.array(_entry(F.lit("primaryFile"), nullif_empty(c("primary_path")))))
-    entries = F.concat(own, F.coalesce("hyperparameters_nodes", empty), primary)
     limits = F.when(F.size("limitations_nodes") > 0, F.array_join("limitations_nodes", "\n"))
-    has_hash = F.coalesce("primary_sha256", F.lit("")) != ""
-    model = _node(
+    before = _node(
         "ai_AIPackage",
         local("model"),
-        [
-            ("name", J.text(name)),
-            ("software_primaryPurpose", J.text(F.lit("other"))),
-            ("software_downloadLocation", J.text(F.coalesce("url", "repo_url", F.lit("NOASSERTION")))),
-            ("software_packageVersion", J.text(c("version"))),
-            ("suppliedBy", F.when(maker.isNotNull(), J.text(local("supplier")))),
-            ("description", J.text(c("description"))),
-            ("ai_typeOfModel", F.when(c("architecture").isNotNull(), J.arr(J.text(c("architecture"))))),
-            ("ai_hyperparameter", J.joined(entries)),
-            ("verifiedUsing", F.when(has_hash, _hashes("primary_"))),
-            ("ai_limitation", J.text(limits)),
-        ],
-    )
-    license_node = F.when(
-        c("license").isNotNull(),
-        _node(
-            "simplelicensing_LicenseExpression", local("license"), [("simplelicensing_licenseExpression", J.text(c("license")))]
-        ),
+        name=name,
+        software_primaryPurpose=F.lit("other"),
+        software_downloadLocation=F.coalesce("url", "repo_url", F.lit("NOASSERTION")),
+        software_packageVersion=c("version"),
+        suppliedBy=F.when(maker.isNotNull(), local("supplier")),
+        description=c("description"),
+        ai_typeOfModel=F.when(c("architecture").isNotNull(), F.array("architecture")),
     )
-
-    def relation(local_name: str, kind: str, ids: str) -> Column:
-        targets = J.joined(c(ids))
-        return F.when(targets.isNotNull(), _relation(ns, F.lit(local_name), kind, targets))
-
-    licensed = F.when(
-        c("license").isNotNull(), _relation(ns, F.lit("rel-license"), "hasDeclaredLicense", J.arr(J.text(local("license"))))
+    has_hash = F.coalesce("primary_sha256", F.lit("")) != ""
+    after = J.leaf(verifiedUsing=F.when(has_hash, _hashes("primary_")), ai_limitation=limits)
+    model = J.splice(J.members(before), J.member("ai_hyperparameter", J.joined(stated)), J.members(after))
+    licensed = c("license").isNotNull()
+    license_node = _node(
+        "simplelicensing_LicenseExpression", local("license"), simplelicensing_licenseExpression=c("license")
     )
     graph = F.concat(
         F.array_compact(F.array(document, creation, tool, supplier, model)),
-        F.coalesce("files_nodes", empty),
-        F.coalesce("datasets_nodes", empty),
-        F.coalesce("basemodels_nodes", empty),
-        F.array_compact(F.array(license_node)),
-        F.coalesce("rel_files_nodes", empty),
+        F.coalesce("files_nodes", none),
+        F.coalesce("datasets_nodes", none),
+        F.coalesce("basemodels_nodes", none),
+        F.array_compact(F.array(F.when(licensed, license_node))),
+        F.coalesce("rel_files_nodes", none),
         F.array_compact(
             F.array(
-                relation("rel-trainedon", "trainedOn", "dataset_ids_nodes"),
-                relation("rel-ancestry", "descendantOf", "basemodel_ids_nodes"),
-                licensed,
+                _relation(F.lit("rel-trainedon"), "trainedOn", J.joined(c("dataset_ids_nodes"))),
+                _relation(F.lit("rel-ancestry"), "descendantOf", J.joined(c("basemodel_ids_nodes"))),
+                _relation(
+                    F.lit("rel-license"),
+                    "hasDeclaredLicense",
+                    F.when(licensed, F.to_json(F.array(local("license")))),
+                ),
             )
         ),
     )
-    return J.obj_of(
-        [("@context", J.text(F.lit("https://spdx.org/rdf/3.0.1/spdx-context.jsonld"))), ("@graph", J.joined(graph))]
-    )
+    context = J.leaf(**{"@context": F.lit("https://spdx.org/rdf/3.0.1/spdx-context.jsonld")})
+    return J.splice(J.members(context), J.member("@graph", J.joined(graph)))
 
 
 def emit_spdx(
     profiles: DataFrame, node_rows: DataFrame, generated_at: str, tool_version: str = "1.0", limit: int = J.NODE_LIMIT
 ) -> DataFrame:
     """``(artifact_id, document, large)``. ``node_rows`` comes from ``spdx_nodes``."""
-    heads = profiles.withColumn("_ns", namespace(F.col("primary_sha256"), F.col("name")))
+    heads = profiles.withColumn("_ns", namespace())
     if "parameter_count" not in heads.columns:
         heads = heads.withColumn("parameter_count", F.lit(None).cast("string"))
     renamed = node_rows.withColumn("section", F.concat("section", F.lit("_nodes")))
