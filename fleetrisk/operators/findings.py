@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as S
 from ..functions import values as V
+from ..functions.lookups import lookup
 from .skew import first_n_per_key, first_row_per_key
 
 FINDING_COLUMNS = [
@@ -62,11 +63,12 @@ def cap_detail(findings: DataFrame, keys: list[str] | None = None, cap: int = V.
 
 
 def worst_severity(findings: DataFrame) -> DataFrame:
-    """Most severe severity per artifact; an unknown severity ranks last but still counts."""
-    rank = S.severity_rank(F.col("severity"))
-    return findings.groupBy("artifact_id").agg(
-        F.min_by("severity", F.struct(rank.alias("rank"), F.col("ord"))).alias("worst")
-    )
+    """Most severe severity per artifact; anything outside the four known ones ranks last, as Unknown.
+
+    Only the rank is aggregated: an integer buffer keeps this a hash aggregate without a sort.
+    """
+    worst = findings.groupBy("artifact_id").agg(F.min(S.severity_rank(F.col("severity"))).alias("_rank"))
+    return worst.select("artifact_id", lookup(dict(enumerate(V.SEVERITIES)), F.col("_rank")).alias("worst"))
 
 
 def exit_class(findings: DataFrame) -> DataFrame:
