@@ -14,11 +14,11 @@ def fan_out(df: DataFrame) -> int:
 def first_n_per_key(df: DataFrame, keys: list[str], order: list[Column], n: int, position: str | None = None) -> DataFrame:
     """The first ``n`` rows of every key in ``order``.
 
-    Ranks within salted slices first, so that a hot key is cut to at most ``slices * n`` rows
-    before its rows meet in one window. ``order`` must be a total order within a key.
+    Ranks within slices first, so that a hot key is cut to at most ``slices * n`` rows before its rows
+    meet in one window. A slice is a group of input partitions: any slicing gives the same result, and a
+    task that is run again puts its rows into the same slice. ``order`` must be total within a key.
     """
-    slices = fan_out(df)
-    salted = df.withColumn("_slice", F.pmod(F.xxhash64(*order), F.lit(slices)))
+    salted = df.withColumn("_slice", F.pmod(F.spark_partition_id(), F.lit(fan_out(df))))
     by_slice = Window.partitionBy(*keys, "_slice").orderBy(*order)
     by_key = Window.partitionBy(*keys).orderBy(*order)
     kept = (
