@@ -15,7 +15,11 @@ from ..operators.skew import first_n_per_key
 
 
 def read_files(spark: SparkSession, root: str) -> DataFrame:
-    """Every file below ``root/<artifact_id>/``. Column pruning drops ``content`` when nobody asks for it."""
+    """Files below ``root/<artifact_id>/``. Column pruning drops ``content`` when nobody asks for it.
+
+    Spark's own listing passes over names that start with a dot or an underscore; where those matter, bring
+    a listing table and read their contents by URI.
+    """
     base = root.rstrip("/") + "/"
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
     below = F.regexp_extract("path", r"^.*?" + java_literal(base) + r"(.*)$", 1)
