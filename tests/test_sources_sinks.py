@@ -121,10 +121,11 @@ def fleet(spark):
     return dict(profiles=profiles, artifacts=artifacts, files=files, licenses=licenses, datasets=datasets, domains=domains, findings=found)
 
 
-def test_cyclonedx_round_trip(spark, fleet):
+def test_cyclonedx_round_trip(spark, fleet, tmp_path):
     f = fleet
     nodes = CX.cyclonedx_nodes(f["profiles"], f["files"], f["licenses"], f["datasets"], f["domains"], f["findings"])
-    documents = CX.emit_cyclonedx(f["profiles"], nodes, NOW, "1.7")
+    J.write_documents(CX.emit_cyclonedx(f["profiles"], nodes, NOW, "1.7"), nodes, str(tmp_path / "boms"))
+    documents = spark.read.json(str(tmp_path / "boms" / "documents"))
     texts = {r.artifact_id: json.loads(r.document) for r in documents.collect()}
     a = texts["a"]
     assert a["specVersion"] == "1.7" and a["metadata"]["component"]["purl"] == "pkg:huggingface/o/r"
@@ -150,11 +151,12 @@ def test_cyclonedx_round_trip(spark, fleet):
     assert not row.verified and row.failed == 1 and row.not_in_document == 1
 
 
-def test_spdx_round_trip(spark, fleet):
+def test_spdx_round_trip(spark, fleet, tmp_path):
     f = fleet
     refs = spark.createDataFrame([("a", 0, "o/base", "u", None)], "artifact_id string, ord int, name string, url string, doi string")
     nodes = SP.spdx_nodes(f["profiles"], f["files"], f["datasets"], f["findings"], references=refs)
-    documents = SP.emit_spdx(f["profiles"], nodes, NOW)
+    J.write_documents(SP.emit_spdx(f["profiles"], nodes, NOW), nodes, str(tmp_path / "boms"))
+    documents = spark.read.json(str(tmp_path / "boms" / "documents"))
     graph = json.loads(documents.filter("artifact_id = 'a'").first().document)["@graph"]
     kinds = [n["type"] for n in graph]
     assert kinds.count("software_File") == 1 and kinds.count("dataset_DatasetPackage") == 2 and kinds.count("ai_AIPackage") == 2
