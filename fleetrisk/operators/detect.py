@@ -68,12 +68,12 @@ def _operand(content: Column, name: str) -> Column:
     return _has(content, short) | _has(content, long)
 
 
-def with_imports(files: DataFrame) -> DataFrame:
+def with_imports(files: DataFrame, column: str = "content") -> DataFrame:
     """Adds ``imports``: the dangerous callables a stream names, in either encoding.
 
     The rare bytes are looked for first: a module that occurs nowhere rules out its callables.
     """
-    content = F.col("content")
+    content = F.col(column)
     modules = sorted({name.split(".", 1)[0] for name in V.DANGEROUS_IMPORTS})
     flags = {f"_m_{i}": _has(content, m.encode()) for i, m in enumerate(modules)}
     flags["_combines"] = _has(content, bytes([V.PICKLE_STACK_GLOBAL]))
@@ -130,31 +130,35 @@ def _sniffed(path: Column, content: Column) -> Column:
     return (~ext.isin(V.KNOWN_EXTS) | not_array) & (F.length(content) >= 4)
 
 
+def _is_pickle_file(path: Column, content: Column) -> Column:
+    """Named a pickle or a torch file and not a zip container, or an unknown file with the magic bytes."""
+    ext = S.extension(path)
+    named = ext.isin(V.DECLARED_PICKLE_EXTS) | ext.isin(V.TORCH_EXTS)
+    return (named & ~_begins(content, V.MAGIC_ZIP)) | (_sniffed(path, content) & is_pickle_magic(content))
+
+
 def _pickle_candidates(files: DataFrame) -> DataFrame:
     """Files the pickle rules apply to, with ``declared`` (named a pickle) and the imports they name."""
-    ext, content = S.extension(F.col("path")), F.col("content")
-    zipped = _begins(content, V.MAGIC_ZIP)
-    named = ext.isin(V.DECLARED_PICKLE_EXTS) | ext.isin(V.TORCH_EXTS)
-    sniffed = _sniffed(F.col("path"), content) & is_pickle_magic(content)
-    rows = files.filter((named & ~zipped) | sniffed)
-    return with_imports(rows.withColumn("declared", ext.isin(V.DECLARED_PICKLE_EXTS)))
+    rows = files.filter(_is_pickle_file(F.col("path"), F.col("content")))
+    return with_imports(rows.withColumn("declared", S.extension(F.col("path")).isin(V.DECLARED_PICKLE_EXTS)))
 
 
 def detect_dangerous_import(files: DataFrame) -> DataFrame:
     return emit(_pickle_candidates(files), dangerous_imports(F.col("path")))
 
 
+def container_findings(path: Column, content: Column) -> Column:
+    ext = S.extension(path)
+    container = (ext.isin(V.TORCH_EXTS) | ext.isin(V.DECLARED_PICKLE_EXTS)) & _begins(content, V.MAGIC_ZIP)
+    note = finding("AR-PICKLE-002", "Torch zip container", "Medium", path, "loading it unpickles its members by default")
+    return rows_where((container, note))
+
+
 def detect_pickle_fallback(files: DataFrame) -> DataFrame:
     """Pickles without a dangerous import, and torch containers."""
-    ext = S.extension(F.col("path"))
-    fallback = emit(_pickle_candidates(files), pickle_fallback(F.col("content"), F.col("path"), F.col("declared")))
-    container = files.filter(
-        (ext.isin(V.TORCH_EXTS) | ext.isin(V.DECLARED_PICKLE_EXTS)) & _begins(F.col("content"), V.MAGIC_ZIP)
-    )
-    note = finding(
-        "AR-PICKLE-002", "Torch zip container", "Medium", F.col("path"), "loading it unpickles its members by default"
-    )
-    return fallback.unionByName(emit(container, F.array(note)))
+    path, content = F.col("path"), F.col("content")
+    fallback = emit(_pickle_candidates(files), pickle_fallback(content, path, F.col("declared")))
+    return fallback.unionByName(emit(files, container_findings(path, content)))
 
 
 # --- source text -----------------------------------------------------------------------------------------
@@ -193,36 +197,32 @@ def detect_python_rules(files: DataFrame) -> DataFrame:
 
 
 # --- JSON configuration --------------------------------------------------------------------------------------
-def _configs(files: DataFrame, max_bytes: int) -> DataFrame:
-    rows = files.filter((S.extension(F.col("path")) == ".json") & (F.length("content") <= max_bytes))
-    parsed = F.try_parse_json(F.decode("content", "UTF-8"))
-    is_object = F.startswith(F.schema_of_variant("_doc"), F.lit("OBJECT"))
-    return rows.withColumn("_doc", parsed).filter(F.col("_doc").isNotNull() & is_object)
+def _config_text(max_bytes: int) -> Column:
+    """Text of a JSON file small enough to be a configuration, else NULL."""
+    usable = (S.extension(F.col("path")) == ".json") & (F.length("content") <= max_bytes)
+    return F.when(usable, F.decode("content", "UTF-8"))
+
+
+def _config_document(text: Column) -> Column:
+    """The document as a variant when it is a JSON object, else NULL."""
+    document = F.try_parse_json(text)
+    return F.when(F.startswith(F.schema_of_variant(document), F.lit("OBJECT")), document)
+
+
+def config_flag_findings(document: Column, path: Column) -> Column:
+    flag = F.try_variant_get(document, "$.trust_remote_code", "variant")
+    enabled = (F.schema_of_variant(flag) == "BOOLEAN") & F.try_variant_get(document, "$.trust_remote_code", "boolean")
+    mapped = F.array_contains(F.map_keys(document.cast("map<string,variant>")), "auto_map")
+    return rows_where(
+        (enabled, finding("AR-HF-001", "trust_remote_code is enabled", "Critical", path, "loading runs shipped code")),
+        (mapped, finding("AR-HF-002", "auto_map names custom classes", "High", path, "loading imports shipped code")),
+    )
 
 
 def detect_config_flags(files: DataFrame, max_bytes: int = V.MAX_CONFIG_BYTES) -> DataFrame:
     """Settings that hand execution to code shipped with the weights. Larger files are not configurations."""
-    rows = _configs(files, max_bytes)
-    flag = F.try_variant_get("_doc", "$.trust_remote_code", "variant")
-    enabled = (F.schema_of_variant(flag) == "BOOLEAN") & F.try_variant_get("_doc", "$.trust_remote_code", "boolean")
-    mapped = F.array_contains(F.map_keys(F.col("_doc").cast("map<string,variant>")), "auto_map")
-    return emit(
-        rows,
-        rows_where(
-            (
-                F.coalesce(enabled, F.lit(False)),
-                finding(
-                    "AR-HF-001", "trust_remote_code is enabled", "Critical", F.col("path"), "loading runs shipped code"
-                ),
-            ),
-            (
-                mapped,
-                finding(
-                    "AR-HF-002", "auto_map names custom classes", "High", F.col("path"), "loading imports shipped code"
-                ),
-            ),
-        ),
-    )
+    rows = files.withColumn("_doc", _config_document(_config_text(max_bytes))).filter("_doc IS NOT NULL")
+    return emit(rows, config_flag_findings(F.col("_doc"), F.col("path")))
 
 
 HITS = T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in ("where", "key", "target")]))
@@ -329,28 +329,41 @@ def keras_config_findings(content: Column, text: Column, location: Column) -> Co
     return F.concat(layers, imports)
 
 
-def detect_keras_config(files: DataFrame) -> DataFrame:
-    """HDF5 files and the ``config.json`` member of Keras archives (path ``model.keras!config.json``)."""
+def with_keras_columns(files: DataFrame) -> DataFrame:
+    """Adds the text of HDF5 files and Keras archive members, and where a configuration starts in it."""
     path, content = F.col("path"), F.col("content")
-    ext = S.extension(path)
     member = F.endswith(path, F.lit(".keras!config.json"))
-    hdf5_name = ext.isin(V.HDF5_EXTS)
-    hdf5 = hdf5_name | (_sniffed(path, content) & _begins(content, V.MAGIC_HDF5))
-    rows = files.filter(member | hdf5).withColumn("_text", F.decode("content", "ISO-8859-1"))
-    start = F.locate('"class_name"', F.col("_text"))
-    anchored = F.when(member, F.col("_text")).when(start > 0, F.substr("_text", start))
-    rows = rows.withColumns({"_anchored": anchored, "_start": start})
-    renamed = hdf5_name & ~member & (F.col("_start") == 0) & ~_begins(content, V.MAGIC_HDF5)
+    named = S.extension(path).isin(V.HDF5_EXTS)
+    hdf5 = named | (_sniffed(path, content) & _begins(content, V.MAGIC_HDF5))
+    rows = files.withColumns(
+        {
+            "_keras": F.when(member | hdf5, F.decode(content, "ISO-8859-1")),
+            "_misnamed": named & ~member & ~_begins(content, V.MAGIC_HDF5),
+            "_member": member,
+        }
+    )
+    rows = rows.withColumn("_start", F.locate('"class_name"', F.col("_keras")))
+    anchored = F.when(F.col("_member"), F.col("_keras")).when(F.col("_start") > 0, F.substr("_keras", F.col("_start")))
+    return rows.withColumn("_anchored", anchored)
+
+
+def keras_findings(path: Column, content: Column) -> Column:
+    """Over the columns of ``with_keras_columns``."""
+    renamed = F.col("_misnamed") & (F.col("_start") == 0)
     note = finding(
         "AR-KERAS-004", "File named as a Keras model is not HDF5", "Medium", path, "the header is not HDF5"
     )
     found = F.when(F.col("_anchored").isNotNull(), keras_config_findings(content, F.col("_anchored"), path))
-    return emit(rows, F.coalesce(found, rows_where((renamed, note))))
+    return F.coalesce(found, rows_where((renamed, note)))
 
 
-def detect_graph_ops(files: DataFrame) -> DataFrame:
-    """Operation names a graph should not need, by substring; ONNX external data that climbs out."""
-    path, content = F.col("path"), F.col("content")
+def detect_keras_config(files: DataFrame) -> DataFrame:
+    """HDF5 files and the ``config.json`` member of Keras archives (path ``model.keras!config.json``)."""
+    rows = with_keras_columns(files).filter("_keras IS NOT NULL")
+    return emit(rows, keras_findings(F.col("path"), F.col("content")))
+
+
+def graph_findings(path: Column, content: Column) -> Column:
     ext = S.extension(path)
     saved = [
         (
@@ -368,58 +381,69 @@ def detect_graph_ops(files: DataFrame) -> DataFrame:
     ]
     climbs = (ext == ".onnx") & (_has(content, b"external_data") | _has(content, b"location")) & _has(content, b"../")
     escape = finding("AR-ONNX-002", "External data leaves the directory", "Critical", path, "a reference contains ../")
-    return emit(files.filter(ext.isin(".pb", ".onnx")), rows_where(*saved, *onnx, (climbs, escape)))
+    return rows_where(*saved, *onnx, (climbs, escape))
 
 
-def detect_magic(files: DataFrame) -> DataFrame:
-    """Payloads behind an extension without a reader of its own. Pickles and HDF5 go to their detectors."""
-    path, content = F.col("path"), F.col("content")
-    first_line = F.btrim(F.regexp_extract(F.decode(content, "ISO-8859-1"), r"^([^\n]*)", 1), F.lit(S.WHITESPACE))
+def detect_graph_ops(files: DataFrame) -> DataFrame:
+    """Operation names a graph should not need, by substring; ONNX external data that climbs out."""
+    rows = files.filter(S.extension(F.col("path")).isin(".pb", ".onnx"))
+    return emit(rows, graph_findings(F.col("path"), F.col("content")))
+
+
+def magic_findings(path: Column, content: Column) -> Column:
+    """Pickles and HDF5 are left to their own detectors."""
+    first_line = F.btrim(F.substring_index(F.decode(content, "ISO-8859-1"), "\n", 1), F.lit(S.WHITESPACE))
+
+    def native(number: int, name: str) -> Column:
+        return finding(f"AR-BIN-{number:03d}", f"{name} executable in a model artifact", "High", path, "native executable")
+
     kind = (
-        F.when(
-            _begins(content, V.MAGIC_ELF),
-            finding("AR-BIN-001", "ELF executable in a model artifact", "High", path, "native executable"),
-        )
-        .when(
-            _begins(content, V.MAGIC_PE),
-            finding("AR-BIN-002", "PE executable in a model artifact", "High", path, "native executable"),
-        )
-        .when(
-            any_of(_begins(content, m) for m in V.MAGIC_MACHO),
-            finding("AR-BIN-003", "Mach-O executable in a model artifact", "High", path, "native executable"),
-        )
+        F.when(_begins(content, V.MAGIC_ELF), native(1, "ELF"))
+        .when(_begins(content, V.MAGIC_PE), native(2, "PE"))
+        .when(any_of(_begins(content, m) for m in V.MAGIC_MACHO), native(3, "Mach-O"))
         .when(is_pickle_magic(content) | _begins(content, V.MAGIC_HDF5), F.lit(None).cast(FINDING))
         .when(
             _begins(content, V.MAGIC_SHEBANG),
             finding("AR-SHELL-002", "Script with an interpreter line", "Medium", path, first_line),
         )
     )
-    return emit(files.filter(_sniffed(path, content)), F.array_compact(F.array(kind)))
+    return F.array_compact(F.array(F.when(_sniffed(path, content), kind)))
 
 
-def detect_npy(files: DataFrame) -> DataFrame:
-    """Array headers: an implausible length, or object elements, which are pickles."""
-    path, content = F.col("path"), F.col("content")
+def detect_magic(files: DataFrame) -> DataFrame:
+    """Payloads behind an extension without a reader of its own."""
+    return emit(files, magic_findings(F.col("path"), F.col("content")))
+
+
+def with_array_header(files: DataFrame) -> DataFrame:
+    """Adds the declared header length of array files and where the header starts."""
+    content = F.col("content")
+    array = (S.extension(F.col("path")) == ".npy") & _begins(content, V.MAGIC_NUMPY) & (F.length(content) >= 8)
     wide = _byte(content, 7) >= 2
     length = F.when(wide, little_endian(content, 9, 4)).otherwise(little_endian(content, 9, 2))
-    offset = F.when(wide, 13).otherwise(11)
-    rows = files.filter((S.extension(path) == ".npy") & _begins(content, V.MAGIC_NUMPY) & (F.length(content) >= 8))
-    rows = rows.withColumns({"_length": length, "_offset": offset})
+    return files.withColumns({"_length": F.when(array, length), "_offset": F.when(wide, 13).otherwise(11)})
+
+
+def array_findings(path: Column, content: Column) -> Column:
+    """Over the columns of ``with_array_header``."""
     implausible = (F.col("_length") <= 0) | (F.col("_length") > V.MAX_NPY_HEADER)
     header = F.when(
         ~implausible & (F.length(content) >= F.col("_offset") - 1 + F.col("_length")),
         F.substr(content, F.col("_offset"), F.col("_length").cast("int")),
     )
-    objects = F.coalesce(_has(header, b"'|O'") | _has(header, b"'O'"), F.lit(False))
-    return emit(
-        rows,
-        rows_where(
-            (implausible, finding("AR-NPY-002", "Implausible array header length", "Medium", path, "header length")),
-            (objects, finding("AR-NPY-001", "Object array", "High", path, "its elements are pickles")),
-        ),
+    objects = _has(header, b"'|O'") | _has(header, b"'O'")
+    return rows_where(
+        (implausible, finding("AR-NPY-002", "Implausible array header length", "Medium", path, "header length")),
+        (objects, finding("AR-NPY-001", "Object array", "High", path, "its elements are pickles")),
     )
 
 
+def detect_npy(files: DataFrame) -> DataFrame:
+    """Array headers: an implausible length, or object elements, which are pickles."""
+    rows = with_array_header(files).filter("_length IS NOT NULL")
+    return emit(rows, array_findings(F.col("path"), F.col("content")))
+
+
 # --- listings ---------------------------------------------------------------------------------------------------
 def detect_file_meta(listing: DataFrame, root: str = "/artifact") -> DataFrame:
     """Native libraries, shell scripts, executable bits and escaping links of a file listing."""
@@ -618,21 +642,46 @@ def detect_component(references: DataFrame, files: DataFrame, max_files: int = V
     )
 
 
-def inspect_contents(files: DataFrame) -> DataFrame:
-    """All content detectors over a file table."""
-    detectors = [
-        detect_dangerous_import,
-        detect_pickle_fallback,
-        detect_python_rules,
-        detect_config_flags,
-        detect_instantiation,
-        detect_keras_config,
-        detect_graph_ops,
-        detect_magic,
-        detect_npy,
+def inspect_contents(files: DataFrame, max_config_bytes: int = V.MAX_CONFIG_BYTES) -> DataFrame:
+    """All content detectors over a file table.
+
+    One scan serves every array-valued detector: a column of a detector is NULL where it does not apply,
+    which makes its findings empty. Only small configurations are read a second time, for the JSON walk.
+    """
+    path, content = F.col("path"), F.col("content")
+    rows = files.select("artifact_id", "path", "content").withColumns(
+        {
+            "declared": S.extension(path).isin(V.DECLARED_PICKLE_EXTS),
+            "_pickle": F.when(_is_pickle_file(path, content), content),
+            "_text": F.when(S.extension(path) == ".py", F.decode(content, "UTF-8")),
+            "_doc": _config_document(_config_text(max_config_bytes)),
+        }
+    )
+    rows = with_array_header(with_keras_columns(with_rule_positions(with_imports(rows, "_pickle"), "_text")))
+    parts = [
+        dangerous_imports(path),
+        pickle_fallback(F.col("_pickle"), path, F.col("declared")),
+        container_findings(path, content),
+        python_findings(F.col("_text"), path),
+        config_flag_findings(F.col("_doc"), path),
+        keras_findings(path, content),
+        graph_findings(path, content),
+        magic_findings(path, content),
+        array_findings(path, content),
     ]
-    result = None
-    for detector in detectors:
-        found = detector(files)
-        result = found if result is None else result.unionByName(found)
-    return result
+    empty = F.array().cast(EMPTY)
+    found = emit(rows, F.concat(*[F.coalesce(part, empty) for part in parts]))
+    return found.unionByName(detect_instantiation(files, max_config_bytes))
+
+
+CONTENT_DETECTORS = [
+    detect_dangerous_import,
+    detect_pickle_fallback,
+    detect_python_rules,
+    detect_config_flags,
+    detect_instantiation,
+    detect_keras_config,
+    detect_graph_ops,
+    detect_magic,
+    detect_npy,
+]

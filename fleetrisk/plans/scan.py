@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import values as V
 from ..operators import detect, drift, findings, gate, measure
+from ..session import cut_lineage
 from ..sources import files as file_source
 
 
@@ -86,7 +87,8 @@ def scan(
     now: datetime | None = None,
 ) -> dict[str, DataFrame]:
     """``findings`` (merged), ``results`` (one row per scanner) and ``verdicts`` (one row per artifact)."""
-    parsed, walked = parsed_findings(fleet), walked_findings(fleet)
+    # findings are used three times and contents are large: read the contents once
+    parsed, walked = cut_lineage(parsed_findings(fleet)), cut_lineage(walked_findings(fleet))
     merged = findings.merge_findings(parsed, walked)
     ran = fleet.artifacts.select(
         "artifact_id",

@@ -236,6 +236,20 @@ def test_harmless_files_are_clean(spark):
     assert found(D.inspect_contents(files)) == [] and found(FI.header_findings(files)) == []
 
 
+def test_one_pass_equals_the_single_detectors(spark):
+    rows = [
+        ("a.pkl", pickle.dumps(Evil(), protocol=4)), ("b.pkl", pickle.dumps([1], protocol=2)), ("c.pt", b"PK\x03\x04"), ("raw.bin", bytes(range(256))),
+        ("m.py", b"exec(x)\nload_inline"), ("c.json", b'{"trust_remote_code": true, "n": [{"_target_": "os.x"}]}'), ("l.json", b"[1]"), ("x.json", b"{"),
+        ("k.h5", b"none"), ("k", V.MAGIC_HDF5 + b'"class_name": "Lambda", "module": "os"'), ("m.keras!config.json", b'{"class_name":"TFSMLayer","module":"x.y"}'),
+        ("g.pb", b"WriteFile"), ("g.onnx", b"PythonOp location ../"), ("e", b"\x7fELF"), ("s", b"#!/bin/sh\n"), ("h", b"\x80\x04c"),
+        ("o.npy", b"\x93NUMPY\x01\x00\x0a\x00{'|O'}    "), ("z.npy", b"\x93NUMPY\x01\x00\x00\x00"), ("p.npy", b"\x80\x02cos\nsystem\n.."), ("empty.pkl", b""), ("t", b"a"),
+    ]
+    files = table(spark, rows)
+    key = lambda r: (r.location, r.id, r.severity, r.title, r.description)
+    single = sorted(key(r) for d in D.CONTENT_DETECTORS for r in d(files).collect())
+    assert sorted(key(r) for r in D.inspect_contents(files).collect()) == single and len(single) >= 20
+
+
 def test_source_ids_are_unique_per_rule():
     ids = [r[0] for r in V.PYTHON_RULES]
     assert len(set(ids)) == len(ids)
