@@ -12,6 +12,8 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # wide rule expressions make methods the JVM will not compile; below its own limit Spark splits them
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     # a repeated JSON key must not hide a document from the detectors; the last value counts
     "spark.sql.variant.allowDuplicateKeys": "true",
 }
