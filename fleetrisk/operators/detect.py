@@ -14,6 +14,7 @@ from ..functions import paths as P
 from ..functions import text as S
 from ..functions import values as V
 from ..functions.lookups import any_of, rows_where
+from ..session import tolerate_repeated_keys
 
 FINDING = "struct<id:string,title:string,severity:string,category:string,location:string,description:string>"
 EMPTY = f"array<{FINDING}>"
@@ -221,6 +222,7 @@ def config_flag_findings(document: Column, path: Column) -> Column:
 
 def detect_config_flags(files: DataFrame, max_bytes: int = V.MAX_CONFIG_BYTES) -> DataFrame:
     """Settings that hand execution to code shipped with the weights. Larger files are not configurations."""
+    tolerate_repeated_keys(files.sparkSession)
     rows = files.withColumn("_doc", _config_document(_config_text(max_bytes))).filter("_doc IS NOT NULL")
     return emit(rows, config_flag_findings(F.col("_doc"), F.col("path")))
 
@@ -648,6 +650,7 @@ def inspect_contents(files: DataFrame, max_config_bytes: int = V.MAX_CONFIG_BYTE
     One scan serves every array-valued detector: a column of a detector is NULL where it does not apply,
     which makes its findings empty. Only small configurations are read a second time, for the JSON walk.
     """
+    tolerate_repeated_keys(files.sparkSession)
     path, content = F.col("path"), F.col("content")
     rows = files.select("artifact_id", "path", "content").withColumns(
         {

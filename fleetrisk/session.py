@@ -14,8 +14,6 @@ SETTINGS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # wide rule expressions make methods the JVM will not compile; below its own limit Spark splits them
     "spark.sql.codegen.hugeMethodLimit": "8000",
-    # a repeated JSON key must not hide a document from the detectors; the last value counts
-    "spark.sql.variant.allowDuplicateKeys": "true",
 }
 
 
@@ -31,6 +29,12 @@ def build_session(cores: str = "*", shuffle_partitions: int | None = None, app:
     return spark
 
 
+def tolerate_repeated_keys(spark: SparkSession) -> None:
+    """Variant parsing refuses a document with a repeated key unless told otherwise, and a refused document
+    would pass unexamined. Set where it matters, whoever built the session."""
+    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the shared folder the cluster names; fall back to a temporary one only where none is set."""
     context = spark.sparkContext

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import values as V
 from ..functions.lookups import nullif_empty
+from ..session import tolerate_repeated_keys
 
 PREFIX = "fleetrisk:"
 PROPS = "array<struct<name:string,value:string>>"
@@ -32,6 +33,7 @@ EMPTY_PROPS = "array<struct<key:string,value:string>>"
 
 def bom_detect(documents: DataFrame, max_bytes: int = V.MAX_DOCUMENT_BYTES) -> DataFrame:
     """Kind by content: cyclonedx, spdx, or an error. Larger texts are refused as documents."""
+    tolerate_repeated_keys(documents.sparkSession)
     keys = F.map_keys(F.try_parse_json("body").cast("map<string,variant>"))
     is_object = F.startswith(F.schema_of_variant(F.try_parse_json("body")), F.lit("OBJECT"))
     usable = F.coalesce(is_object, F.lit(False)) & (F.octet_length("body") <= max_bytes)

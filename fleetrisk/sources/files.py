@@ -12,6 +12,7 @@ from ..functions import values as V
 from ..functions.lookups import nullif_empty
 from ..operators.detect import EMPTY, _begins, emit, finding, little_endian
 from ..operators.skew import first_n_per_key
+from ..session import tolerate_repeated_keys
 
 
 def read_files(spark: SparkSession, root: str) -> DataFrame:
@@ -97,6 +98,7 @@ TENSOR = "dtype string, shape array<bigint>"
 
 def _headers(files: DataFrame, strict: bool) -> DataFrame:
     """Adds ``declared`` (header length), ``problem`` (finding or NULL) and ``entries`` (header map)."""
+    tolerate_repeated_keys(files.sparkSession)
     content, path = F.col("content"), F.col("path")
     declared = little_endian(content, 1, 8)
     size = F.col("size").cast("decimal(20,0)")

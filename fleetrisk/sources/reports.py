@@ -14,6 +14,7 @@ from ..functions import text as S
 from ..functions import values as V
 from ..functions.lookups import nullif_empty
 from ..operators.findings import FINDING_COLUMNS
+from ..session import tolerate_repeated_keys
 
 TRIVY = (
     "Results array<struct<Target:string,"
@@ -182,6 +183,7 @@ def report_status(reports: DataFrame) -> DataFrame:
 
     An unknown format or malformed JSON is an error; blank output is a clean report.
     """
+    tolerate_repeated_keys(reports.sparkSession)
     body, fmt = F.col("body"), F.col("format")
     structured = ~fmt.isin("clamav", "trufflehog-json")
     is_object = F.startswith(F.schema_of_variant(F.try_parse_json("body")), F.lit("OBJECT"))

@@ -9,6 +9,7 @@ from ..functions import text as S
 from ..functions import values as V
 from ..functions.lookups import nullif_empty
 from ..functions.paths import hub_url
+from ..session import tolerate_repeated_keys
 
 CONFIG = (
     "architectures array<string>, model_type string, torch_dtype string, dtype string, "
@@ -23,6 +24,7 @@ def _small(documents: DataFrame) -> DataFrame:
 
 def sidecar_config(documents: DataFrame) -> DataFrame:
     """Declared facts of ``config.json``; a text that is not a JSON object declares nothing."""
+    tolerate_repeated_keys(documents.sparkSession)
     is_object = F.startswith(F.schema_of_variant(F.try_parse_json("body")), F.lit("OBJECT"))
     rows = _small(documents).filter(F.coalesce(is_object, F.lit(False))).withColumn("j", F.from_json("body", CONFIG))
     c = F.col
