@@ -6,7 +6,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing, quality, simhash, tokens
+from . import chat, decontaminate, fingerprint, hosts, mixing, quality, secrets, simhash, tokens
 from .common import read
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -44,5 +44,29 @@ def op8_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_token_packing, op4_source_mixing, op6_quality_classifier, op7_decontamination, op8_simhash_golay)}
+RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
+
+
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = r"\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(extra)
+    path = tokens.shared_path(spark, "chat")
+    chat.render(turns).write.parquet(path)
+    return chat.read_back(spark.read.parquet(path))
+
+
+def op9_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hosts.judge(read(spark, sf_dir, "pages"), RULES)
+
+
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(read(spark, sf_dir, "documents"))
+
+
+def op2_paragraph_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.compare_versions(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_paragraph_sketch, op3_token_packing, op4_source_mixing, op5_chat_format, op6_quality_classifier, op7_decontamination, op8_simhash_golay, op9_host_reputation, op10_secret_scan)}
 ORACLES: dict[str, str] = {}
