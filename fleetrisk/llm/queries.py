@@ -6,7 +6,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, fingerprint, hosts, mixing, quality, secrets, simhash, tokens
+from . import chat, decontaminate, fingerprint, hosts, mixing, quality, repeats, secrets, simhash, tokens
 from .common import read
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -19,6 +19,10 @@ def tokenizer_json(name: str = TOKENIZER) -> str:
     return Path(public_tokenizers.path(name)).read_text(encoding="utf-8")
 
 
+def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(read(spark, sf_dir, "documents"))
+
+
 def op3_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokens.shared_path(spark, "token-shards")
     tokens.write(read(spark, sf_dir, "documents"), tokenizer_json(), path)
@@ -68,5 +72,5 @@ def op2_paragraph_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.compare_versions(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_paragraph_sketch, op3_token_packing, op4_source_mixing, op5_chat_format, op6_quality_classifier, op7_decontamination, op8_simhash_golay, op9_host_reputation, op10_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_suffix_array_dedup, op2_paragraph_sketch, op3_token_packing, op4_source_mixing, op5_chat_format, op6_quality_classifier, op7_decontamination, op8_simhash_golay, op9_host_reputation, op10_secret_scan)}
 ORACLES: dict[str, str] = {}
