@@ -272,7 +272,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     counts = found.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1")
     flagged = found.join(counts, "gram").select("doc_id", "place", F.least("n", F.lit(LAST)).alias("n"))
     flagged = flagged.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("place", "n"))).alias("anchors"))
-    searched = rows.join(kept_ids, ["doc_id", "h1", "h2"], "left_semi").join(flagged, "doc_id").select("doc_id", "text", "anchors")
+    # both joins of the texts are on the same keys, so Spark shuffles the texts once and reads that shuffle twice
+    searched = rows.join(flagged.join(kept_ids, "doc_id"), ["doc_id", "h1", "h2"]).select("doc_id", "text", "anchors")
 
     def cut(batches):
         import pyarrow as pa
