@@ -23,8 +23,8 @@ from fleetrisk.session import ensure_checkpoint_dir
 from .common import texts, worker_cache
 
 BLOCK_IDS = 1 << 16
-TEXT_AT_ONCE = 4 << 20  # bytes of text whose words are looked up together
-CACHE_WORDS = 1 << 20  # words that a Python worker remembers between batches and tasks
+TEXT_AT_ONCE = 2 << 20  # bytes of text whose words are looked up together
+CACHE_WORDS = 1 << 18  # words that a Python worker remembers between batches and tasks
 MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 SCHEMA = "shard int, block int, first long, n_ids int, bits int, packed binary, doc_ids array<long>, doc_ends array<long>"
 
