@@ -21,9 +21,10 @@ from pyspark.sql import functions as F
 from .common import arrow_binary, checkpointed
 
 LENGTH = 100
-GRAM = 36
+GRAM = 30
 WARM, HOT = 2000, 100_000  # occurrences from which windows meet in eights, and one by one
 TEXT_AT_ONCE = 2 << 20
+COMBINE_BYTES = 64 << 20  # snippets of a task among which equal ones are combined before the shuffle
 GROUP_BYTES = 1 << 20  # snippet bytes of whole groups that are sorted together
 LAST = (1 << 63) - 1
 FACTOR = 0x9E3779B97F4A7C15
@@ -50,13 +51,14 @@ def rolling(data: np.ndarray, n: int) -> np.ndarray:
 def window_anchors(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
     """The anchor place of every window of ``length`` bytes (leftmost least hash), and the hashes by place."""
     hashes = rolling(data, gram)
-    span, least, at = length - gram + 1, hashes, np.arange(len(hashes))
-    size = 1
+    span, size = length - gram + 1, 1
+    # the upper half of the hash and the place in one number, so that the least one is the leftmost least hash
+    least = hashes & np.uint64(0xFFFFFFFF00000000) | np.arange(len(hashes), dtype=np.uint64)
     while size < span:
         step = min(size, span - size)
-        keep = least[:-step] <= least[step:]
-        least, at = np.where(keep, least[:-step], least[step:]), np.where(keep, at[:-step], at[step:])
+        least = np.minimum(least[:-step], least[step:])
         size += step
+    at = (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
     return at, hashes
 
 
@@ -193,7 +195,7 @@ def earlier(group: list[tuple[tuple, bytes]]) -> list[tuple[tuple, int, int]]:
 
 
 def spans_by_anchor(snippets: DataFrame) -> DataFrame:
-    """``doc_id, low, high`` from ``key, doc_id, start, bytes``: groups in a sorted stream, many small ones at once.
+    """``doc_id, low, high`` from ``key, doc_id, start, stop, bytes``: groups in a sorted stream, many small ones at once.
 
     Rows of a key come by document and start. A key with more bytes than ``GROUP_BYTES`` goes on in rounds: what an
     earlier round found new stays as the beginning of the next.
@@ -211,7 +213,11 @@ def spans_by_anchor(snippets: DataFrame) -> DataFrame:
 
         held, size, key, begun = [], 0, None, 0  # snippets, their bytes, the last key and where it begins
         for batch in batches:
-            for k, doc, start, text in zip(*(c.to_pylist() for c in batch.columns)):
+            known = []
+            for k, doc, start, stop, text in zip(*(c.to_pylist() for c in batch.columns)):
+                if text is None:  # found before the shuffle
+                    known.append(((doc, 0), start, stop))
+                    continue
                 if k != key:
                     if size >= GROUP_BYTES:
                         yield emit(earlier(held))
@@ -229,10 +235,11 @@ def spans_by_anchor(snippets: DataFrame) -> DataFrame:
                         size = min(GROUP_BYTES // 2, sum(len(t) for _, t in held))
                 held.append(((doc, start), text))
                 size += len(text)
+            yield emit(known)
         yield emit(earlier(held))
 
     n = int(snippets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = snippets.repartition(n, "key").sortWithinPartitions("key", "doc_id", "start").select("key", "doc_id", "start", "bytes")
+    ordered = snippets.repartition(n, "key").sortWithinPartitions("key", "doc_id", "start")
     return ordered.mapInArrow(run, "doc_id long, low int, high int")
 
 
@@ -278,23 +285,41 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     def cut(batches):
         import pyarrow as pa
 
-        def out(made):
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array([m[i] for m in made], k) for i, k in enumerate(kinds)], ["key", "doc_id", "start", "bytes"])
+        def out(rows):
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["key", "doc_id", "start", "stop", "bytes"])
+
+        def spans(later):
+            merged = {}
+            for doc, a, b in later:
+                merged.setdefault(doc, []).append((a, b))
+            return out([(doc, doc, a, b, None) for doc, found in merged.items() for a, b in merge(found)])
 
-        made = []
+        first, size, later = {}, 0, []  # of equal snippets in this task only the first goes on; the others are repeats as a whole
         for batch in batches:
             for doc, text, anchors in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
                 data = text.as_py().encode("utf-8", "surrogatepass")
                 if len(data) < LENGTH:
                     continue
-                made += [(k, doc, start, part) for k, start, part in snippets_of(data, np.array([x["place"] for x in anchors]), np.array([x["n"] for x in anchors]))]
-                if len(made) >= 20_000:
-                    yield out(made)
-                    made = []
-        yield out(made)
-
-    spans = spans_by_anchor(searched.mapInArrow(cut, "key long, doc_id long, start int, bytes binary"))
+                for key, start, part in snippets_of(data, np.array([x["place"] for x in anchors]), np.array([x["n"] for x in anchors])):
+                    own, known = (doc, start), first.get((key, part))
+                    if known is None:
+                        size += len(part) + 100
+                    if known is None or own < known:
+                        first[key, part] = own
+                        own = known
+                    if own:
+                        later.append((own[0], own[1], own[1] + len(part)))
+                if size >= COMBINE_BYTES:
+                    yield out([(key, *own, own[1] + len(part), part) for (key, part), own in first.items()])
+                    first, size = {}, 0
+                if len(later) >= 100_000:
+                    yield spans(later)
+                    later = []
+        yield out([(key, *own, own[1] + len(part), part) for (key, part), own in first.items()])
+        yield spans(later)
+
+    spans = spans_by_anchor(searched.mapInArrow(cut, "key long, doc_id long, start int, stop int, bytes binary"))
     spans = spans.groupBy("doc_id").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
     first = kept_ids.join(spans, "doc_id", "left").withColumn("first", F.lit(True))
     marks = ids.join(first, ["doc_id", "h1", "h2"], "left").select("doc_id", "h1", "h2", F.coalesce("first", F.lit(False)).alias("first"), "spans")
