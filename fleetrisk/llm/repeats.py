@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import arrow_binary, checkpointed
 
 LENGTH = 100
-GRAM = 30
+GRAM = 28
 WARM, HOT = 2000, 100_000  # occurrences from which windows meet in eights, and one by one
 TEXT_AT_ONCE = 2 << 20
 COMBINE_BYTES = 64 << 20  # snippets of a task among which equal ones are combined before the shuffle
@@ -277,7 +277,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     found = anchor_rows(rows.select("doc_id", "text"))
     counts = found.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1")
-    flagged = found.join(counts, "gram").select("doc_id", "place", F.least("n", F.lit(LAST)).alias("n"))
+    flagged = found.join(counts, "gram").select("doc_id", "place", F.when(F.col("n") > WARM, F.col("n")).alias("n"))
     flagged = flagged.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("place", "n"))).alias("anchors"))
     # both joins of the texts are on the same keys, so Spark shuffles the texts once and reads that shuffle twice
     searched = rows.join(flagged.join(kept_ids, "doc_id"), ["doc_id", "h1", "h2"]).select("doc_id", "text", "anchors")
@@ -301,7 +301,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                 data = text.as_py().encode("utf-8", "surrogatepass")
                 if len(data) < LENGTH:
                     continue
-                for key, start, part in snippets_of(data, np.array([x["place"] for x in anchors]), np.array([x["n"] for x in anchors])):
+                for key, start, part in snippets_of(data, np.array([x["place"] for x in anchors]), np.array([x["n"] or 0 for x in anchors])):
                     own, known = (doc, start), first.get((key, part))
                     if known is None:
                         size += len(part) + 100
