@@ -211,6 +211,7 @@ def spans_by_anchor(snippets: DataFrame) -> DataFrame:
             rows = [(doc, a, b) for doc, spans in merged.items() for a, b in merge(spans)]
             return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int64(), pa.int32(), pa.int32()))], ["doc_id", "low", "high"])
 
+        last = None
         held, size, key, begun = [], 0, None, 0  # snippets, their bytes, the last key and where it begins
         for batch in batches:
             known = []
@@ -218,6 +219,9 @@ def spans_by_anchor(snippets: DataFrame) -> DataFrame:
                 if text is None:  # found before the shuffle
                     known.append(((doc, 0), start, stop))
                     continue
+                if (k, doc, start) == last:  # a repeated row
+                    continue
+                last = (k, doc, start)
                 if k != key:
                     if size >= GROUP_BYTES:
                         yield emit(earlier(held))
@@ -303,6 +307,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                     continue
                 for key, start, part in snippets_of(data, np.array([x["place"] for x in anchors]), np.array([x["n"] or 0 for x in anchors])):
                     own, known = (doc, start), first.get((key, part))
+                    if known == own:  # a repeated row
+                        continue
                     if known is None:
                         size += len(part) + 100
                     if known is None or own < known:
