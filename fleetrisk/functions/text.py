@@ -245,6 +245,11 @@ def serial_uuid(seed: Column, prefix: str = "fleetrisk:") -> Column:
     )
 
 
+def utf8_text(content: Column) -> Column:
+    """Bytes as text; what is not UTF-8 becomes the replacement character, so that no content fails a job."""
+    return F.make_valid_utf8(content.cast("string"))
+
+
 def utf8_cut(text: Column, limit: int) -> Column:
     """Cut after ``limit`` bytes and mark the cut; a character split by the cut is left out."""
     raw = F.encode(text, "UTF-8")
@@ -258,7 +263,7 @@ def utf8_cut(text: Column, limit: int) -> Column:
         .when(~is_continuation(limit - 1), limit - 2)
         .otherwise(limit - 3)
     )
-    cut = F.decode(F.substr(raw, F.lit(1), keep), "UTF-8")
+    cut = utf8_text(F.substr(raw, F.lit(1), keep))
     return F.when(F.octet_length(text) > limit, F.concat(cut, F.lit("..."))).otherwise(text)
 
 

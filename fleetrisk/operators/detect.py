@@ -193,15 +193,14 @@ def python_findings(text: Column, path: Column) -> Column:
 
 
 def detect_python_rules(files: DataFrame) -> DataFrame:
-    rows = files.filter(S.extension(F.col("path")) == ".py").withColumn("_text", F.decode("content", "UTF-8"))
+    rows = files.filter(S.extension(F.col("path")) == ".py").withColumn("_text", S.utf8_text(F.col("content")))
     return emit(with_rule_positions(rows, "_text"), python_findings(F.col("_text"), F.col("path")))
 
 
 # --- JSON configuration --------------------------------------------------------------------------------------
-def _config_text(max_bytes: int) -> Column:
-    """Text of a JSON file small enough to be a configuration, else NULL."""
-    usable = (S.extension(F.col("path")) == ".json") & (F.length("content") <= max_bytes)
-    return F.when(usable, F.decode("content", "UTF-8"))
+def _config_text() -> Column:
+    """Text of a JSON file, else NULL."""
+    return F.when(S.extension(F.col("path")) == ".json", S.utf8_text(F.col("content")))
 
 
 def _config_document(text: Column) -> Column:
@@ -220,27 +219,26 @@ def config_flag_findings(document: Column, path: Column) -> Column:
     )
 
 
-def detect_config_flags(files: DataFrame, max_bytes: int = V.MAX_CONFIG_BYTES) -> DataFrame:
-    """Settings that hand execution to code shipped with the weights. Larger files are not configurations."""
+def detect_config_flags(files: DataFrame) -> DataFrame:
+    """Settings that hand execution to code shipped with the weights, in JSON files of any size."""
     tolerate_repeated_keys(files.sparkSession)
-    rows = files.withColumn("_doc", _config_document(_config_text(max_bytes))).filter("_doc IS NOT NULL")
+    rows = files.withColumn("_doc", _config_document(_config_text())).filter("_doc IS NOT NULL")
     return emit(rows, config_flag_findings(F.col("_doc"), F.col("path")))
 
 
 HITS = T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in ("where", "key", "target")]))
 
 
-def _named_callables(texts):
+def _named_callables(keys: list[str]):
     """Small helper over one Arrow batch: keys of each JSON text that name a callable, at any depth.
 
     Measured against unrolled levels of VARIANT explodes this is an order of magnitude faster, and it has no
-    level at which it must stop.
+    level at which it must stop. It is a closure, so executors need not have this package.
     """
-    import json
-
-    import pandas as pd
 
     def hits(text):
+        import json
+
         try:
             document = json.loads(text)
         except RecursionError:
@@ -252,7 +250,7 @@ def _named_callables(texts):
             where, node = stack.pop()
             children = enumerate(node)
             if isinstance(node, dict):
-                for key in V.INSTANTIATION_KEYS:
+                for key in keys:
                     if isinstance(node.get(key), str) and node[key]:
                         found.append({"where": where, "key": key, "target": node[key]})
                 children = node.items()
@@ -261,7 +259,12 @@ def _named_callables(texts):
             )
         return found
 
-    return pd.Series([hits(text) for text in texts])
+    def walk(texts):
+        import pandas as pd
+
+        return pd.Series([hits(text) for text in texts])
+
+    return walk
 
 
 def instantiation_targets(configs: DataFrame) -> DataFrame:
@@ -270,7 +273,7 @@ def instantiation_targets(configs: DataFrame) -> DataFrame:
     Only texts that can hold such a key reach Python: it must occur literally unless the text escapes
     characters with a backslash.
     """
-    walk = F.pandas_udf(_named_callables, HITS)
+    walk = F.pandas_udf(_named_callables(V.INSTANTIATION_KEYS), HITS)
     possible = S.has_any(F.col("text"), V.INSTANTIATION_KEYS) | F.contains("text", F.lit("\\"))
     rows = configs.filter(possible).select("artifact_id", "path", walk("text").alias("hits"))
     return rows.select("artifact_id", "path", F.explode("hits").alias("h")).select("artifact_id", "path", "h.*")
@@ -284,9 +287,10 @@ def target_severity(target: Column) -> Column:
     return F.when(dangerous, "Critical").otherwise("Low")
 
 
-def detect_instantiation(files: DataFrame, max_bytes: int = V.MAX_CONFIG_BYTES) -> DataFrame:
-    configs = files.filter((S.extension(F.col("path")) == ".json") & (F.length("content") <= max_bytes))
-    hits = instantiation_targets(configs.select("artifact_id", "path", F.decode("content", "UTF-8").alias("text")))
+def detect_instantiation(files: DataFrame) -> DataFrame:
+    """Callables that JSON files of any size name."""
+    configs = files.filter(S.extension(F.col("path")) == ".json")
+    hits = instantiation_targets(configs.select("artifact_id", "path", S.utf8_text(F.col("content")).alias("text")))
     where = F.when(F.col("where") == "", F.col("path")).otherwise(F.concat("path", F.lit(" at "), "where"))
     named = finding(
         "AR-CONFIG-001",
@@ -491,13 +495,16 @@ def detect_unreadable(failures: DataFrame) -> DataFrame:
     )
 
 
-def detect_truncated(listing: DataFrame, max_files: int = V.MAX_FILES) -> DataFrame:
-    """One finding per artifact whose listing is longer than the walk."""
+def detect_truncated(listing: DataFrame, max_files: int) -> DataFrame:
+    """One finding per artifact whose listing is longer than a walk that the caller stopped at ``max_files``."""
     large = listing.groupBy("artifact_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > max_files)
     detail = F.concat(F.lit(f"examined {max_files} of "), F.col("n"))
     return emit(large, F.array(finding("AR-COVERAGE-001", "Artifact only partly examined", "High", "", detail)))
 
 
+WIDE = "decimal(20,0)"
+
+
 def detect_archive(
     entries: DataFrame,
     max_entries: int = V.MAX_ARCHIVE_ENTRIES,
@@ -516,7 +523,8 @@ def detect_archive(
     walked = entries.filter(F.col("ord") <= max_entries).withColumns(
         {"_escapes": escapes, "_counted": ~escapes & ~F.coalesce("is_link", F.lit(False))}
     )
-    total = F.sum(F.when(F.col("_counted"), F.col("size")).otherwise(0)).over(in_archive)
+    # declared sizes can be near the ends of int64, so they are summed as decimals
+    total = F.sum(F.when(F.col("_counted"), F.col("size").cast(WIDE)).otherwise(0)).over(in_archive)
     walked = walked.withColumn("_total", total)
     stopped = F.min(F.when(F.col("_counted") & (F.col("_total") > max_bytes), F.col("ord"))).over(
         Window.partitionBy(*keys)
@@ -540,8 +548,8 @@ def detect_archive(
     sums = seen.groupBy(*keys).agg(
         F.max("_stop").isNotNull().alias("_stopped"),
         F.max(F.col("kind") == "zip").alias("_zip"),
-        F.sum(F.when(F.col("_counted"), F.col("compressed"))).alias("_in"),
-        F.sum(F.when(F.col("_counted"), F.col("size"))).alias("_out"),
+        F.sum(F.when(F.col("_counted"), F.col("compressed").cast(WIDE))).cast("double").alias("_in"),
+        F.sum(F.when(F.col("_counted"), F.col("size").cast(WIDE))).cast("double").alias("_out"),
     )
     ratio = F.when((F.col("_in") > 0) & F.col("_zip"), F.col("_out") / F.col("_in"))
     archive = F.col("archive")
@@ -623,13 +631,18 @@ def detect_metadata(
     return emit(rows, cases)
 
 
-def detect_component(references: DataFrame, files: DataFrame, max_files: int = V.MAX_FILES) -> DataFrame:
-    """References of a model that are missing, escape its directory, or exceed the component limit."""
+def detect_component(references: DataFrame, files: DataFrame, max_files: int | None = None) -> DataFrame:
+    """References of a model that are missing, escape its directory, or exceed the limit the caller set."""
     escapes = P.path_traversal(F.col("path"))
     leaving = finding("AR-FILE-003", "Referenced file leaves the directory", "Critical", F.col("path"), F.col("role"))
     missing = finding("AR-FILE-001", "Referenced file is missing", "Medium", F.col("path"), F.col("role"))
     inside = references.filter(~escapes)
     present = files.select("artifact_id", "path").distinct()
+    found = emit(references.filter(escapes), F.array(leaving)).unionByName(
+        emit(inside.join(present, ["artifact_id", "path"], "left_anti"), F.array(missing))
+    )
+    if max_files is None:
+        return found
     large = (
         inside.join(present, ["artifact_id", "path"], "left_semi")
         .groupBy("artifact_id")
@@ -637,18 +650,14 @@ def detect_component(references: DataFrame, files: DataFrame, max_files: int = V
         .filter(F.col("n") > max_files)
     )
     incomplete = finding("AR-FILE-002", "Component set is incomplete", "Medium", "", f"more than {max_files} files")
-    return (
-        emit(references.filter(escapes), F.array(leaving))
-        .unionByName(emit(inside.join(present, ["artifact_id", "path"], "left_anti"), F.array(missing)))
-        .unionByName(emit(large, F.array(incomplete)))
-    )
+    return found.unionByName(emit(large, F.array(incomplete)))
 
 
-def inspect_contents(files: DataFrame, max_config_bytes: int = V.MAX_CONFIG_BYTES) -> DataFrame:
+def inspect_contents(files: DataFrame) -> DataFrame:
     """All content detectors over a file table.
 
     One scan serves every array-valued detector: a column of a detector is NULL where it does not apply,
-    which makes its findings empty. Only small configurations are read a second time, for the JSON walk.
+    which makes its findings empty. Only JSON files are read a second time, for the JSON walk.
     """
     tolerate_repeated_keys(files.sparkSession)
     path, content = F.col("path"), F.col("content")
@@ -656,8 +665,8 @@ def inspect_contents(files: DataFrame, max_config_bytes: int = V.MAX_CONFIG_BYTE
         {
             "declared": S.extension(path).isin(V.DECLARED_PICKLE_EXTS),
             "_pickle": F.when(_is_pickle_file(path, content), content),
-            "_text": F.when(S.extension(path) == ".py", F.decode(content, "UTF-8")),
-            "_doc": _config_document(_config_text(max_config_bytes)),
+            "_text": F.when(S.extension(path) == ".py", S.utf8_text(content)),
+            "_doc": _config_document(_config_text()),
         }
     )
     rows = with_array_header(with_keras_columns(with_rule_positions(with_imports(rows, "_pickle"), "_text")))
@@ -674,7 +683,7 @@ def inspect_contents(files: DataFrame, max_config_bytes: int = V.MAX_CONFIG_BYTE
     ]
     empty = F.array().cast(EMPTY)
     found = emit(rows, F.concat(*[F.coalesce(part, empty) for part in parts]))
-    return found.unionByName(detect_instantiation(files, max_config_bytes))
+    return found.unionByName(detect_instantiation(files))
 
 
 CONTENT_DETECTORS = [

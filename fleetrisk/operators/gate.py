@@ -121,11 +121,17 @@ def severity_max(results: DataFrame) -> DataFrame:
 def with_policy(fact_rows: DataFrame, artifacts: DataFrame | None, rules: DataFrame | None) -> DataFrame:
     """Adds the policy columns. ``artifacts(artifact_id, format, policy_id)`` names each one's policy.
 
-    Unset stays NULL; an artifact without a policy gets all NULL, which are the defaults.
+    Unset stays NULL; an artifact without a policy gets all NULL, which are the defaults. An artifact that no
+    scanner has seen is judged too: nothing was found, and nothing ran.
     """
     rows = fact_rows
     if artifacts is not None:
-        rows = rows.join(artifacts.select("artifact_id", "format", "policy_id"), "artifact_id", "left")
+        kinds = {name: kind for name, kind in fact_rows.dtypes if name != "artifact_id"}
+        rows = rows.join(artifacts.select("artifact_id", "format", "policy_id"), "artifact_id", "full")
+        unseen = {"string": F.lit("Unknown"), "boolean": F.lit(False)}
+        rows = rows.withColumns(
+            {name: F.coalesce(F.col(name), unseen.get(kind, F.lit(0).cast(kind))) for name, kind in kinds.items()}
+        )
     else:
         rows = rows.withColumns({"format": F.lit(None).cast("string"), "policy_id": F.lit(None).cast("string")})
     if rules is not None:

@@ -13,6 +13,10 @@ from .skew import first_n_per_key, first_row_per_key
 INT64_MAX = S.INT64_MAX
 
 
+def _folder(path: Column) -> Column:
+    return F.regexp_replace(path, r"[^/]*$", "")
+
+
 def _clamped(total: Column) -> Column:
     return F.least(total, F.lit(INT64_MAX).cast("decimal(38,0)")).cast("bigint")
 
@@ -191,15 +195,17 @@ def primary_file(files: DataFrame) -> DataFrame:
     return candidates.groupBy("artifact_id").agg(F.min_by("path", F.struct("_p", "path")).alias("primary_path"))
 
 
-def peer_weights(files: DataFrame, primary: DataFrame, scan: int = V.MAX_FILES) -> DataFrame:
-    """Long form of sibling files in formats that execute on load.
+def peer_weights(files: DataFrame, primary: DataFrame) -> DataFrame:
+    """Long form of files beside the primary one, in its folder, in formats that execute on load.
 
-    The listing is read in name order up to ``scan`` entries, which is a limit of the rule itself.
+    An artifact without a primary file is taken to be described at the top of its tree.
     """
-    listed = first_n_per_key(files.select("artifact_id", "path"), ["artifact_id"], [F.col("path")], scan)
-    weights = listed.filter(S.extension(F.col("path")).isin(V.PEER_WEIGHT_EXTS))
-    return weights.join(
-        primary.select("artifact_id", F.col("primary_path").alias("path")), ["artifact_id", "path"], "left_anti"
+    weights = files.select("artifact_id", "path").filter(S.extension(F.col("path")).isin(V.PEER_WEIGHT_EXTS))
+    described = F.coalesce("primary_path", F.lit(""))
+    return (
+        weights.join(primary.select("artifact_id", "primary_path"), "artifact_id", "left")
+        .filter((F.col("path") != described) & (_folder(F.col("path")) == _folder(described)))
+        .select("artifact_id", "path")
     )
 
 
@@ -211,12 +217,12 @@ def component_set(
     primary: DataFrame,
     shard_refs: DataFrame,
     external_refs: DataFrame,
-    max_files: int = V.MAX_FILES,
+    max_files: int | None = None,
 ) -> DataFrame:
     """Files that make up each model with their role: primary, shard or external-data.
 
     References that leave the directory are never followed; a file named twice keeps its first role;
-    beyond ``max_files`` the set is cut in role and name order and flagged by ``detect_component``.
+    only a caller's ``max_files`` cuts the set, in role and name order, and ``detect_component`` flags the cut.
     """
     return _resolved(component_references(files, primary, shard_refs, external_refs), files, max_files)
 
@@ -242,10 +248,10 @@ def component_references(
     return first_row_per_key(everything, ["artifact_id", "path"], [order])
 
 
-def _resolved(references: DataFrame, files: DataFrame, max_files: int) -> DataFrame:
+def _resolved(references: DataFrame, files: DataFrame, max_files: int | None) -> DataFrame:
     from ..functions.paths import path_traversal
 
     order = [lookup({"primary": 0, "shard": 1, "external-data": 2}, F.col("role")), F.col("path")]
     followed = references.filter(~path_traversal(F.col("path")))
     present = followed.join(files, ["artifact_id", "path"])
-    return first_n_per_key(present, ["artifact_id"], order, max_files)
+    return present if max_files is None else first_n_per_key(present, ["artifact_id"], order, max_files)

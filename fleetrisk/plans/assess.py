@@ -19,7 +19,7 @@ def judge_reports(
     exceptions: DataFrame | None = None,
     now: datetime | None = None,
 ) -> dict[str, DataFrame]:
-    """Counts come from all findings, details are capped per report, and a report in error or without
+    """Counts and details are those of all findings, and a report in error or without
     output is a scanner that did not finish: neither is a clean result."""
     found, status = R.ingest(reports)
     counted = findings.finalize_counts(found)
@@ -28,7 +28,7 @@ def judge_reports(
     ended = F.when(F.col("state") != "parsed", "Incomplete").when(F.col("findings") > 0, "Failed").otherwise("Passed")
     results = results.withColumn("status", ended)
     return {
-        "findings": findings.cap_detail(found),
+        "findings": found,
         "status": status,
         "results": results,
         "verdicts": gate.evaluate(results, artifacts, rules, exceptions, now),

@@ -8,7 +8,6 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import values as V
 from ..operators import detect, drift, findings, gate, measure
 from ..session import cut_lineage
 from ..sources import files as file_source
@@ -38,8 +37,11 @@ def _union(frames: list[DataFrame]) -> DataFrame:
 
 
 def _numbered(rows: DataFrame, scanner: str) -> DataFrame:
-    """A stable position that needs no global order: findings of one place and rule keep together."""
-    position = F.pmod(F.xxhash64("id", "location", "title", "description"), F.lit(2**62))
+    """A stable position that needs no global order: findings of one place and rule keep together.
+
+    It stays below the step between two severities in documents, so it never outweighs one.
+    """
+    position = F.pmod(F.xxhash64("id", "location", "title", "description"), F.lit(10**12))
     return rows.withColumns({"scanner": F.lit(scanner), "ord": position})
 
 
@@ -68,11 +70,11 @@ def parsed_findings(fleet: Fleet) -> DataFrame:
     return _numbered(_union(found), "aibom")
 
 
-def walked_findings(fleet: Fleet, max_files: int = V.MAX_FILES) -> DataFrame:
-    """What a walk over the files finds."""
+def walked_findings(fleet: Fleet) -> DataFrame:
+    """What a walk over the files finds. All of them are examined, so none is reported as left out."""
     found = [detect.inspect_contents(fleet.files), file_source.header_findings(fleet.files)]
     if fleet.listing is not None:
-        found += [detect.detect_file_meta(fleet.listing), detect.detect_truncated(fleet.listing, max_files)]
+        found.append(detect.detect_file_meta(fleet.listing))
     if fleet.archive_entries is not None:
         found.append(detect.detect_archive(fleet.archive_entries))
     if fleet.failures is not None:

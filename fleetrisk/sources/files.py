@@ -39,18 +39,18 @@ def java_literal(text: str) -> str:
     return r"\Q" + text + r"\E"
 
 
-def file_inventory(listing: DataFrame, max_files: int = V.MAX_FILES, hide_dotfiles: bool = False) -> DataFrame:
-    """Files in walk order up to the limit of the walk, with a flag when an artifact has more."""
+def file_inventory(listing: DataFrame, max_files: int | None = None, hide_dotfiles: bool = False) -> DataFrame:
+    """All files; or, in walk order, the first ``max_files`` of an artifact, with a flag when it has more."""
     rows = listing
     if hide_dotfiles:
         rows = rows.filter(~F.rlike("path", F.lit(r"(^|/)\.")))
+    facts = {"extension": nullif_empty(S.extension(F.col("path"))), "format": S.format_by_ext(F.col("path"))}
+    if max_files is None:
+        return rows.withColumns({**facts, "truncated": F.lit(False)})
     # a walk visits directories in name order, which is the order of the path's segments
     order = [F.split("path", "/")]
     sizes = rows.groupBy("artifact_id").agg((F.count(F.lit(1)) > max_files).alias("truncated"))
-    kept = first_n_per_key(rows, ["artifact_id"], order, max_files)
-    return kept.withColumns(
-        {"extension": nullif_empty(S.extension(F.col("path"))), "format": S.format_by_ext(F.col("path"))}
-    ).join(sizes, "artifact_id")
+    return first_n_per_key(rows, ["artifact_id"], order, max_files).withColumns(facts).join(sizes, "artifact_id")
 
 
 def format_detect(files: DataFrame) -> DataFrame:
@@ -108,7 +108,7 @@ def _headers(files: DataFrame, strict: bool) -> DataFrame:
         else (declared > V.MAX_SAFETENSORS_HEADER) | (declared > size)
     )
     fits = declared + 8 <= F.length(content)
-    header = F.when(~too_long & fits, F.decode(F.substr(content, F.lit(9), declared.cast("int")), "UTF-8"))
+    header = F.when(~too_long & fits, S.utf8_text(F.substr(content, F.lit(9), declared.cast("int"))))
     rows = files.withColumns({"declared": declared, "_long": too_long, "_header": header})
     parsed = F.when(
         F.startswith(F.schema_of_variant(F.try_parse_json("_header")), F.lit("OBJECT")),

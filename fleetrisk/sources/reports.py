@@ -178,16 +178,28 @@ def ingest_spdx_sbom(reports: DataFrame) -> DataFrame:
     return report_status(reports.filter(F.col("format") == "syft-spdx"))
 
 
+SHAPES = {"trivy-json": TRIVY, "grype-json": GRYPE, **dict.fromkeys(V.NATIVE_FORMATS, NATIVE)}
+
+
+def _misshapen(body: Column, fmt: Column) -> Column:
+    """Whether a member that a reader uses is of another kind, at any depth. Absent and null members are well."""
+    wrong = F.lit(False)
+    for name, schema in SHAPES.items():
+        read = F.from_json(body, f"{schema}, _wrong string", {"columnNameOfCorruptRecord": "_wrong"})
+        wrong = F.when(fmt == name, read["_wrong"].isNotNull()).otherwise(wrong)
+    return F.coalesce(wrong, F.lit(False))
+
+
 def report_status(reports: DataFrame) -> DataFrame:
     """State of every report: parsed, absent (no file, which is not clean) or error, and ``produced``.
 
-    An unknown format or malformed JSON is an error; blank output is a clean report.
+    An unknown format, malformed JSON and JSON of another shape are errors; blank output is a clean report.
     """
     tolerate_repeated_keys(reports.sparkSession)
     body, fmt = F.col("body"), F.col("format")
     structured = ~fmt.isin("clamav", "trufflehog-json")
     is_object = F.startswith(F.schema_of_variant(F.try_parse_json("body")), F.lit("OBJECT"))
-    malformed = structured & ~_blank(body) & ~F.coalesce(is_object, F.lit(False))
+    malformed = structured & ~_blank(body) & (~F.coalesce(is_object, F.lit(False)) | _misshapen(body, fmt))
     state = (
         F.when(body.isNull(), "absent")
         .when(~fmt.isin(V.REPORT_FORMATS), "error")

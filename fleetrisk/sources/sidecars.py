@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as S
-from ..functions import values as V
 from ..functions.lookups import nullif_empty
 from ..functions.paths import hub_url
 from ..session import tolerate_repeated_keys
@@ -17,16 +16,11 @@ CONFIG = (
 )
 
 
-def _small(documents: DataFrame) -> DataFrame:
-    """Larger texts are not sidecars."""
-    return documents.filter(F.octet_length("body") <= V.MAX_SIDECAR_BYTES)
-
-
 def sidecar_config(documents: DataFrame) -> DataFrame:
     """Declared facts of ``config.json``; a text that is not a JSON object declares nothing."""
     tolerate_repeated_keys(documents.sparkSession)
     is_object = F.startswith(F.schema_of_variant(F.try_parse_json("body")), F.lit("OBJECT"))
-    rows = _small(documents).filter(F.coalesce(is_object, F.lit(False))).withColumn("j", F.from_json("body", CONFIG))
+    rows = documents.filter(F.coalesce(is_object, F.lit(False))).withColumn("j", F.from_json("body", CONFIG))
     c = F.col
     method = nullif_empty(c("j.quantization_config.quant_method"))
     bits = c("j.quantization_config.bits")
@@ -50,7 +44,7 @@ def sidecar_config(documents: DataFrame) -> DataFrame:
 def sidecar_index(documents: DataFrame) -> DataFrame:
     """Distinct shard names of a weight index, one row each."""
     weights = F.from_json("body", "weight_map map<string,string>")["weight_map"]
-    return _small(documents).select("artifact_id", F.explode(F.array_distinct(F.map_values(weights))).alias("path"))
+    return documents.select("artifact_id", F.explode(F.array_distinct(F.map_values(weights))).alias("path"))
 
 
 CARD_STATE = "struct<key:string,pairs:array<struct<key:string,value:string,listed:boolean>>>"

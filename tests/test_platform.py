@@ -101,10 +101,10 @@ def test_coverage(spark):
         CV.coverage(profile, ["nobody"])
 
 
-def test_joined_names_are_bounded(spark):
-    rows = spark.createDataFrame([("a", i, f"n{i}") for i in range(12)], "artifact_id string, ord int, name string")
-    row = CV.joined_names(rows, "name", "ord", "names", limit=3).first()
-    assert row.names == "n0, n1, n2, and 9 more" and row.names_count == 12
+def test_joined_names_are_whole(spark):
+    rows = spark.createDataFrame([("a", i, f"n{i}") for i in range(1500)], "artifact_id string, ord int, name string")
+    row = CV.joined_names(rows.repartition(5), "name", "ord", "names").first()
+    assert row.names == ", ".join(f"n{i}" for i in range(1500)) and row.names_count == 1500
 
 
 # --- controls ---------------------------------------------------------------------------------------------------
