@@ -22,6 +22,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 BLOCK_WORDS = 256
 SHARDS = 64
 BUCKET_ROWS = 2000
+STEP_ROWS = 1000  # documents that are cut into pieces at once
 PIECES = "array<struct<epoch int, shard int, order long, first long, words long>>"
 
 
@@ -115,13 +116,19 @@ def prepare(sizes: list[tuple[str | None, int]], weights, share: float, cap: flo
     return sources
 
 
-def pieces(s: Source, start: int, size: int, block: int) -> list[tuple]:
-    """What the mix takes of a document that covers words ``start`` to ``start + size`` of its source."""
-    if not size or not s.words:
-        return []
-    blocks = np.arange(start // block, (start + size - 1) // block + 1)
-    low, high = np.maximum(start, blocks * block), np.minimum(start + size, (blocks + 1) * block)
-    out = []
+def pieces(s: Source, start: np.ndarray, size: np.ndarray, block: int) -> np.ndarray:
+    """What the mix takes of documents that cover words ``start`` to ``start + size`` of their source.
+
+    A column for each piece, by document, epoch and block: place of the document, epoch, shard, order, first word, words.
+    """
+    docs = np.nonzero(size)[0] if s.words else np.zeros(0, np.int64)
+    lead = start[docs] // block
+    n = (start[docs] + size[docs] - 1) // block - lead + 1
+    doc = np.repeat(docs, n)
+    blocks = np.arange(n.sum()) + np.repeat(lead - np.cumsum(n) + n, n)
+    begin = start[doc]
+    low, high = np.maximum(begin, blocks * block), np.minimum(begin + size[doc], (blocks + 1) * block)
+    out = [np.zeros((6, 0), np.int64)]
     for epoch in range(s.full + (s.rest > 0)):
         key = s.key * 64 + epoch
         rank, end = permuted(blocks, s.blocks, key), high
@@ -132,8 +139,9 @@ def pieces(s: Source, start: int, size: int, block: int) -> list[tuple]:
         unit = epoch * s.blocks + rank
         shard = np.searchsorted(s.cuts, unit, "right")
         order = mix64(unit, s.key + 17).view(np.int64)
-        out += [(epoch, int(c), int(o), int(a - start), int(b - a)) for a, b, c, o in zip(low, end, shard, order) if b > a]
-    return out
+        out.append(np.stack([doc, np.full_like(doc, epoch), shard, order, low - begin, end - low])[:, end > low])
+    made = np.concatenate(out, axis=1)
+    return made[:, np.argsort(made[0], kind="stable")]
 
 
 def plan(docs: DataFrame, weights=(1, 2, 3), share: float = 1.0, cap: float = 3.0, block: int = BLOCK_WORDS, shards: int = SHARDS, seed: int = 1) -> DataFrame:
@@ -160,15 +168,29 @@ def plan(docs: DataFrame, weights=(1, 2, 3), share: float = 1.0, cap: float = 3.
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
-            ids, digests, names, sizes, starts = (c.to_pylist() for c in batch.columns)
-            made = [pieces(by_name[n], a, k, block) for n, a, k in zip(names, starts, sizes)]
-            kind = pa.list_(pa.struct([("epoch", pa.int32()), ("shard", pa.int32()), ("order", pa.int64()), ("first", pa.int64()), ("words", pa.int64())]))
-            rows = [[dict(zip(("epoch", "shard", "order", "first", "words"), p)) for p in m] for m in made]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), batch.column(3), pa.array([by_name[n].size for n in names], pa.int64()), pa.array([by_name[n].target for n in names], pa.float64()), pa.array([sum(p[4] for p in m) for m in made], pa.int64()), pa.array(rows, kind)],
-                ["doc_id", "digest", "size", "source_size", "target", "taken", "pieces"],
-            )
+        kinds = {"epoch": pa.int32(), "shard": pa.int32(), "order": pa.int64(), "first": pa.int64(), "words": pa.int64()}
+        names = ["doc_id", "digest", "size", "source_size", "target", "taken", "pieces"]
+        for whole in batches:
+            for at in range(0, whole.num_rows, STEP_ROWS):
+                batch = whole.slice(at, STEP_ROWS)
+                own = [by_name[n] for n in batch.column(2).to_pylist()]
+                size, start = (batch.column(i).to_numpy(zero_copy_only=False) for i in (3, 4))
+                rows: dict[int, list[int]] = {}
+                for i, s in enumerate(own):
+                    rows.setdefault(s.key, []).append(i)
+                parts = []
+                for places in map(np.array, rows.values()):
+                    part = pieces(own[places[0]], start[places], size[places], block)
+                    part[0] = places[part[0]]
+                    parts.append(part)
+                made = np.concatenate(parts, axis=1)
+                made = made[:, np.argsort(made[0], kind="stable")]
+                ends = np.searchsorted(made[0], np.arange(len(own) + 1))
+                taken = np.diff(np.concatenate([[0], np.cumsum(made[5])])[ends])
+                fields = [pa.array(c, kind) for c, kind in zip(made[1:], kinds.values())]
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(fields, list(kinds)))
+                sources_of = [pa.array([s.size for s in own], pa.int64()), pa.array([s.target for s in own], pa.float64())]
+                yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in (0, 1, 3)), *sources_of, pa.array(taken, pa.int64()), lists], names)
 
     return placed.mapInArrow(run, f"doc_id long, digest long, size long, source_size long, target double, taken long, pieces {PIECES}")
 
