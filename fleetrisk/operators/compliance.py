@@ -228,7 +228,7 @@ def unmeasured_traits(evidence: DataFrame) -> DataFrame:
 # --- attack techniques -----------------------------------------------------------------------------------
 def techniques(spark: SparkSession) -> DataFrame:
     rows = [
-        (tid, name, tactic, coverage, evidence.split(), [f"AML.{m}" for m in mitigations.split()])
+        (tid, name, tactic, coverage, evidence, mitigations)
         for tid, (name, tactic, coverage, evidence, mitigations) in K.TECHNIQUES.items()
     ]
     return spark.createDataFrame(
@@ -258,7 +258,7 @@ def atlas_summary(findings: DataFrame) -> DataFrame:
     """
     by_key: dict[str, list[str]] = {}
     for tid, (_, _, _, evidence, _) in K.TECHNIQUES.items():
-        for key in evidence.split():
+        for key in evidence:
             by_key.setdefault(key, []).append(tid)
     arrays = literal_map(by_key)
     prefix = F.regexp_extract("id", r"^(AR-[A-Z]+)", 1)
