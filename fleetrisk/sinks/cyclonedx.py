@@ -245,7 +245,7 @@ def emit_cyclonedx(
     generated_at: str,
     version: str = "1.6",
     tool_version: str = "1.0",
-    limit: int = J.NODE_LIMIT,
+    limit: int | None = None,
 ) -> DataFrame:
     """``(artifact_id, document, large)``. ``node_rows`` comes from ``cyclonedx_nodes``."""
     if version not in VERSIONS:

@@ -1,8 +1,9 @@
 """JSON documents from rows: nodes first, then one text per artifact.
 
-Every list of a document is a table of nodes ``(artifact_id, section, ord, tie, json)``. Documents of up to
-``limit`` nodes are assembled into one text each. Larger ones are never gathered: their nodes are written as
-they are, range-partitioned by artifact, section and position, beside a head that lacks those lists.
+Every list of a document is a table of nodes ``(artifact_id, section, ord, tie, json)``. A document is one text,
+so its nodes meet in one row; without a ``limit`` every document is whole. A caller with artifacts too large for a
+row states one: the nodes of larger documents are then written as they are, range-partitioned by artifact, section
+and position, beside a head that is flagged and lacks those lists.
 """
 
 from __future__ import annotations
@@ -10,7 +11,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-NODE_LIMIT = 50_000
 NODE_COLUMNS = ["artifact_id", "section", "ord", "tie", "json"]
 
 
@@ -85,12 +85,15 @@ def gather(parts: DataFrame, sections: list[str]) -> DataFrame:
     return collected.select("artifact_id", *[F.transform(s, lambda n: n["json"]).alias(s) for s in sections])
 
 
-def assembled(heads: DataFrame, parts: DataFrame, sections: list[str], document: Column, limit: int = NODE_LIMIT) -> DataFrame:
-    """``(artifact_id, document, large)``: the text of every document of bounded size.
+def assembled(heads: DataFrame, parts: DataFrame, sections: list[str], document: Column, limit: int | None = None) -> DataFrame:
+    """``(artifact_id, document, large)``: the text of every document.
 
-    ``document`` is built from the head columns and one array column per section. A large document has a
-    text without its lists; ``large_nodes`` gives those.
+    ``document`` is built from the head columns and one array column per section. A document above a
+    ``limit`` of the caller has a text without its lists; ``large_nodes`` gives those.
     """
+    if limit is None:
+        rows = heads.join(gather(parts, sections), "artifact_id", "left")
+        return rows.select("artifact_id", document.alias("document"), F.lit(False).alias("large"))
     large = large_artifacts(parts, limit)
     small = parts.join(large, "artifact_id", "left_anti")
     flagged = large.withColumn("large", F.lit(True))
@@ -98,13 +101,14 @@ def assembled(heads: DataFrame, parts: DataFrame, sections: list[str], document:
     return rows.select("artifact_id", document.alias("document"), F.coalesce("large", F.lit(False)).alias("large"))
 
 
-def large_nodes(parts: DataFrame, limit: int = NODE_LIMIT) -> DataFrame:
+def large_nodes(parts: DataFrame, limit: int) -> DataFrame:
     """Nodes of documents above the limit, in document order across partitions."""
     large = parts.join(large_artifacts(parts, limit), "artifact_id", "left_semi")
     return large.orderBy("artifact_id", "section", "ord", "tie")
 
 
-def write_documents(documents: DataFrame, parts: DataFrame, path: str, limit: int = NODE_LIMIT) -> None:
-    """Documents as JSON lines under ``path/documents`` and the nodes of large ones under ``path/nodes``."""
+def write_documents(documents: DataFrame, parts: DataFrame, path: str, limit: int | None = None) -> None:
+    """Documents as JSON lines under ``path/documents``; with a ``limit``, nodes of larger ones under ``path/nodes``."""
     documents.write.mode("overwrite").json(f"{path}/documents")
-    large_nodes(parts, limit).write.mode("overwrite").json(f"{path}/nodes")
+    if limit is not None:
+        large_nodes(parts, limit).write.mode("overwrite").json(f"{path}/nodes")

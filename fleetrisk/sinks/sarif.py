@@ -75,7 +75,7 @@ def _document(generated_at: str, tool_version: str) -> Column:
 
 
 def emit_sarif(
-    profiles: DataFrame, node_rows: DataFrame, generated_at: str, tool_version: str = "1.0", limit: int = J.NODE_LIMIT
+    profiles: DataFrame, node_rows: DataFrame, generated_at: str, tool_version: str = "1.0", limit: int | None = None
 ) -> DataFrame:
     """``(artifact_id, document, large)``. ``node_rows`` comes from ``sarif_nodes``."""
     return J.assembled(profiles, node_rows, SECTIONS, _document(generated_at, tool_version), limit)

@@ -190,7 +190,7 @@ def _document(generated_at: str, tool_version: str) -> Column:
 
 
 def emit_spdx(
-    profiles: DataFrame, node_rows: DataFrame, generated_at: str, tool_version: str = "1.0", limit: int = J.NODE_LIMIT
+    profiles: DataFrame, node_rows: DataFrame, generated_at: str, tool_version: str = "1.0", limit: int | None = None
 ) -> DataFrame:
     """``(artifact_id, document, large)``. ``node_rows`` comes from ``spdx_nodes``."""
     heads = profiles.withColumn("_ns", namespace())

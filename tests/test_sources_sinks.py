@@ -183,6 +183,17 @@ def test_sarif(spark, fleet):
     assert json.loads(log.filter("artifact_id = 'b'").first().document)["runs"][0]["results"] == []
 
 
+def test_documents_are_whole_at_every_size(spark):
+    findings = spark.range(60_000).selectExpr(
+        "'a' AS artifact_id", "concat('AR-', id % 7) AS id", "'t' AS title", "'High' AS severity", "'model' AS category",
+        "concat('f', id) AS location", "'d' AS description", "id AS ord",
+    )
+    profiles = spark.createDataFrame([("a", "n", None, None, None, None)], "artifact_id string, name string, primary_path string, primary_sha256 string, primary_sha384 string, primary_sha512 string")
+    log = SA.emit_sarif(profiles, SA.sarif_nodes(profiles, findings), NOW).first()
+    results = json.loads(log.document)["runs"][0]["results"]
+    assert not log.large and len({r["locations"][0]["physicalLocation"]["artifactLocation"]["uri"] for r in results}) == 60_000
+
+
 def test_large_documents_are_written_as_nodes(spark, fleet, tmp_path):
     f = fleet
     nodes = SA.sarif_nodes(f["profiles"], f["findings"])
