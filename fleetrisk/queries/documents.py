@@ -5,6 +5,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.lookups import nullif_empty
+from ..operators import coverage as CV
 from ..operators import findings as O
 from ..operators import measure as M
 from ..session import cut_lineage
@@ -150,7 +152,10 @@ def emit_spdx(s, d):
 
 
 def emit_sarif(s, d):
-    profiles, findings = cut_lineage(PL._profiles(s, d)), O.normalized(T.read(s, d, T.FINDINGS))
+    # a log needs no more of an artifact than its name and its primary file
+    names = T.read(s, d, T.PROFILES).select("artifact_id", nullif_empty(F.col("name")).alias("name"))
+    profiles = names.join(CV.file_facts(T.read(s, d, T.COMPONENT_FILES)), "artifact_id", "left")
+    findings = O.normalized(T.read(s, d, T.FINDINGS))
     return SA.emit_sarif(profiles, SA.sarif_nodes(profiles, findings), NOW).select("artifact_id", "document")
 
 
