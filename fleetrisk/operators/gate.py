@@ -121,17 +121,11 @@ def severity_max(results: DataFrame) -> DataFrame:
 def with_policy(fact_rows: DataFrame, artifacts: DataFrame | None, rules: DataFrame | None) -> DataFrame:
     """Adds the policy columns. ``artifacts(artifact_id, format, policy_id)`` names each one's policy.
 
-    Unset stays NULL; an artifact without a policy gets all NULL, which are the defaults. An artifact that no
-    scanner has seen is judged too: nothing was found, and nothing ran.
+    Unset stays NULL; an artifact without a policy gets all NULL, which are the defaults.
     """
     rows = fact_rows
     if artifacts is not None:
-        kinds = {name: kind for name, kind in fact_rows.dtypes if name != "artifact_id"}
-        rows = rows.join(artifacts.select("artifact_id", "format", "policy_id"), "artifact_id", "full")
-        unseen = {"string": F.lit("Unknown"), "boolean": F.lit(False)}
-        rows = rows.withColumns(
-            {name: F.coalesce(F.col(name), unseen.get(kind, F.lit(0).cast(kind))) for name, kind in kinds.items()}
-        )
+        rows = rows.join(artifacts.select("artifact_id", "format", "policy_id"), "artifact_id", "left")
     else:
         rows = rows.withColumns({"format": F.lit(None).cast("string"), "policy_id": F.lit(None).cast("string")})
     if rules is not None:
@@ -274,8 +268,16 @@ def judged(
     exceptions: DataFrame | None = None,
     now: datetime | None = None,
 ) -> DataFrame:
-    """Facts, policy, enforced and waived violations of every artifact on one row."""
+    """Facts, policy, enforced and waived violations of every artifact on one row.
+
+    A listed artifact that no scanner has seen is judged too: nothing was found, and nothing ran. It enters the
+    aggregate as a skipped scanner, which adds to no fact, so no further shuffle is needed.
+    """
     moment = now or datetime(2026, 1, 1)
+    if artifacts is not None:
+        skipped = next(name for name, category in V.SCANNER_CATEGORIES.items() if category == "cve")
+        listed = artifacts.select("artifact_id", F.lit(skipped).alias("scanner"), F.lit("Skipped").alias("status"))
+        results = results.unionByName(listed, allowMissingColumns=True)
     rows = _with_waivers(with_policy(facts(results), artifacts, rules), exceptions, moment)
     rows = rows.withColumn("violations", violations_array())
     is_waived = lambda v: F.array_contains(F.col("waived_rules"), v["rule"])
