@@ -6,6 +6,10 @@ to 23 bits, is hashed by the perfect binary Golay code: its keys are the codewor
 bit of it, at most six. Two segments within two bits have a word in the middle, so they share the codeword of that
 word. Every fingerprint therefore meets every other within four bits under a pair of codewords; the meeting is
 verified by the true distance.
+
+``similar_groups`` finds looser copies, by the similarity of their word shingles. Two sketches of word pairs move little
+where a few words change: their Golay keys give candidates, 128 bits together weed out chance, and every pair that is
+left is verified by the exact similarity of the shingle sets.
 """
 
 from __future__ import annotations
@@ -22,26 +26,42 @@ GENERATOR = 0b110001110101  # of the (23, 12) Golay code
 SEGMENTS = ((0, 22), (22, 21), (43, 21))  # first bit and width
 RUN_ROWS = 4096  # rows of one bucket that are compared at once; longer buckets are compared in pairs of such chunks
 SLICE = 1 << 16  # shingle hashes that are counted at once
+SKETCH_SEEDS = (1, 2)
+SKETCH_WORDS = 2
+SKETCH_BITS = 24  # of 128 in which sketches of candidates may differ
+SET_ROWS = 512  # texts of one candidate group in a chunk; longer groups are verified in pairs of chunks
+COLUMNS = 2048  # shingles that are counted at once
 
 
 def fingerprint(text: str, shingle: int = 4, seed: int = 42) -> int:
     """Bit is set where it is set in over half of the XXH64 of all word shingles, repeats included; 0 without words."""
+    return majority(hashes(words_of(text), shingle, seed))
+
+
+def words_of(text: str) -> list[bytes]:
+    return text.encode("utf-8", "surrogatepass").lower().split()
+
+
+def hashes(words: list[bytes], shingle: int, seed: int) -> np.ndarray:
+    """XXH64 of every run of ``shingle`` words; of the whole sequence, if shorter."""
     import xxhash
 
-    words = text.encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     line = b" ".join(words)
     ends = list(accumulate(map(len, words)))
     ends = [e + i for i, e in enumerate(ends)]
     starts = [0] + [e + 1 for e in ends[:-1]]
-    k = min(shingle, len(words))
-    ends = ends[k - 1 :]
-    n, ones, digest = len(ends), np.zeros(64, np.int64), xxhash.xxh64_intdigest
-    for at in range(0, n, SLICE):
-        part = [digest(line[a:b], seed) for a, b in zip(starts[at : at + SLICE], ends[at : at + SLICE])]
-        ones += np.unpackbits(np.array(part, dtype=">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
+    ends, digest = ends[min(shingle, len(words)) - 1 :], xxhash.xxh64_intdigest
+    return np.fromiter((digest(line[a:b], seed) for a, b in zip(starts, ends)), np.uint64, len(ends))
+
+
+def majority(found: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(found), SLICE):
+        ones += np.unpackbits(found[at : at + SLICE].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > len(found)).tobytes(), "big")
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42) -> DataFrame:
@@ -96,47 +116,59 @@ def keys_of(bits: np.ndarray, tables) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(keys)
 
 
-def forest(key: np.ndarray, bits: np.ndarray, distance: int, apart: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def forest(key: np.ndarray, bits: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
     """Rows sorted by key: pairs (row, smallest row joined to it by links within its key), which keep every component."""
-    label, bits = np.arange(len(key)), bits.view(np.uint64)  # the count of set bits takes absolute values of signed numbers
+    bits = bits.view(np.uint64)  # the count of set bits takes absolute values of signed numbers
     left, right, step = [], [], 1
     while step < len(key):
         at = np.nonzero(key[step:] == key[:-step])[0]
         if not len(at):
             break
-        at = at[np.bitwise_count(bits[at] ^ bits[at + step]) <= distance]
+        at = at[np.bitwise_count(bits[at] ^ bits[at + step]).sum(axis=1, dtype=np.int64) <= distance]
         left.append(at)
         right.append(at + step)
         step += 1
-    if left and sum(map(len, left)):
-        a, b = np.concatenate(left), np.concatenate(right)
-        while True:
-            before = label.copy()
-            np.minimum.at(label, b, label[a])
-            np.minimum.at(label, a, label[b])
-            label = label[label]
-            if np.array_equal(before, label):
-                break
-    rows = np.nonzero(label != np.arange(len(key)))[0]
+    none = np.zeros(0, np.int64)
+    return joined(len(key), np.concatenate([none, *left]), np.concatenate([none, *right]))
+
+
+def joined(n: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of ``n`` rows those that links ``a, b`` join to a smaller one, and the smallest that they reach."""
+    label, before = np.arange(n), None
+    while not np.array_equal(before, label):
+        before = label.copy()
+        np.minimum.at(label, b, label[a])
+        np.minimum.at(label, a, label[b])
+        label = label[label]
+    rows = np.nonzero(label != np.arange(n))[0]
     return rows, label[rows]
 
 
 def links(distinct: DataFrame, distance: int = 4) -> DataFrame:
-    """``(a, b)`` over ``distinct(node, bits)``: links that connect all fingerprints within ``distance`` bits.
+    """``(a, b)`` over ``distinct(node, bits, ...)``: links that connect all fingerprints within ``distance`` bits.
+
+    Further columns are further fingerprints: each gives keys, and the distance is that of all together.
 
     Buckets are compared in sorted streams. A bucket longer than ``RUN_ROWS`` is not compared where it is found:
     its rows go on in numbered chunks, and every pair of chunks is compared by a task of its own.
     """
     tables = golay_tables()
+    names = [c for c in distinct.columns if c != "node"]
+    bits_type = ", ".join(f"{c} long" for c in names)
+
+    def stacked(columns):
+        return np.stack([c.to_numpy(zero_copy_only=False) for c in columns], axis=1)
 
     def spread(batches):
         import pyarrow as pa
 
         for batch in batches:
-            node, bits = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
-            for at in range(0, len(bits), 4096):
-                rows, keys = keys_of(bits[at : at + 4096], tables)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(bits[at : at + 4096][rows]), pa.array(node[at : at + 4096][rows])], ["key", "bits", "node"])
+            whole, every = batch.column(0).to_numpy(zero_copy_only=False), stacked(batch.columns[1:])
+            for at in range(0, len(whole), 4096):
+                node, bits = whole[at : at + 4096], every[at : at + 4096]
+                for i in range(len(names)):
+                    rows, keys = keys_of(np.ascontiguousarray(bits[:, i]), tables)
+                    yield pa.RecordBatch.from_arrays([pa.array(keys + (i << 26)), *map(pa.array, bits[rows].T.copy()), pa.array(node[rows])], ["key", *names, "node"])
 
     def compare(batches):
         import pyarrow as pa
@@ -144,7 +176,8 @@ def links(distinct: DataFrame, distance: int = 4) -> DataFrame:
         def out(a, b, key=None, bits=None, chunk=None):
             n = len(a)
             none = pa.nulls(n, pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b) if b is not None else none, none if key is None else pa.array(np.full(n, key)), none if bits is None else pa.array(bits), none if chunk is None else pa.array(np.full(n, chunk))], ["a", "b", "key", "bits", "chunk"])
+            shown = [none] * len(names) if bits is None else map(pa.array, bits.T.copy())
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b) if b is not None else none, none if key is None else pa.array(np.full(n, key)), *shown, none if chunk is None else pa.array(np.full(n, chunk))], ["a", "b", "key", *names, "chunk"])
 
         def settle(key, bits, node):
             rows, low = forest(key, bits, distance)
@@ -154,11 +187,12 @@ def links(distinct: DataFrame, distance: int = 4) -> DataFrame:
             for at in range(0, len(node), RUN_ROWS):
                 yield out(node[at : at + RUN_ROWS], None, key, bits[at : at + RUN_ROWS], chunk + at // RUN_ROWS)
 
-        rest, chunk = (np.zeros(0, np.int64),) * 3, 0  # rows of the last bucket so far, after so many chunks of it
+        rest, chunk = (np.zeros(0, np.int64), np.zeros((0, len(names)), np.int64), np.zeros(0, np.int64)), 0  # rows of the last bucket so far, after so many chunks of it
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key, bits, node = (np.concatenate([r, c.to_numpy(zero_copy_only=False)]) for r, c in zip(rest, batch.columns))
+            key, node = (np.concatenate([r, batch.column(i).to_numpy(zero_copy_only=False)]) for r, i in ((rest[0], 0), (rest[2], len(names) + 1)))
+            bits = np.concatenate([rest[1], stacked(batch.columns[1:-1])])
             edges = np.concatenate([[0], np.nonzero(np.diff(key))[0] + 1, [len(key)]])
             short = np.ones(len(key), bool)
             for i in np.nonzero((np.diff(edges)[:-1] > RUN_ROWS) | ((np.arange(len(edges) - 2) == 0) & (chunk > 0)))[0]:
@@ -183,8 +217,8 @@ def links(distinct: DataFrame, distance: int = 4) -> DataFrame:
 
         held = {}
         for batch in batches:
-            for name in ("pair", "bits", "node"):
-                held.setdefault(name, []).append(batch.column(name).to_numpy(zero_copy_only=False))
+            for name, part in (("pair", batch.column("pair").to_numpy(zero_copy_only=False)), ("bits", stacked(batch.columns[1:-1])), ("node", batch.column("node").to_numpy(zero_copy_only=False))):
+                held.setdefault(name, []).append(part)
             pair = np.concatenate(held["pair"])
             cut = int(np.searchsorted(pair, pair[-1])) if len(pair) else 0
             done = {k: np.concatenate(v) for k, v in held.items()}
@@ -196,14 +230,14 @@ def links(distinct: DataFrame, distance: int = 4) -> DataFrame:
             rows, low = forest(pair, bits, distance)
             yield pa.RecordBatch.from_arrays([pa.array(node[rows]), pa.array(node[low])], ["a", "b"])
 
-    spread_out = distinct.select("node", "bits").mapInArrow(spread, "key long, bits long, node long")
+    spread_out = distinct.select("node", *names).mapInArrow(spread, f"key long, {bits_type}, node long")
     n = distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    met = checkpointed(spread_out.repartition(int(n), "key").sortWithinPartitions("key").mapInArrow(compare, "a long, b long, key long, bits long, chunk long"))
+    met = checkpointed(spread_out.repartition(int(n), "key").sortWithinPartitions("key").mapInArrow(compare, f"a long, b long, key long, {bits_type}, chunk long"))
     chunks = met.where("b is null")
     last = chunks.groupBy("key").agg(F.max("chunk").alias("last"))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))).alias("other")
-    pairs = chunks.withColumnRenamed("a", "node").join(last, "key").select("key", "chunk", "bits", "node", other)
-    pairs = pairs.where("chunk <> other").select(F.xxhash64("key", F.least("chunk", "other"), F.greatest("chunk", "other")).alias("pair"), "bits", "node")
+    pairs = chunks.withColumnRenamed("a", "node").join(last, "key").select("key", "chunk", *names, "node", other)
+    pairs = pairs.where("chunk <> other").select(F.xxhash64("key", F.least("chunk", "other"), F.greatest("chunk", "other")).alias("pair"), *names, "node")
     crossed = pairs.repartition(int(n), "pair").sortWithinPartitions("pair").mapInArrow(cross, "a long, b long")
     return met.where("b is not null").select("a", "b").union(crossed)
 
@@ -221,3 +255,106 @@ def near_duplicates(docs: DataFrame, distance: int = 4, shingle: int = 4, seed:
     found = components(links(distinct.where("node is not null"), distance))
     named = distinct.join(found, "node", "left").select("bits", F.coalesce("component", "node").alias("component_id"))
     return marked.join(named, "bits").select("doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def alike(sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of ``sets`` of numbers whose intersection is ``similarity`` or more of their union; two empty ones are alike."""
+    size = np.array([len(x) for x in sets], np.int64)
+    owner = np.repeat(np.arange(len(sets)), size)
+    _, column, many = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]), return_inverse=True, return_counts=True)
+    common = many[column] > 1
+    owner, column = owner[common], column[common]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], np.concatenate([np.zeros(0, np.int64), np.cumsum(np.diff(column[order], prepend=-1) > 0) - 1])
+    shared = np.zeros((len(sets), len(sets)), np.float64)
+    for first in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        a, b = np.searchsorted(column, (first, first + COLUMNS))
+        part = np.zeros((len(sets), COLUMNS), np.float32)
+        part[owner[a:b], column[a:b] - first] = 1
+        shared += part @ part.T
+    union = size[:, None] + size[None, :] - shared
+    return np.nonzero(np.triu(shared >= similarity * union - 1e-9, 1))
+
+
+def verified(texts_of: DataFrame, candidates: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """``(a, b)``: links that connect all texts of a candidate group whose shingle sets are alike, by exact counts.
+
+    Groups meet in sorted streams, a group of more than about ``SET_ROWS`` texts in pairs of chunks, each a task's own.
+    """
+
+    def sets(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            made = [np.unique(hashes(words_of(t.as_py()), shingle, 0)).tobytes() for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(made, pa.binary())], ["node", "component", "chunks", "shingles"])
+
+    def compare(batches):
+        import pyarrow as pa
+
+        def settle(node, held):
+            node = np.array(node, np.int64)
+            rows, low = joined(len(node), *alike([np.frombuffer(x, np.uint64) for x in held], similarity))
+            return pa.RecordBatch.from_arrays([pa.array(node[rows]), pa.array(node[low])], ["a", "b"])
+
+        now, node, held = None, [], []
+        for batch in batches:
+            for pair, n, x in zip(*(c.to_pylist() for c in batch.columns)):
+                if pair != now:
+                    if len(node) > 1:
+                        yield settle(node, held)
+                    now, node, held = pair, [], []
+                node.append(n)
+                held.append(x)
+        if len(node) > 1:
+            yield settle(node, held)
+
+    n = int(texts_of.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    chunks = F.ceil(F.count("*") / SET_ROWS).cast("long").alias("chunks")
+    sized = candidates.join(candidates.groupBy("component").agg(chunks), "component")
+    members = texts_of.join(sized, texts_of["doc_id"] == sized["node"]).select("node", "component", "text", "chunks")
+    rows = members.mapInArrow(sets, "node long, component long, chunks long, shingles binary")
+    chunk, other = F.pmod(F.xxhash64("node"), F.col("chunks")), F.col("other")
+    rows = rows.withColumn("chunk", chunk).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+    rows = rows.where("chunk <> other or chunks = 1").select(F.xxhash64("component", F.least("chunk", other), F.greatest("chunk", other)).alias("pair"), "node", "shingles")
+    return rows.repartition(n, "pair").sortWithinPartitions("pair", "node").mapInArrow(compare, "a long, b long")
+
+
+def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, distance: int = 4) -> DataFrame:
+    """``doc_id, component_id`` for every row of ``docs``: groups of near copies.
+
+    Two texts are linked if the sets of their ``shingle``-word shingles have ``similarity`` (a shorter text is one
+    shingle; texts without words are equal), or if their fingerprints link as in ``near_duplicates``. Texts of the
+    same words are one node, so large groups of copies add no pairs. ``component_id`` is the smallest doc_id that links
+    reach; rows without doc_id belong to the group of their text and never name one. Null texts are empty, repeated rows
+    stay, an empty table gives an empty result. Candidates come from sketches, so a pair near the threshold can be missed
+    with small probability; what is found is exact.
+    """
+
+    def mark(batches):
+        import pyarrow as pa
+        import xxhash
+
+        for batch in batches:
+            made = []
+            for t in batch.column(1):
+                words = words_of(t.as_py())
+                line = xxhash.xxh3_128_intdigest(b" ".join(words))
+                sketches = [majority(np.unique(hashes(words, SKETCH_WORDS, seed))) for seed in SKETCH_SEEDS]
+                made.append((line >> 64, line & (1 << 64) - 1, majority(hashes(words, 4, 42)), *sketches))
+            columns = np.array(made, np.uint64).reshape(-1, 5).view(np.int64).T.copy()
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, columns)], ["doc_id", "d1", "d2", "bits", "s1", "s2"])
+
+    own = texts(docs)
+    marked = checkpointed(own.mapInArrow(mark, "doc_id long, d1 long, d2 long, bits long, s1 long, s2 long"))
+    distinct = marked.groupBy("d1", "d2").agg(F.min("doc_id").alias("node"), *[F.first(c).alias(c) for c in ("bits", "s1", "s2")])
+    distinct = checkpointed(distinct)
+    known = distinct.where("node is not null")
+    prints = checkpointed(known.groupBy("bits").agg(F.min("node").alias("least")))
+    same = known.join(prints, "bits").where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
+    close = links(prints.select(F.col("least").alias("node"), "bits"), distance)
+    candidates = checkpointed(components(links(known.select("node", "s1", "s2"), SKETCH_BITS)))
+    real = verified(own.where("doc_id is not null"), candidates, shingle, similarity)
+    found = components(close.union(same).union(real))
+    named = distinct.join(found, "node", "left").select("d1", "d2", F.coalesce("component", "node").alias("component_id"))
+    return marked.join(named, ["d1", "d2"]).select("doc_id", "component_id")

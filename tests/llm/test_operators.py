@@ -268,3 +268,36 @@ def test_pipeline_stages_keep_the_columns(spark, tmp_path):
             assert 0 < docs.count() <= before
             before = docs.count()
     assert docs.count() > 0 and json.dumps(docs.columns)
+
+
+@pytest.mark.parametrize("rows_at_once", [512, 2])
+def test_similar_groups(spark, docs, none, monkeypatch, rows_at_once):
+    monkeypatch.setattr(simhash, "SET_ROWS", rows_at_once)
+    rng, base = random.Random(4), [prose(n, 50 + n).split() for n in (60, 200, 900)]
+    more = []
+    for words in base:
+        more.append(" ".join(words))
+        for changed in (0.005, 0.01, 0.02, 0.2):
+            copy = list(words)
+            for at in rng.sample(range(len(copy)), max(1, int(changed * len(copy)))):
+                copy[at] = "new%d" % rng.randrange(1000)
+            more.append(" ".join(copy))
+    df = docs.select("doc_id", "text").union(spark.createDataFrame([(100 + i, t) for i, t in enumerate(more)] + [(None, more[0])], "doc_id long, text string")).withColumn("node", F.lit(1))
+    texts = text_of() | {100 + i: t for i, t in enumerate(more)}
+
+    def shingles(t):
+        w = t.encode().lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    sets, prints = {i: shingles(t) for i, t in texts.items()}, {i: simhash.fingerprint(t) for i, t in texts.items()}
+    parent = {i: i for i in texts}
+    for _ in range(4):
+        for a in texts:
+            for b in texts:
+                union = len(sets[a] | sets[b])
+                if (len(sets[a] & sets[b]) >= 0.8 * union if union else True) or (prints[a] ^ prints[b]).bit_count() <= 4:
+                    parent[a] = parent[b] = min(parent[a], parent[b])
+    got = simhash.similar_groups(df).collect()
+    assert len(got) == len(rows()) + len(more) + 1
+    assert {(r.doc_id, r.component_id) for r in got} == {*parent.items(), (None, parent[100])}
+    assert simhash.similar_groups(none).count() == 0
