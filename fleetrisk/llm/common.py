@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from fleetrisk.session import cut_lineage as checkpointed
 
-__all__ = ["checkpointed", "read", "texts", "arrow_binary", "components", "worker_cache"]
+__all__ = ["checkpointed", "read", "texts", "arrow_binary", "components", "joined", "worker_cache"]
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -31,10 +31,52 @@ def arrow_binary(column) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, np.uint8)), offsets
 
 
+def joined(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``label``, the smallest row that each row reaches, after links ``a, b``."""
+    while True:
+        low, high = np.minimum(label[a], label[b]), np.maximum(label[a], label[b])
+        if np.array_equal(low, high):
+            return label
+        label = label.copy()
+        np.minimum.at(label, high, low)
+        while not np.array_equal(label, label[label]):
+            label = label[label]
+
+
+def spanning(edges: DataFrame, at_once: int = 1 << 20) -> DataFrame:
+    """Links ``(a, b)`` of each task, ``at_once`` together, as one link of each node to the smallest that it reaches there.
+
+    A node of a large group that was linked many times then has few links left to shuffle, most of them the same.
+    """
+
+    def run(batches):
+        import pyarrow as pa
+
+        def settle():
+            node, place = np.unique(np.concatenate([*left, *right]), return_inverse=True)
+            half, own = len(place) // 2, np.arange(len(node))
+            low = joined(own, place[:half], place[half:])
+            rows = np.nonzero(low != own)[0]
+            return pa.RecordBatch.from_arrays([pa.array(node[rows]), pa.array(node[low[rows]])], ["a", "b"])
+
+        left, right, size = [], [], 0
+        for batch in batches:
+            left.append(batch.column(0).to_numpy(zero_copy_only=False))
+            right.append(batch.column(1).to_numpy(zero_copy_only=False))
+            size += batch.num_rows
+            if size >= at_once:
+                yield settle()
+                left, right, size = [], [], 0
+        if size:
+            yield settle()
+
+    return edges.select("a", "b").mapInArrow(run, "a long, b long")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``(node, component)`` of every node of undirected ``edges(a, b)``; a component is named by its smallest node.
 
-    Alternating large-star and small-star steps until nothing moves: every step is one aggregate that combines
+    Links of a task shrink to a forest; then alternating large-star and small-star steps until nothing moves: every step is one aggregate that combines
     before its shuffle and one join on the node, which Spark splits where a node has very many neighbours. Each
     round is checkpointed; only a count and a checksum reach the driver.
     """
@@ -46,7 +88,7 @@ def components(edges: DataFrame) -> DataFrame:
     def mark(df: DataFrame):
         return df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
 
-    now = checkpointed(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    now = checkpointed(spanning(edges.where("a <> b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     seen = mark(now)
     while seen[0]:
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).union(now.select(F.col("b").alias("u"), F.col("a").alias("v")))

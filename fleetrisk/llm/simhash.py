@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, components, texts
+from .common import checkpointed, components, joined, texts
 
 GENERATOR = 0b110001110101  # of the (23, 12) Golay code
 SEGMENTS = ((0, 22), (22, 21), (43, 21))  # first bit and width
@@ -119,28 +119,21 @@ def keys_of(bits: np.ndarray, tables) -> tuple[np.ndarray, np.ndarray]:
 def forest(key: np.ndarray, bits: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
     """Rows sorted by key: pairs (row, smallest row joined to it by links within its key), which keep every component."""
     bits = bits.view(np.uint64)  # the count of set bits takes absolute values of signed numbers
-    left, right, step = [], [], 1
+    label, left, right, step = np.arange(len(key)), [], [], 1
     while step < len(key):
         at = np.nonzero(key[step:] == key[:-step])[0]
         if not len(at):
             break
+        at = at[label[at] != label[at + step]]
         at = at[np.bitwise_count(bits[at] ^ bits[at + step]).sum(axis=1, dtype=np.int64) <= distance]
         left.append(at)
         right.append(at + step)
         step += 1
-    none = np.zeros(0, np.int64)
-    return joined(len(key), np.concatenate([none, *left]), np.concatenate([none, *right]))
-
-
-def joined(n: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of ``n`` rows those that links ``a, b`` join to a smaller one, and the smallest that they reach."""
-    label, before = np.arange(n), None
-    while not np.array_equal(before, label):
-        before = label.copy()
-        np.minimum.at(label, b, label[a])
-        np.minimum.at(label, a, label[b])
-        label = label[label]
-    rows = np.nonzero(label != np.arange(n))[0]
+        if sum(map(len, left)) > len(key):  # rows that are joined by now need no further link
+            label, left, right = joined(label, np.concatenate(left), np.concatenate(right)), [], []
+    if left:
+        label = joined(label, np.concatenate(left), np.concatenate(right))
+    rows = np.nonzero(label != np.arange(len(key)))[0]
     return rows, label[rows]
 
 
@@ -232,13 +225,13 @@ def links(distinct: DataFrame, distance: int = 4) -> DataFrame:
 
     spread_out = distinct.select("node", *names).mapInArrow(spread, f"key long, {bits_type}, node long")
     n = distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    met = checkpointed(spread_out.repartition(int(n), "key").sortWithinPartitions("key").mapInArrow(compare, f"a long, b long, key long, {bits_type}, chunk long"))
+    met = checkpointed(spread_out.repartition(int(n), "key").sortWithinPartitions("key", "node").mapInArrow(compare, f"a long, b long, key long, {bits_type}, chunk long"))
     chunks = met.where("b is null")
     last = chunks.groupBy("key").agg(F.max("chunk").alias("last"))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))).alias("other")
     pairs = chunks.withColumnRenamed("a", "node").join(last, "key").select("key", "chunk", *names, "node", other)
     pairs = pairs.where("chunk <> other").select(F.xxhash64("key", F.least("chunk", "other"), F.greatest("chunk", "other")).alias("pair"), *names, "node")
-    crossed = pairs.repartition(int(n), "pair").sortWithinPartitions("pair").mapInArrow(cross, "a long, b long")
+    crossed = pairs.repartition(int(n), "pair").sortWithinPartitions("pair", "node").mapInArrow(cross, "a long, b long")
     return met.where("b is not null").select("a", "b").union(crossed)
 
 
@@ -294,8 +287,9 @@ def verified(texts_of: DataFrame, candidates: DataFrame, shingle: int, similarit
 
         def settle(node, held):
             node = np.array(node, np.int64)
-            rows, low = joined(len(node), *alike([np.frombuffer(x, np.uint64) for x in held], similarity))
-            return pa.RecordBatch.from_arrays([pa.array(node[rows]), pa.array(node[low])], ["a", "b"])
+            low = joined(np.arange(len(node)), *alike([np.frombuffer(x, np.uint64) for x in held], similarity))
+            rows = np.nonzero(low != np.arange(len(node)))[0]
+            return pa.RecordBatch.from_arrays([pa.array(node[rows]), pa.array(node[low[rows]])], ["a", "b"])
 
         now, node, held = None, [], []
         for batch in batches:
