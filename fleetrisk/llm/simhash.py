@@ -318,8 +318,8 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, d
     """``doc_id, component_id`` for every row of ``docs``: groups of near copies.
 
     Two texts are linked if the sets of their ``shingle``-word shingles have ``similarity`` (a shorter text is one
-    shingle; texts without words are equal), or if their fingerprints link as in ``near_duplicates``. Texts of the
-    same words are one node, so large groups of copies add no pairs. ``component_id`` is the smallest doc_id that links
+    shingle; texts without words are equal). Fingerprints that link as in ``near_duplicates`` only make candidates: a line
+    that is repeated often decides all their bits, in texts that share nothing else. Texts of the same words are one node, so large groups of copies add no pairs. ``component_id`` is the smallest doc_id that links
     reach; rows without doc_id belong to the group of their text and never name one. Null texts are empty, repeated rows
     stay, an empty table gives an empty result. Candidates come from sketches, so a pair near the threshold can be missed
     with small probability; what is found is exact.
@@ -347,8 +347,8 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, d
     prints = checkpointed(known.groupBy("bits").agg(F.min("node").alias("least")))
     same = known.join(prints, "bits").where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
     close = links(prints.select(F.col("least").alias("node"), "bits"), distance)
-    candidates = checkpointed(components(links(known.select("node", "s1", "s2"), SKETCH_BITS)))
-    real = verified(own.where("doc_id is not null"), candidates, shingle, similarity)
-    found = components(close.union(same).union(real))
+    near = links(known.select("node", "s1", "s2"), SKETCH_BITS)
+    candidates = checkpointed(components(close.union(same).union(near)))
+    found = components(verified(own.where("doc_id is not null"), candidates, shingle, similarity))
     named = distinct.join(found, "node", "left").select("d1", "d2", F.coalesce("component", "node").alias("component_id"))
     return marked.join(named, ["d1", "d2"]).select("doc_id", "component_id")

@@ -301,3 +301,11 @@ def test_similar_groups(spark, docs, none, monkeypatch, rows_at_once):
     assert len(got) == len(rows()) + len(more) + 1
     assert {(r.doc_id, r.component_id) for r in got} == {*parent.items(), (None, parent[100])}
     assert simhash.similar_groups(none).count() == 0
+
+
+def test_unlike_texts_with_a_repeated_line_stay_apart(spark):
+    line = " ".join(["home about us contact imprint"] * 300)
+    texts = [" ".join("%s%d" % (name, i) for i in range(200)) + " " + line for name in "ab"]
+    assert (simhash.fingerprint(texts[0]) ^ simhash.fingerprint(texts[1])).bit_count() <= 4
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {tuple(r) for r in simhash.similar_groups(df).collect()} == {(0, 0), (1, 1)}
