@@ -7,9 +7,10 @@ bit of it, at most six. Two segments within two bits have a word in the middle,
 word. Every fingerprint therefore meets every other within four bits under a pair of codewords; the meeting is
 verified by the true distance.
 
-``similar_groups`` finds looser copies, by the similarity of their word shingles. Two sketches of word pairs move little
-where a few words change: their Golay keys give candidates, 128 bits together weed out chance, and every pair that is
-left is verified by the exact similarity of the shingle sets.
+``similar_groups`` finds looser copies, by the similarity of their word shingles. A hash function has the same least
+value over two sets with the probability of their similarity, wherever the texts differ: texts meet where all
+``BAND_HASHES`` of one of ``BANDS`` bands are equal, one bit of each function weeds out chance, and every pair that is left
+is verified by the exact similarity of the shingle sets.
 """
 
 from __future__ import annotations
@@ -26,9 +27,10 @@ GENERATOR = 0b110001110101  # of the (23, 12) Golay code
 SEGMENTS = ((0, 22), (22, 21), (43, 21))  # first bit and width
 RUN_ROWS = 4096  # rows of one bucket that are compared at once; longer buckets are compared in pairs of such chunks
 SLICE = 1 << 16  # shingle hashes that are counted at once
-SKETCH_SEEDS = (1, 2)
-SKETCH_WORDS = 2
-SKETCH_BITS = 24  # of 128 in which sketches of candidates may differ
+BANDS, BAND_HASHES = 40, 6  # a pair of similarity s meets in none with probability (1 - s ** 6) ** 40: 0.8 gives 0.000005
+HASHES = 256  # hash functions; the bands take the first 240, the sketch one bit of each
+SKETCH_BITS = 64  # of 256 in which sketches of candidates may differ; similarity 0.8 differs in 26 and exceeds 64 with probability under 1e-10
+XORS, FACTORS = np.random.default_rng(8).integers(1 << 62, 1 << 63, (2, HASHES), np.uint64) * np.uint64(2) + np.uint64(1)
 SET_ROWS = 512  # texts of one candidate group in a chunk; longer groups are verified in pairs of chunks
 COLUMNS = 2048  # shingles that are counted at once
 
@@ -64,6 +66,22 @@ def majority(found: np.ndarray) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(found)).tobytes(), "big")
 
 
+def least_hashes(found: np.ndarray) -> np.ndarray:
+    """The least value of each of ``HASHES`` hash functions over the numbers ``found``; the highest, if there are none."""
+    least = np.full(HASHES, (1 << 64) - 1, np.uint64)
+    for at in range(0, len(found), HASHES):
+        least = np.minimum(least, ((found[None, at : at + HASHES] ^ XORS[:, None]) * FACTORS[:, None]).min(axis=1))
+    return least
+
+
+def bands_of(least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of least hashes the sketch of 256 bits and a key of each band."""
+    used = least[: BANDS * BAND_HASHES].reshape(BANDS, BAND_HASHES)
+    mixed = (used ^ used >> np.uint64(31)) * FACTORS[:BAND_HASHES]
+    bit = np.bitwise_count(least) & 1
+    return np.packbits(bit).view(np.uint64), (mixed.sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64)) * XORS[0]
+
+
 def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42) -> DataFrame:
     """``doc_id, bits``: the fingerprint of every document as a signed 64-bit number."""
 
@@ -137,16 +155,17 @@ def forest(key: np.ndarray, bits: np.ndarray, distance: int) -> tuple[np.ndarray
     return rows, label[rows]
 
 
-def links(distinct: DataFrame, distance: int = 4) -> DataFrame:
+def links(distinct: DataFrame, distance: int = 4, ready: str | None = None) -> DataFrame:
     """``(a, b)`` over ``distinct(node, bits, ...)``: links that connect all fingerprints within ``distance`` bits.
 
-    Further columns are further fingerprints: each gives keys, and the distance is that of all together.
+    Further columns are further fingerprints: each gives keys, and the distance is that of all together. A binary column
+    ``ready`` holds the keys of its row, equally many in all rows; rows then meet by those alone.
 
     Buckets are compared in sorted streams. A bucket longer than ``RUN_ROWS`` is not compared where it is found:
     its rows go on in numbered chunks, and every pair of chunks is compared by a task of its own.
     """
     tables = golay_tables()
-    names = [c for c in distinct.columns if c != "node"]
+    names = [c for c in distinct.columns if c not in ("node", ready)]
     bits_type = ", ".join(f"{c} long" for c in names)
 
     def stacked(columns):
@@ -156,9 +175,14 @@ def links(distinct: DataFrame, distance: int = 4) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            whole, every = batch.column(0).to_numpy(zero_copy_only=False), stacked(batch.columns[1:])
+            whole, every = batch.column(0).to_numpy(zero_copy_only=False), stacked(batch.columns[1 : 1 + len(names)])
             for at in range(0, len(whole), 4096):
                 node, bits = whole[at : at + 4096], every[at : at + 4096]
+                if ready:
+                    keys = np.frombuffer(b"".join(batch.column(1 + len(names))[at : at + 4096].to_pylist()), np.int64)
+                    rows = np.repeat(np.arange(len(node)), len(keys) // len(node))
+                    yield pa.RecordBatch.from_arrays([pa.array(keys), *map(pa.array, bits[rows].T.copy()), pa.array(node[rows])], ["key", *names, "node"])
+                    continue
                 for i in range(len(names)):
                     rows, keys = keys_of(np.ascontiguousarray(bits[:, i]), tables)
                     yield pa.RecordBatch.from_arrays([pa.array(keys + (i << 26)), *map(pa.array, bits[rows].T.copy()), pa.array(node[rows])], ["key", *names, "node"])
@@ -223,7 +247,7 @@ def links(distinct: DataFrame, distance: int = 4) -> DataFrame:
             rows, low = forest(pair, bits, distance)
             yield pa.RecordBatch.from_arrays([pa.array(node[rows]), pa.array(node[low])], ["a", "b"])
 
-    spread_out = distinct.select("node", *names).mapInArrow(spread, f"key long, {bits_type}, node long")
+    spread_out = distinct.select("node", *names, *([ready] if ready else [])).mapInArrow(spread, f"key long, {bits_type}, node long")
     n = distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")
     met = checkpointed(spread_out.repartition(int(n), "key").sortWithinPartitions("key", "node").mapInArrow(compare, f"a long, b long, key long, {bits_type}, chunk long"))
     chunks = met.where("b is null")
@@ -314,15 +338,16 @@ def verified(texts_of: DataFrame, candidates: DataFrame, shingle: int, similarit
     return rows.repartition(n, "pair").sortWithinPartitions("pair", "node").mapInArrow(compare, "a long, b long")
 
 
-def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, distance: int = 4) -> DataFrame:
+def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
     """``doc_id, component_id`` for every row of ``docs``: groups of near copies.
 
     Two texts are linked if the sets of their ``shingle``-word shingles have ``similarity`` (a shorter text is one
-    shingle; texts without words are equal). Fingerprints that link as in ``near_duplicates`` only make candidates: a line
-    that is repeated often decides all their bits, in texts that share nothing else. Texts of the same words are one node, so large groups of copies add no pairs. ``component_id`` is the smallest doc_id that links
-    reach; rows without doc_id belong to the group of their text and never name one. Null texts are empty, repeated rows
-    stay, an empty table gives an empty result. Candidates come from sketches, so a pair near the threshold can be missed
-    with small probability; what is found is exact.
+    shingle; texts without words are equal). The fingerprints of ``near_duplicates`` have no part in it: a line that is
+    repeated often decides all their bits, in texts that share nothing else. Texts of the same words are one node, so
+    large groups of copies add no pairs. ``component_id`` is the smallest doc_id that links reach; rows without doc_id
+    belong to the group of their text and never name one. Null texts are empty, repeated rows stay, an empty table gives
+    an empty result. Candidates come from least hashes of the same sets, so a pair of similarity 0.8 is missed with
+    probability 0.000005 and closer ones less; for a ``similarity`` below 0.8 more are missed. What is found is exact.
     """
 
     def mark(batches):
@@ -330,25 +355,22 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, d
         import xxhash
 
         for batch in batches:
-            made = []
+            made, keys = [], []
             for t in batch.column(1):
                 words = words_of(t.as_py())
                 line = xxhash.xxh3_128_intdigest(b" ".join(words))
-                sketches = [majority(np.unique(hashes(words, SKETCH_WORDS, seed))) for seed in SKETCH_SEEDS]
-                made.append((line >> 64, line & (1 << 64) - 1, majority(hashes(words, 4, 42)), *sketches))
-            columns = np.array(made, np.uint64).reshape(-1, 5).view(np.int64).T.copy()
-            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, columns)], ["doc_id", "d1", "d2", "bits", "s1", "s2"])
+                sketch, of_bands = bands_of(least_hashes(np.unique(hashes(words, shingle, 0))))
+                made.append((line >> 64, line & (1 << 64) - 1, *sketch.tolist()))
+                keys.append(of_bands.tobytes())
+            columns = np.array(made, np.uint64).reshape(-1, 6).view(np.int64).T.copy()
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, columns), pa.array(keys, pa.binary())], ["doc_id", "d1", "d2", *names, "bands"])
 
+    names = [f"s{i}" for i in range(HASHES // 64)]
     own = texts(docs)
-    marked = checkpointed(own.mapInArrow(mark, "doc_id long, d1 long, d2 long, bits long, s1 long, s2 long"))
-    distinct = marked.groupBy("d1", "d2").agg(F.min("doc_id").alias("node"), *[F.first(c).alias(c) for c in ("bits", "s1", "s2")])
-    distinct = checkpointed(distinct)
-    known = distinct.where("node is not null")
-    prints = checkpointed(known.groupBy("bits").agg(F.min("node").alias("least")))
-    same = known.join(prints, "bits").where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
-    close = links(prints.select(F.col("least").alias("node"), "bits"), distance)
-    near = links(known.select("node", "s1", "s2"), SKETCH_BITS)
-    candidates = checkpointed(components(close.union(same).union(near)))
+    sketches = own.mapInArrow(mark, f"doc_id long, d1 long, d2 long, {', '.join(f'{c} long' for c in names)}, bands binary")
+    marked = checkpointed(sketches)
+    distinct = checkpointed(marked.groupBy("d1", "d2").agg(F.min("doc_id").alias("node"), *[F.first(c).alias(c) for c in (*names, "bands")]))
+    candidates = checkpointed(components(links(distinct.where("node is not null").drop("d1", "d2"), SKETCH_BITS, "bands")))
     found = components(verified(own.where("doc_id is not null"), candidates, shingle, similarity))
     named = distinct.join(found, "node", "left").select("d1", "d2", F.coalesce("component", "node").alias("component_id"))
     return marked.join(named, ["d1", "d2"]).select("doc_id", "component_id")

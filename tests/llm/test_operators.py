@@ -309,3 +309,16 @@ def test_unlike_texts_with_a_repeated_line_stay_apart(spark):
     assert (simhash.fingerprint(texts[0]) ^ simhash.fingerprint(texts[1])).bit_count() <= 4
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert {tuple(r) for r in simhash.similar_groups(df).collect()} == {(0, 0), (1, 1)}
+
+
+def test_copies_with_a_passage_appended_or_replaced_are_found(spark):
+    rng = random.Random(6)
+    words = lambda n: ["w%d" % rng.randrange(20000) for _ in range(n)]
+    texts = []
+    for k in range(120):
+        whole = words(300)
+        at = rng.randrange(270)
+        changed = whole + words(74) if k % 2 else whole[:at] + words(28) + whole[at + 28 :]  # similarity 0.80 to 0.82
+        texts += [" ".join(whole), " ".join(changed)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    assert {tuple(r) for r in simhash.similar_groups(df).collect()} == {(i, i // 2 * 2) for i in range(240)}
