@@ -102,10 +102,23 @@ def anchor_rows(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "gram long, doc_id long, place int")
 
 
-def snippets_of(text: bytes, places: np.ndarray, counts: np.ndarray) -> list[tuple[int, int, bytes]]:
-    """Key, start and bytes of the windows of each of the anchors at ``places``, which occur ``counts`` times."""
+def snippets_of(text: bytes, places: np.ndarray, counts: np.ndarray, grams: list | None = None) -> list[tuple[int, int, bytes]]:
+    """Key, start and bytes of the windows of each of the anchors at ``places``, which occur ``counts`` times.
+
+    With ``grams``, the hash of each anchor with a count, anchors of other texts may be among them: a count holds where the
+    text has that hash.
+    """
     data = np.frombuffer(text, np.uint8)
     at, hashes = window_anchors(data)
+    if grams is not None:
+        own, signed = {}, hashes.view(np.int64)
+        for place, count, gram in zip(places.tolist(), counts.tolist(), grams):
+            if not count:
+                own.setdefault(place, 0)
+            elif place < len(signed) and int(signed[place]) == gram:
+                own[place] = count
+        places = np.array(sorted(own), np.int64)
+        counts = np.array([own[p] for p in places.tolist()], np.int64)
     starts = np.searchsorted(at, places, "left")  # anchors of successive windows never go back
     ends = np.searchsorted(at, places, "right")
     out, shared = [], {}
@@ -277,14 +290,19 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("h1", F.xxhash64("text")).withColumn("h2", F.xxhash64(F.lit(1), "text"))
     ids = checkpointed(rows.select("doc_id", "h1", "h2").distinct())
     ranked = ids.groupBy("h1", "h2").agg(F.min("doc_id").alias("first_id"))
-    kept_ids = checkpointed(ranked.select(F.col("first_id").alias("doc_id"), "h1", "h2"))
+    # texts that are searched are numbered in order, as several may share an id or have none
+    kept_ids = ranked.select(F.col("first_id").alias("doc_id"), "h1", "h2").orderBy("doc_id", "h1", "h2")
+    kept_ids = checkpointed(kept_ids.withColumn("number", F.monotonically_increasing_id()))
 
-    found = anchor_rows(rows.select("doc_id", "text"))
+    # anchors of texts that share an id come together, and each text takes its own; those without one go by text hash
+    owner = F.when(F.col("doc_id") < LAST, F.col("doc_id")).otherwise(F.col("h1"))
+    found = anchor_rows(rows.select(owner.alias("doc_id"), "text")).withColumnRenamed("doc_id", "owner")
     counts = found.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1")
-    flagged = found.join(counts, "gram").select("doc_id", "place", F.when(F.col("n") > WARM, F.col("n")).alias("n"))
-    flagged = flagged.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("place", "n"))).alias("anchors"))
+    warm = F.col("n") > WARM
+    flagged = found.join(counts, "gram").select("owner", "place", F.when(warm, F.col("n")).alias("n"), F.when(warm, F.col("gram")).alias("gram"))
+    flagged = flagged.groupBy("owner").agg(F.array_sort(F.collect_set(F.struct("place", "n", "gram"))).alias("anchors"))
     # both joins of the texts are on the same keys, so Spark shuffles the texts once and reads that shuffle twice
-    searched = rows.join(flagged.join(kept_ids, "doc_id"), ["doc_id", "h1", "h2"]).select("doc_id", "text", "anchors")
+    searched = rows.join(flagged.join(kept_ids.withColumn("owner", owner), "owner"), ["doc_id", "h1", "h2"]).select("number", "text", "anchors")
 
     def cut(batches):
         import pyarrow as pa
@@ -305,7 +323,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                 data = text.as_py().encode("utf-8", "surrogatepass")
                 if len(data) < LENGTH:
                     continue
-                for key, start, part in snippets_of(data, np.array([x["place"] for x in anchors]), np.array([x["n"] or 0 for x in anchors])):
+                for key, start, part in snippets_of(data, np.array([x["place"] for x in anchors]), np.array([x["n"] or 0 for x in anchors]), [x["gram"] for x in anchors]):
                     own, known = (doc, start), first.get((key, part))
                     if known == own:  # a repeated row
                         continue
@@ -326,8 +344,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         yield spans(later)
 
     spans = spans_by_anchor(searched.mapInArrow(cut, "key long, doc_id long, start int, stop int, bytes binary"))
-    spans = spans.groupBy("doc_id").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
-    first = kept_ids.join(spans, "doc_id", "left").withColumn("first", F.lit(True))
+    spans = spans.groupBy(F.col("doc_id").alias("number")).agg(F.collect_list(F.struct("low", "high")).alias("spans"))
+    first = kept_ids.join(spans, "number", "left").drop("number").withColumn("first", F.lit(True))
     marks = ids.join(first, ["doc_id", "h1", "h2"], "left").select("doc_id", "h1", "h2", F.coalesce("first", F.lit(False)).alias("first"), "spans")
     whole = rows.join(marks, ["doc_id", "h1", "h2"]).select(F.when(F.col("doc_id") < LAST, F.col("doc_id")).alias("doc_id"), "text", "first", "spans")
 

@@ -322,3 +322,25 @@ def test_copies_with_a_passage_appended_or_replaced_are_found(spark):
         texts += [" ".join(whole), " ".join(changed)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
     assert {tuple(r) for r in simhash.similar_groups(df).collect()} == {(i, i // 2 * 2) for i in range(240)}
+
+
+@pytest.mark.parametrize("sizes", [(2000, 100_000, 1 << 20), (2, 6, 1500)])
+def test_repeats_of_texts_without_id_or_with_one_id(spark, monkeypatch, sizes):
+    for name, value in zip(("WARM", "HOT", "GROUP_BYTES"), sizes):
+        monkeypatch.setattr(repeats, name, value)
+    head = prose(60, 70)
+    made = [(i, head + " " + prose(40 + 9 * k, 100 * k + (i or 9))) for k, i in enumerate([5, 5, 5, 6, 8, None, None, None, None])]
+    made += [(5, prose(80, 71) + " " + head), (3, made[1][1][40:]), (None, made[2][1]), (7, prose(90, 72)), (None, prose(90, 73) + made[6][1][-150:]), made[5], made[1]]
+    df = spark.createDataFrame(made, "doc_id long, text string").repartition(3)
+    h = {r.text: (r.h1, r.h2) for r in df.select("text", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2")).collect()}
+    seen, want = set(), collections.Counter()
+    for i, t in sorted(set(made), key=lambda r: (r[0] is None, r[0] or 0, h[r[1]])):
+        data = t.encode()
+        gone = bytearray(len(data))
+        for p in range(len(data) - 99):
+            if data[p : p + 100] in seen:
+                gone[p : p + 100] = b"\1" * 100
+            seen.add(data[p : p + 100])
+        spans = sum(1 for k, g in enumerate(gone) if g and not (k and gone[k - 1]))
+        want[i, len(data), sum(gone), spans, hashlib.sha256(bytes(c for c, g in zip(data, gone) if not g)).hexdigest()] += made.count((i, t))
+    assert collections.Counter(map(tuple, repeats.remove_repeats(df).collect())) == want
