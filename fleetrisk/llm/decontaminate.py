@@ -67,7 +67,7 @@ def coverage(docs: DataFrame, benchmark: DataFrame, seed: int = SEED_TOKENS, lea
 
     Tokens are runs without white space, with A-Z in lower case. Of the benchmark items that share a run of ``seed``
     tokens (or the whole item, if shorter) with a document, the one whose tokens tiles cover best is reported, ties
-    by item_id; a document is contaminated from ``threshold`` on. Tiles may come in any order, so reordered passages
+    by item_id, items without id last (their match has a null item and its coverage); a document is contaminated from ``threshold`` on. Tiles may come in any order, so reordered passages
     count. Whole texts are read. Rows without a match, with null or empty text have null item, coverage 0 and are
     clean; items without text match nothing. The benchmark is measured first and carried in blocks of at most about
     ``block_bytes``, one pass for each block.
@@ -96,11 +96,17 @@ def keep(docs: DataFrame, benchmark: DataFrame, seed: int = SEED_TOKENS, least:
 
 
 def benchmark_blocks(benchmark: DataFrame, block_bytes: int) -> list[list]:
-    """Items as tokens, in blocks of about ``block_bytes`` of text, by hash of the id; the text is measured first."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).where("item_id is not null").distinct()
+    """Items as tokens, in blocks of about ``block_bytes`` of text, by hash of id and text; the text is measured first."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).distinct()
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-size // block_bytes))
-    return [sorted((r.item_id, w) for r in items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).collect() if (w := r.text.encode("utf-8", "surrogatepass").lower().split())) for k in range(blocks)]
+    block = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
+    return [sorted(((r.item_id, w) for r in items.where(block == k).collect() if (w := r.text.encode("utf-8", "surrogatepass").lower().split())), key=lambda x: (place_of(x[0]), x[1])) for k in range(blocks)]
+
+
+def place_of(item_id: int | None) -> tuple[bool, int]:
+    """Order of items: by id, those without one last."""
+    return item_id is None, item_id or 0
 
 
 def _pass(rows: DataFrame, items: list, seed: int, least: int, more: bool) -> DataFrame:
@@ -153,7 +159,7 @@ def tiler(items: list, seed: int, least: int):
             of_item = np.where(keep, ids, -1)[short]
             made = tiles(item, of_item, min(least, len(item)))
             share = sum(t[2] for t in made) / len(item)
-            if share > found[1] or (share == found[1] > 0 and item_id < found[0]):
+            if share > found[1] or (share == found[1] > 0 and place_of(item_id) < place_of(found[0])):
                 found = (item_id, share, len(made))
         return found
 

@@ -344,3 +344,13 @@ def test_repeats_of_texts_without_id_or_with_one_id(spark, monkeypatch, sizes):
         spans = sum(1 for k, g in enumerate(gone) if g and not (k and gone[k - 1]))
         want[i, len(data), sum(gone), spans, hashlib.sha256(bytes(c for c, g in zip(data, gone) if not g)).hexdigest()] += made.count((i, t))
     assert collections.Counter(map(tuple, repeats.remove_repeats(df).collect())) == want
+
+
+@pytest.mark.parametrize("block_bytes", [1 << 20, 20])
+def test_items_without_id_are_tiled(spark, block_bytes):
+    items = [prose(12, 81), prose(12, 82), "one two three four five"]
+    bench = spark.createDataFrame([(None, items[0]), (None, items[1]), (4, items[2]), (None, items[2])], "item_id long, text string")
+    df = spark.createDataFrame([(0, items[0]), (1, "a " + items[1]), (2, items[2]), (3, "six seven")], "doc_id long, text string")
+    got = {r.doc_id: (r.item_id, r.coverage, r.contaminated) for r in decontaminate.coverage(df, bench, block_bytes=block_bytes).collect()}
+    assert got == {0: (None, 1.0, True), 1: (None, 1.0, True), 2: (4, 1.0, True), 3: (None, 0.0, False)}
+    assert [r.doc_id for r in decontaminate.keep(df, bench, block_bytes=block_bytes).collect()] == [3]
