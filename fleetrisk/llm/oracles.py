@@ -27,3 +27,27 @@ found AS (
 ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM found)
 SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 10
 """
+
+OP11 = r"""
+WITH piece AS (
+  SELECT row_number() OVER () AS pid, lang, words FROM (
+    SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS words
+    FROM documents)),
+total AS (SELECT lang, sum(len(words))::HUGEINT AS n FROM piece GROUP BY lang),
+place AS (SELECT lang, words, unnest(range(1, len(words) + 1)) AS i FROM piece),
+size AS (SELECT unnest(range(1, 6)) AS m),
+f AS (SELECT lang, m, words[i : i + m - 1] AS phrase, count(*)::HUGEINT AS f FROM place, size WHERE i + m - 1 <= len(words) GROUP BY ALL HAVING count(*) >= 100),
+cut AS (
+  SELECT c.lang, c.phrase, c.f AS a, c.k, l.f AS l, r.f AS r, n, 1000 * c.f * n // (l.f * r.f) AS score
+  FROM (SELECT *, unnest(range(1, m)) AS k FROM f WHERE m > 1) c
+  JOIN f l ON l.lang = c.lang AND l.phrase = c.phrase[1 : c.k]
+  JOIN f r ON r.lang = c.lang AND r.phrase = c.phrase[c.k + 1 : c.m]
+  JOIN total ON total.lang = c.lang),
+weakest AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inner_part AS (
+  SELECT lang, phrase[s : s + w - 1] AS phrase, max(f) AS f
+  FROM (SELECT lang, phrase, f, m, w, unnest(range(1, m - w + 2)) AS s FROM (SELECT *, unnest(range(2, m)) AS w FROM f WHERE m > 2)) GROUP BY ALL),
+kept AS (SELECT w.* FROM weakest w LEFT JOIN inner_part i ON i.lang = w.lang AND i.phrase = w.phrase WHERE i.f IS NULL OR 100 * i.f < 100 * w.a),
+ranked AS (SELECT *, array_to_string(phrase, ' ') AS p, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(phrase, ' ')) AS rank FROM kept)
+SELECT lang, rank::BIGINT AS rank, p AS phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score FROM ranked WHERE rank <= 2000
+"""

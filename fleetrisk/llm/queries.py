@@ -6,7 +6,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, divergence, exact, fingerprint, hosts, mixing, oracles, quality, repeats, secrets, simhash, tokens
+from . import chat, decontaminate, divergence, exact, fingerprint, hosts, mixing, oracles, phrases, quality, repeats, secrets, simhash, tokens
 from .common import read
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -72,6 +72,10 @@ def op2_paragraph_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.compare_versions(read(spark, sf_dir, "documents"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(read(spark, sf_dir, "documents"))
+
+
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(read(spark, sf_dir, "documents"))
 
@@ -80,5 +84,5 @@ def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.deduplicate(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_array_dedup, op2_paragraph_sketch, op3_token_packing, op4_source_mixing, op5_chat_format, op6_quality_classifier, op7_decontamination, op8_simhash_golay, op9_host_reputation, op10_secret_scan, op12_source_divergence, op13_exact_dedup)}
-ORACLES: dict[str, str] = {"op12_source_divergence": oracles.OP12, "op13_exact_dedup": oracles.OP13}
+QUERIES = {f.__name__: f for f in (op1_suffix_array_dedup, op2_paragraph_sketch, op3_token_packing, op4_source_mixing, op5_chat_format, op6_quality_classifier, op7_decontamination, op8_simhash_golay, op9_host_reputation, op10_secret_scan, op11_collocations, op12_source_divergence, op13_exact_dedup)}
+ORACLES: dict[str, str] = {"op11_collocations": oracles.OP11, "op12_source_divergence": oracles.OP12, "op13_exact_dedup": oracles.OP13}
