@@ -8,9 +8,10 @@ reachable by one unpacking: id ``k`` lies ``(k - first) * bits`` bits into its b
 
 from __future__ import annotations
 
+import re
 import uuid
 import zlib
-from itertools import chain
+from itertools import chain, compress
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -23,8 +24,8 @@ from fleetrisk.session import ensure_checkpoint_dir
 from .common import texts, worker_cache
 
 BLOCK_IDS = 1 << 16
-TEXT_AT_ONCE = 2 << 20  # bytes of text whose words are looked up together
-CACHE_WORDS = 1 << 18  # words that a Python worker remembers between batches and tasks
+TEXT_AT_ONCE = 1 << 19  # characters of text whose words are looked up together, at most but for a longer word
+CACHE_WORDS = 3 << 17  # words that a Python worker remembers between batches and tasks
 MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 SCHEMA = "shard int, block int, first long, n_ids int, bits int, packed binary, doc_ids array<long>, doc_ends array<long>"
 
@@ -93,6 +94,30 @@ def word_starts(chars: np.ndarray, kind: np.ndarray, first: np.ndarray) -> np.nd
     return start
 
 
+#: Where a text can be cut without changing any word: before a blank between a character and an ASCII letter, and
+#: between a letter or number and a mark or line end. What follows the cut is a word's first character either way.
+CUT = re.compile(r"(?<=\S) (?=[A-Za-z])|(?<=[^\W_])(?=[.,;:!?\n\u3001\u3002])")
+
+
+def blocks(text: str, size: int):
+    """``text`` in parts of ``size`` characters, longer only where nothing but one word follows."""
+    low = 0
+    while len(text) - low > size:
+        cut, at, step = low, low + size, size
+        while cut == low and at < len(text):
+            back = max(low + 1, at - 4096)
+            last = None
+            for last in CUT.finditer(text, back, at):
+                pass
+            found = last or CUT.search(text, at)
+            cut, at = (found.start(), at) if found else (low, len(text))
+        if cut == low:
+            break
+        yield text[low:cut]
+        low = cut
+    yield text[low:] if low else text
+
+
 class Encoder:
     """Ids of many texts: words are cut for all texts at once, distinct ones are looked up, new ones are encoded and
     remembered, and numpy puts the ids together.
@@ -108,7 +133,11 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_str(tokenizer_json)
-        self.library.encode_special_tokens = True  # their strings in a text are ordinary text
+        added = self.library.get_added_tokens_decoder()
+        self.added = {t.content: i for i, t in added.items()}
+        self.plain_added = not any(t.lstrip or t.rstrip or t.single_word for t in added.values())
+        self.marks = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if added else None
+        self.line = self.library.encode("\n", add_special_tokens=False).ids
         self.kinds = kinds_of_characters()
         rng = np.random.default_rng(5)
         self.values = rng.integers(1, 1 << 63, len(self.kinds), np.uint64)
@@ -127,19 +156,37 @@ class Encoder:
             if len(known) + len(new) > CACHE_WORDS:
                 known.clear()
                 self.used, new = 0, words
-            made = [e.ids for e in self.library.encode_batch_fast(new, add_special_tokens=False)]
-            ids = np.fromiter(chain.from_iterable(made), np.uint32)
+            ids, sizes = self.encoded(new)
             if self.used + len(ids) > len(self.flat):
                 self.flat = np.concatenate([self.flat[: self.used], np.zeros(self.used + 2 * len(ids), np.uint32)])
             self.flat[self.used : self.used + len(ids)] = ids
-            at = self.used
-            for w, e in zip(new, made):
-                known[w] = at << 24 | len(e)
-                at += len(e)
-            self.used = at
+            at = self.used + np.cumsum(sizes) - sizes
+            known.update(zip(new, (at << 24 | sizes).tolist()))
+            self.used += len(ids)
         found = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
         return found >> 24, found & (1 << 24) - 1
 
+    def encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of ``words``, one after the other, and how many each has.
+
+        Words of letters are encoded as lines of one text: the pre-tokenizer cuts a line end from letters on both sides.
+        """
+        lines = [w.isalpha() or w[0] == " " and w[1:].isalpha() for w in words]
+        own = list(compress(words, lines))
+        ids = np.array(self.library.encode_batch_fast(["\n".join(own) + "\n"], add_special_tokens=False)[0].ids, np.uint32) if own else np.zeros(0, np.uint32)
+        ends = np.nonzero(ids == self.line[0])[0]
+        if len(self.line) != 1 or len(ends) != len(own):
+            lines, own, ids, ends = [False] * len(words), [], ids[:0], ends[:0]
+        rest = [e.ids for e in self.library.encode_batch_fast([w for w, line in zip(words, lines) if not line], add_special_tokens=False)]
+        lines, sizes = np.array(lines, bool), np.empty(len(words), np.int64)
+        sizes[lines] = np.diff(ends, prepend=-1) - 1
+        sizes[~lines] = [len(e) for e in rest]
+        out = np.empty(int(sizes.sum()), np.uint32)
+        of_line = np.repeat(lines, sizes)
+        out[of_line] = np.delete(ids, ends)
+        out[~of_line] = np.fromiter(chain.from_iterable(rest), np.uint32)
+        return out, sizes
+
     @staticmethod
     def _powers(factor: int, size: int) -> np.ndarray:
         out = np.full(size + 1, factor, np.uint64)
@@ -157,7 +204,42 @@ class Encoder:
             sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.values[chars] * self.powers[which][:n])])
             return (sums[np.append(at[1:], n)] - sums[at]) * self.inverse[which][at]
 
+    def parts(self, texts: list[str], at_once: int = TEXT_AT_ONCE):
+        """``(text number, is last part, ids)`` for each text in turn; no more than some ``at_once`` characters are
+        worked on together, so memory does not follow the length of a text."""
+        group, size = [], 0
+
+        def done():
+            yield from ((i, last, ids) for (i, last, _), ids in zip(group, self.batch([g[2] for g in group])))
+
+        for i, text in enumerate(texts):
+            spans = [text]
+            if self.marks and self.marks.search(text):
+                if not self.plain_added:
+                    yield from done()
+                    group, size = [], 0
+                    yield i, True, self.ids(text)
+                    continue
+                spans = self.marks.split(text)
+            for k, span in enumerate(spans):
+                final = k == len(spans) - 1
+                if k % 2:
+                    yield from done()
+                    group, size = [], 0
+                    yield i, final, np.array([self.added[span]], np.uint32)
+                    continue
+                for block in blocks(span, at_once) if len(span) > at_once else (span,):
+                    if size + len(block) > at_once and group:
+                        yield from done()
+                        group, size = [], 0
+                    group.append([i, False, block])
+                    size += len(block)
+                group[-1][1] = final
+        if group:
+            yield from done()
+
     def batch(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of texts without added tokens."""
         whole = "".join(texts)
         if not whole:
             return [np.zeros(0, np.uint32) for _ in texts]
@@ -193,7 +275,7 @@ def vocabulary_bits(tokenizer_json: str) -> int:
 def write(docs: DataFrame, tokenizer_json: str, path: str, end_id: int = 0, block_ids: int = BLOCK_IDS) -> None:
     """Encode every whole text (null: empty), append ``end_id``, and write shards in ascending doc_id order below ``path``.
 
-    One range shuffle on doc_id orders the texts (equal ids by text, ids that are null first); every partition is one
+    One range shuffle on doc_id orders the texts (ids that are null first; equal ids by the hash of the text, so that very many texts of one id are split as well); every partition is one
     shard. Ids are carried from block to block, so memory is bounded by a batch and a block, for documents of any
     length up to a row's. Repeated rows are written as often as they come; an empty table gives a table without rows.
     """
@@ -210,19 +292,6 @@ def write(docs: DataFrame, tokenizer_json: str, path: str, end_id: int = 0, bloc
         kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
         names = ["shard", "block", "first", "n_ids", "bits", "packed", "doc_ids", "doc_ends"]
 
-        def encoded():
-            group, size = [], 0
-            for batch in batches:
-                for i, t in zip(batch.column(0).to_pylist(), batch.column(1)):
-                    t = t.as_py()
-                    group.append((i, t))
-                    size += len(t)
-                    if size >= TEXT_AT_ONCE:
-                        yield from zip((g[0] for g in group), encoder.batch([g[1] for g in group]))
-                        group, size = [], 0
-            if group:
-                yield from zip((g[0] for g in group), encoder.batch([g[1] for g in group]))
-
         def rows(last: bool):
             nonlocal held, have, block, first, doc_ids, doc_ends
             ids = np.concatenate(held) if held else np.zeros(0, np.uint32)
@@ -235,17 +304,23 @@ def write(docs: DataFrame, tokenizer_json: str, path: str, end_id: int = 0, bloc
                 doc_ids, doc_ends, at, block, first = doc_ids[n:], doc_ends[n:], at + len(part), block + 1, first + len(part)
             held, have = [ids[at:]], have - at
 
-        for doc_id, ids in encoded():
-            held += [ids, np.array([end_id], np.uint32)]
-            have += len(ids) + 1
-            doc_ids.append(doc_id)
-            doc_ends.append(first + have)
-            if have >= block_ids:
-                yield from rows(False)
+        for batch in batches:
+            of = batch.column(0).to_pylist()
+            for i, final, ids in encoder.parts(t.as_py() for t in batch.column(1)):
+                held.append(ids)
+                have += len(ids)
+                if final:
+                    held.append(np.array([end_id], np.uint32))
+                    have += 1
+                    doc_ids.append(of[i])
+                    doc_ends.append(first + have)
+                if have >= block_ids:
+                    yield from rows(False)
         yield from rows(True)
 
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = texts(docs).repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
+    ordered = texts(docs).repartitionByRange(n, *order).sortWithinPartitions(*order, "text")
     ordered.mapInArrow(run, SCHEMA).write.mode("errorifexists").parquet(path)
 
 

@@ -120,12 +120,34 @@ def test_packing_is_exact_and_random_access(bits):
     assert (tokens.unpack(packed, bits, 999) == ids).all() and (tokens.unpack(packed, bits, 50, 333) == ids[333:383]).all()
 
 
-def test_words_are_cut_as_the_library_cuts(tokenizer):
-    rng, encoder = random.Random(1), tokens.Encoder(tokenizer)
-    pool = ["a", "b's", "'s", "'re", "'ll", "'", "''", " ", "  ", "\n", "\n\n", "\t", "é", "1", "½", "!", "#", " '", "'v", "'LL", "　", "\xa0", "日本", "😀", "\x1c", "<|endoftext|>", "\x85"]
-    texts = ["".join(rng.choice(pool) for _ in range(rng.randint(0, 12))) for _ in range(3000)]
-    want = [e.ids for e in encoder.library.encode_batch(texts, add_special_tokens=False)]
-    assert [x.tolist() for x in encoder.batch(texts)] == want
+def by_text(encoder, texts, at_once):
+    found, done = [[] for _ in texts], []
+    for i, last, ids in encoder.parts(texts, at_once):
+        found[i] += ids.tolist()
+        done += [i] if last else []
+    assert done == list(range(len(texts)))
+    return found
+
+
+@pytest.mark.parametrize("at_once", [3, 40, 1 << 19])
+def test_words_are_cut_as_the_library_cuts(tokenizer, at_once):
+    """Against the library as it is, with texts cut in blocks of a few characters as well."""
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_str(tokenizer)
+    rng, encoder = random.Random(at_once), tokens.Encoder(tokenizer)
+    added = [t.content for t in library.get_added_tokens_decoder().values()]
+    pool = ["a", "b's", "'s", "'re", "'ll", "'", "''", " ", "  ", "\n", "\n\n", "\t", "é", "1", "½", "!", "#", " '", "'v", "'LL", "　", "\xa0", "日本", "。", "😀", "\x1c", "\x85", ",", " the", "Ⅷ", "²", *added, "<|endof", "text|>"]
+    texts = ["".join(rng.choice(pool) for _ in range(rng.randint(0, 12))) for _ in range(1500)] + ["x <|endoftext|> y"] + ["".join(rng.choice(pool) for _ in range(900))]
+    want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert by_text(encoder, texts, at_once) == want
+
+
+def test_blocks_are_bounded():
+    text = "word, and more words.\n" * 2000
+    parts = list(tokens.blocks(text, 100))
+    assert "".join(parts) == text and max(map(len, parts)) <= 100 and len(parts) < 600
+    assert list(tokens.blocks("x" * 500, 100)) == ["x" * 500]
 
 
 def test_mixing(spark, docs, none):
