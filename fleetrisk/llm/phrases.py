@@ -22,7 +22,7 @@ MIN_COUNT = 100
 TOP = 2000
 CONTAINED_PERCENT = 100
 SCALE = 1000
-BYTES_AT_ONCE = 2 << 20  # bytes whose words are found together
+BYTES_AT_ONCE = (1 << 20) - 1  # bytes whose words are found together; tables of powers have one entry more
 ENTRIES = 2 << 20  # distinct fingerprints that a task holds before it passes them on
 BITS_EACH, LEAST_BITS, MOST_BITS = 16, 16, 28  # a filter has 16 bits for each entry, 32 MB at most
 
@@ -165,9 +165,10 @@ def build_filter(rows: DataFrame, column: str, count: int):
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """``doc, lang, text``: null text is empty, null language ``und``; ``doc`` names a document by its id and text."""
+    """``doc, lang, text``: null text is empty, null language ``und``; ``doc`` points to a document by 40 bits of a hash of
+    its id and text. Where documents share them, all are asked for the phrase."""
     text, lang = F.coalesce(F.col("text"), F.lit("")), F.coalesce(F.col("lang"), F.lit("und"))
-    return docs.select(F.xxhash64(F.col("doc_id").cast("long"), lang, text).alias("doc"), lang.alias("lang"), text.alias("text"))
+    return docs.select(F.xxhash64(F.col("doc_id").cast("long"), lang, text).bitwiseAND((1 << 40) - 1).alias("doc"), lang.alias("lang"), text.alias("text"))
 
 
 def count_phrases(docs: DataFrame, n: int, shorter=None) -> DataFrame:
