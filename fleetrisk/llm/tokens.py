@@ -25,7 +25,8 @@ from .common import texts, worker_cache
 
 BLOCK_IDS = 1 << 16
 TEXT_AT_ONCE = 1 << 19  # characters of text whose words are looked up together, at most but for a longer word
-CACHE_WORDS = 3 << 17  # words that a Python worker remembers between batches and tasks
+CACHE_WORDS = 3 << 19  # words that a Python worker remembers between batches and tasks, some 40 bytes each
+RECENT_WORDS = 1 << 16  # of them, those not yet merged with the others
 MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 SCHEMA = "shard int, block int, first long, n_ids int, bits int, packed binary, doc_ids array<long>, doc_ends array<long>"
 
@@ -142,29 +143,49 @@ class Encoder:
         rng = np.random.default_rng(5)
         self.values = rng.integers(1, 1 << 63, len(self.kinds), np.uint64)
         self.powers, self.inverse = [np.zeros(0, np.uint64)] * 2, [np.zeros(0, np.uint64)] * 2
-        self.known: dict[str, int] = {}
-        self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.forget()
 
     def ids(self, text: str) -> np.ndarray:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
 
-    def lookup(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Where the ids of each word begin in ``self.flat``, and how many there are."""
-        known = self.known
-        new = [w for w in words if w not in known]
-        if new:
-            if len(known) + len(new) > CACHE_WORDS:
-                known.clear()
-                self.used, new = 0, words
-            ids, sizes = self.encoded(new)
+    def forget(self) -> None:
+        nothing = (np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32))
+        self.known, self.recent = nothing, nothing
+        self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
+
+    def lookup(self, digest: np.ndarray, check: np.ndarray, word) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of each word begin in ``self.flat``, and how many there are.
+
+        Words are known by two digests of 64 bits; ``digest`` is sorted, and ``word(i)`` cuts out the i-th, which only
+        new words need. Known words lie in two sorted tables, of which the small one takes new words in.
+        """
+        if len(self.known[0]) + len(self.recent[0]) + len(digest) > CACHE_WORDS:
+            self.forget()
+        base, many, new = np.zeros(len(digest), np.int64), np.zeros(len(digest), np.int32), np.ones(len(digest), bool)
+        for keys, checks, bases, sizes in (self.known, self.recent):
+            if len(keys):
+                at = np.minimum(np.searchsorted(keys, digest), len(keys) - 1)
+                hit = (keys[at] == digest) & (checks[at] == check)
+                base[hit], many[hit] = bases[at[hit]], sizes[at[hit]]
+                new &= ~hit
+        rows = np.nonzero(new)[0]
+        if len(rows):
+            ids, sizes = self.encoded([word(i) for i in rows.tolist()])
             if self.used + len(ids) > len(self.flat):
-                self.flat = np.concatenate([self.flat[: self.used], np.zeros(self.used + 2 * len(ids), np.uint32)])
+                self.flat = np.concatenate([self.flat[: self.used], np.zeros(self.used // 4 + 2 * len(ids), np.uint32)])
             self.flat[self.used : self.used + len(ids)] = ids
-            at = self.used + np.cumsum(sizes) - sizes
-            known.update(zip(new, (at << 24 | sizes).tolist()))
+            base[rows], many[rows] = self.used + np.cumsum(sizes) - sizes, sizes
             self.used += len(ids)
-        found = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
-        return found >> 24, found & (1 << 24) - 1
+            self.recent = self.merged(self.recent, (digest[rows], check[rows], base[rows], many[rows]))
+            if len(self.recent[0]) > RECENT_WORDS:
+                self.known, self.recent = self.merged(self.known, self.recent), tuple(c[:0] for c in self.recent)
+        return base, many
+
+    @staticmethod
+    def merged(left: tuple, right: tuple) -> tuple:
+        both = [np.concatenate(c) for c in zip(left, right)]
+        order = np.argsort(both[0], kind="stable")
+        return tuple(c[order] for c in both)
 
     def encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of ``words``, one after the other, and how many each has.
@@ -258,7 +279,8 @@ class Encoder:
         if not np.array_equal(check[example][which], check):  # two words with one digest: practically never, and then still right
             return [self.ids(t) for t in texts]
         stop = np.append(at[1:], len(chars))
-        base, many = self.lookup([whole[a:b] for a, b in zip(at[example].tolist(), stop[example].tolist())])
+        begin, end = at[example], stop[example]
+        base, many = self.lookup(digest[example], check[example], lambda i: whole[begin[i] : end[i]])
         base, each = base[which], many[which]
         ends = np.cumsum(each)
         ids = self.flat[np.repeat(base - (ends - each), each) + np.arange(ends[-1])]
