@@ -15,6 +15,7 @@ from ..functions import text as S
 from ..functions import values as V
 from ..functions.lookups import any_of, rows_where
 from ..session import tolerate_repeated_keys
+from . import patterns
 
 FINDING = "struct<id:string,title:string,severity:string,category:string,location:string,description:string>"
 EMPTY = f"array<{FINDING}>"
@@ -62,30 +63,10 @@ def emit(files: DataFrame, findings: Column) -> DataFrame:
 
 
 # --- pickles ------------------------------------------------------------------------------------------
-def _operand(content: Column, name: str) -> Column:
-    raw = name.encode()
-    short = bytes([V.PICKLE_SHORT_STRING, len(raw)]) + raw
-    long = bytes([V.PICKLE_LONG_STRING]) + len(raw).to_bytes(4, "little") + raw
-    return _has(content, short) | _has(content, long)
-
-
-def with_imports(files: DataFrame, column: str = "content") -> DataFrame:
-    """Adds ``imports``: the dangerous callables a stream names, in either encoding.
-
-    The rare bytes are looked for first: a module that occurs nowhere rules out its callables.
-    """
-    content = F.col(column)
-    modules = sorted({name.split(".", 1)[0] for name in V.DANGEROUS_IMPORTS})
-    flags = {f"_m_{i}": _has(content, m.encode()) for i, m in enumerate(modules)}
-    flags["_combines"] = _has(content, bytes([V.PICKLE_STACK_GLOBAL]))
-    staged = files.withColumns(flags)
-    hits = []
-    for name in V.DANGEROUS_IMPORTS:
-        module, attribute = name.split(".", 1)
-        inline = _has(content, f"{module}\n{attribute}\n".encode())
-        stacked = F.col("_combines") & _operand(content, module) & _operand(content, attribute)
-        hits.append(F.when(F.col(f"_m_{modules.index(module)}") & (inline | stacked), F.lit(name)))
-    return staged.withColumn("imports", F.array_compact(F.array(*hits))).drop(*flags)
+def with_imports(files: DataFrame, column: str = "content", found: str = "_hits") -> DataFrame:
+    """Adds ``imports``: the dangerous callables a stream names, in either encoding. ``found``: its pattern numbers."""
+    combines = F.coalesce(_has(F.col(column), bytes([V.PICKLE_STACK_GLOBAL])), F.lit(False))
+    return files.withColumn("imports", patterns.imports_of(F.col(found), combines))
 
 
 def is_pickle_magic(content: Column) -> Column:
@@ -105,23 +86,27 @@ def dangerous_imports(location: Column) -> Column:
     )
 
 
-def pickle_fallback(content: Column, location: Column, declared: Column) -> Column:
-    """Low for a pickle with the usual opcodes, Medium for one without, when nothing dangerous was named."""
-    opcodes = F.array_compact(
-        F.array(*[F.when(_has(content, bytes([code])), F.lit(name)) for name, code in V.PICKLE_OPCODES.items()])
-    )
-    plain = (F.length(content) > 0) & (is_pickle_magic(content) | declared) & (F.size("imports") == 0)
+def pickle_fallback_of(content: Column, length: Column, opcodes: Column, location: Column, declared: Column) -> Column:
+    """Low for a pickle with some of the usual ``opcodes`` (numbers), Medium for one without, when nothing dangerous was
+    named. Of ``content`` only the first bytes count."""
+    names = F.array_compact(F.array(*[F.when(F.array_contains(opcodes, code), F.lit(name)) for name, code in V.PICKLE_OPCODES.items()]))
+    plain = (length > 0) & (is_pickle_magic(content) | declared) & (F.size("imports") == 0)
     usual = finding(
         "AR-PICKLE-003",
         "Pickle-based weights can run code on load",
         "Low",
         location,
-        F.concat(F.lit("opcodes: "), F.array_join(opcodes, ", ")),
+        F.concat(F.lit("opcodes: "), F.array_join(names, ", ")),
     )
     bare = finding(
         "AR-PICKLE-004", "Unsafe serialization format", "Medium", location, "pickle-based weights can run code on load"
     )
-    return F.when(plain, F.array(F.when(F.size(opcodes) > 0, usual).otherwise(bare))).otherwise(F.array().cast(EMPTY))
+    return F.when(plain, F.array(F.when(F.size(names) > 0, usual).otherwise(bare))).otherwise(F.array().cast(EMPTY))
+
+
+def pickle_fallback(content: Column, location: Column, declared: Column) -> Column:
+    opcodes = F.array_compact(F.array(*[F.when(_has(content, bytes([c])), F.lit(c)) for c in V.PICKLE_OPCODES.values()]))
+    return pickle_fallback_of(content, F.length(content), opcodes, location, declared)
 
 
 def _sniffed(path: Column, content: Column) -> Column:
@@ -140,7 +125,7 @@ def _is_pickle_file(path: Column, content: Column) -> Column:
 
 def _pickle_candidates(files: DataFrame) -> DataFrame:
     """Files the pickle rules apply to, with ``declared`` (named a pickle) and the imports they name."""
-    rows = files.filter(_is_pickle_file(F.col("path"), F.col("content")))
+    rows = files.filter(_is_pickle_file(F.col("path"), F.col("content"))).withColumn("_hits", patterns.hits(F.col("content")))
     return with_imports(rows.withColumn("declared", S.extension(F.col("path")).isin(V.DECLARED_PICKLE_EXTS)))
 
 
@@ -168,33 +153,40 @@ def line_of(text: Column, position: Column) -> Column:
     return F.length(before) - F.length(F.translate(before, "\n", "")) + 1
 
 
-def with_rule_positions(rows: DataFrame, text: str) -> DataFrame:
+def with_rule_positions(rows: DataFrame, text: str, found: str = "_hits") -> DataFrame:
     """Adds the position of the first match of each rule, 0 for none.
 
-    A plain substring test rules most texts out before a pattern is tried on them.
+    The texts that every match contains are among the patterns of ``found``, which rules most texts out.
     """
     positions = {}
     for i, (_, _, _, pattern, bounded, needles) in enumerate(V.PYTHON_RULES):
         expression = F.lit((V.WORD_START if bounded else "") + pattern)
-        positions[f"_at{i}"] = F.when(S.has_any(F.col(text), needles), F.regexp_instr(text, expression)).otherwise(0)
+        likely = F.col(text).isNotNull() & patterns.occurs(F.col(found), *(n.encode() for n in needles))
+        positions[f"_at{i}"] = F.when(likely, F.regexp_instr(text, expression)).otherwise(0)
     return rows.withColumns(positions)
 
 
-def python_findings(text: Column, path: Column) -> Column:
-    """First match of each rule, located by line, and custom native extensions."""
+def located_python_findings(lines: list[Column], path: Column, found: Column) -> Column:
+    """A finding for each rule that has a line, and custom native extensions by pattern number."""
     cases = []
-    for i, (rule, title, severity, *_) in enumerate(V.PYTHON_RULES):
-        position = F.col(f"_at{i}")
-        where = F.concat(path, F.lit(":"), line_of(text, position).cast("string"))
-        cases.append((position > 0, finding(rule, title, severity, where, title)))
+    for line, (rule, title, severity, *_) in zip(lines, V.PYTHON_RULES):
+        cases.append((line.isNotNull(), finding(rule, title, severity, F.concat(path, F.lit(":"), line.cast("string")), title)))
     native = finding("AR-PY-006", "Custom native extension", "High", path, "compiles native code when imported")
-    cases.append((S.has_any(text, V.NATIVE_EXTENSION_MARKERS), native))
+    cases.append((patterns.occurs(found, *(m.encode() for m in V.NATIVE_EXTENSION_MARKERS)), native))
     return rows_where(*cases)
 
 
+def python_findings(text: Column, path: Column, found: Column) -> Column:
+    """First match of each rule, located by line, and custom native extensions."""
+    places = [F.col(f"_at{i}") for i in range(len(V.PYTHON_RULES))]
+    lines = [F.when(at > 0, line_of(text, at)) for at in places]
+    return F.when(text.isNotNull(), located_python_findings(lines, path, found))
+
+
 def detect_python_rules(files: DataFrame) -> DataFrame:
-    rows = files.filter(S.extension(F.col("path")) == ".py").withColumn("_text", S.utf8_text(F.col("content")))
-    return emit(with_rule_positions(rows, "_text"), python_findings(F.col("_text"), F.col("path")))
+    source = F.col("content")
+    rows = files.filter(S.extension(F.col("path")) == ".py").withColumns({"_text": S.utf8_text(source), "_hits": patterns.hits(source)})
+    return emit(with_rule_positions(rows, "_text"), python_findings(F.col("_text"), F.col("path"), F.col("_hits")))
 
 
 # --- JSON configuration --------------------------------------------------------------------------------------
@@ -305,15 +297,20 @@ def detect_instantiation(files: DataFrame) -> DataFrame:
 
 
 # --- Keras, graphs, arrays, magic bytes ----------------------------------------------------------------------
-def keras_config_findings(content: Column, text: Column, location: Column) -> Column:
-    """Load-time execution paths in a serialized Keras configuration."""
+KERAS_MODULE = r'"module"\s*:\s*"([A-Za-z_][A-Za-z0-9_.]*)"'
+
+
+def keras_modules(text: Column) -> Column:
+    """Distinct modules that a configuration names."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(KERAS_MODULE), F.lit(1)))
+
+
+def keras_config_findings(found: Column, modules: Column, location: Column) -> Column:
+    """Load-time execution paths in a serialized Keras configuration, from its pattern numbers and modules."""
 
     def layer(name: str) -> Column:
-        return any_of(_has(content, f'"class_name"{gap}"{name}"'.encode()) for gap in (": ", ":", " : "))
+        return patterns.occurs(found, *patterns.layer_forms(name))
 
-    modules = F.array_distinct(
-        F.regexp_extract_all(text, F.lit(r'"module"\s*:\s*"([A-Za-z_][A-Za-z0-9_.]*)"'), F.lit(1))
-    )
     home = lambda m: any_of((m == h) | F.startswith(m, F.lit(h + ".")) for h in V.KERAS_HOME_MODULES)
     foreign = F.filter(F.coalesce(modules, F.array().cast("array<string>")), lambda m: ~home(m))
     layers = rows_where(
@@ -353,47 +350,46 @@ def with_keras_columns(files: DataFrame) -> DataFrame:
     return rows.withColumn("_anchored", anchored)
 
 
-def keras_findings(path: Column, content: Column) -> Column:
+def not_hdf5(path: Column) -> Column:
+    return finding("AR-KERAS-004", "File named as a Keras model is not HDF5", "Medium", path, "the header is not HDF5")
+
+
+def keras_findings(path: Column, hits: Column) -> Column:
     """Over the columns of ``with_keras_columns``."""
     renamed = F.col("_misnamed") & (F.col("_start") == 0)
-    note = finding(
-        "AR-KERAS-004", "File named as a Keras model is not HDF5", "Medium", path, "the header is not HDF5"
-    )
-    found = F.when(F.col("_anchored").isNotNull(), keras_config_findings(content, F.col("_anchored"), path))
-    return F.coalesce(found, rows_where((renamed, note)))
+    anchored = F.col("_anchored")
+    found = F.when(anchored.isNotNull(), keras_config_findings(hits, keras_modules(anchored), path))
+    return F.coalesce(found, rows_where((renamed, not_hdf5(path))))
 
 
 def detect_keras_config(files: DataFrame) -> DataFrame:
     """HDF5 files and the ``config.json`` member of Keras archives (path ``model.keras!config.json``)."""
-    rows = with_keras_columns(files).filter("_keras IS NOT NULL")
-    return emit(rows, keras_findings(F.col("path"), F.col("content")))
+    rows = with_keras_columns(files).filter("_keras IS NOT NULL").withColumn("_hits", patterns.hits(F.col("content")))
+    return emit(rows, keras_findings(F.col("path"), F.col("_hits")))
 
 
-def graph_findings(path: Column, content: Column) -> Column:
+def graph_findings(path: Column, found: Column) -> Column:
+    """Operation names by substring and climbing references, from the pattern numbers of a graph file."""
     ext = S.extension(path)
+    has = lambda *names: patterns.occurs(found, *(n if isinstance(n, bytes) else n.encode() for n in names))
     saved = [
-        (
-            (ext == ".pb") & _has(content, op.encode()),
-            finding("AR-TF-001", "Graph operation reaches outside the graph", severity, path, f"operation {op}"),
-        )
+        (has(op), finding("AR-TF-001", "Graph operation reaches outside the graph", severity, path, f"operation {op}"))
         for op, severity in V.SAVED_MODEL_OPS.items()
     ]
     onnx = [
-        (
-            (ext == ".onnx") & _has(content, op.encode()),
-            finding("AR-ONNX-001", "Suspicious graph operator", "High", path, f"operator {op}"),
-        )
-        for op in V.ONNX_OPS
+        (has(op), finding("AR-ONNX-001", "Suspicious graph operator", "High", path, f"operator {op}")) for op in V.ONNX_OPS
     ]
-    climbs = (ext == ".onnx") & (_has(content, b"external_data") | _has(content, b"location")) & _has(content, b"../")
+    climbs = has(*patterns.CLIMBING["location"]) & has(*patterns.CLIMBING["up"])
     escape = finding("AR-ONNX-002", "External data leaves the directory", "Critical", path, "a reference contains ../")
-    return rows_where(*saved, *onnx, (climbs, escape))
+    of = {".pb": rows_where(*saved), ".onnx": rows_where(*onnx, (climbs, escape))}
+    anything = F.size(found) > 0  # most files hold none of the patterns
+    return F.when(anything & (ext == ".pb"), of[".pb"]).when(anything & (ext == ".onnx"), of[".onnx"]).otherwise(F.array().cast(EMPTY))
 
 
 def detect_graph_ops(files: DataFrame) -> DataFrame:
     """Operation names a graph should not need, by substring; ONNX external data that climbs out."""
-    rows = files.filter(S.extension(F.col("path")).isin(".pb", ".onnx"))
-    return emit(rows, graph_findings(F.col("path"), F.col("content")))
+    rows = files.filter(S.extension(F.col("path")).isin(".pb", ".onnx")).withColumn("_hits", patterns.hits(F.col("content")))
+    return emit(rows, graph_findings(F.col("path"), F.col("_hits")))
 
 
 def magic_findings(path: Column, content: Column) -> Column:
@@ -669,15 +665,18 @@ def inspect_contents(files: DataFrame) -> DataFrame:
             "_doc": _config_document(_config_text()),
         }
     )
-    rows = with_array_header(with_keras_columns(with_rule_positions(with_imports(rows, "_pickle"), "_text")))
+    keras = with_keras_columns(rows)
+    searched = F.col("_pickle").isNotNull() | F.col("_text").isNotNull() | F.col("_keras").isNotNull() | S.extension(path).isin(".pb", ".onnx")
+    rows = keras.withColumn("_hits", patterns.hits(F.when(searched, content)))
+    rows = with_array_header(with_rule_positions(with_imports(rows, "_pickle"), "_text"))
     parts = [
         dangerous_imports(path),
         pickle_fallback(F.col("_pickle"), path, F.col("declared")),
         container_findings(path, content),
-        python_findings(F.col("_text"), path),
+        python_findings(F.col("_text"), path, F.col("_hits")),
         config_flag_findings(F.col("_doc"), path),
-        keras_findings(path, content),
-        graph_findings(path, content),
+        keras_findings(path, F.col("_hits")),
+        graph_findings(path, F.col("_hits")),
         magic_findings(path, content),
         array_findings(path, content),
     ]

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
 from ..functions import text as S
+from ..operators import chunked
 from ..operators import detect as D
+from ..sources import chunks
 from . import tables as T
 
 SHORT = ["artifact_id", "id", "severity", "location"]
@@ -121,7 +126,18 @@ def component_findings(spark, sf):
     return D.detect_component(refs.withColumns({"path": path, "role": F.lit("shard")}).distinct(), files, 4).select(SHORT)
 
 
+RANGED = ["detect_dangerous_import", "detect_pickle_fallback", "detect_python_rules", "detect_keras_config", "detect_graph_ops"]
+
+
+def inspect_ranges(spark, sf):
+    """Pickles, sources, Keras and graph files, cut into ranges so short that patterns lie across their edges."""
+    kinds = [_binary(spark, sf, PICKLES), _encoded(spark, sf, SOURCES, "text"), _binary(spark, sf, KERAS, "body"), _encoded(spark, sf, GRAPHS, "body")]
+    files = reduce(DataFrame.union, [k.select("artifact_id", "path", "content") for k in kinds])
+    return chunked.inspect_ranges(chunks.chunked(files, 600, 256)).select(SHORT)
+
+
 QUERIES = {
+    "inspect_ranges": inspect_ranges,
     "detect_dangerous_import": lambda s, d: D.detect_dangerous_import(_binary(s, d, PICKLES)).select(
         *SHORT, "description"
     ),
@@ -302,3 +318,4 @@ ORACLES = {
         l=LISTING,
     ),
 }
+ORACLES["inspect_ranges"] = " UNION ALL ".join(f"SELECT artifact_id, id, severity, location FROM ({ORACLES[name]})" for name in RANGED)

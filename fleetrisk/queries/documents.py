@@ -9,10 +9,11 @@ from ..functions.lookups import nullif_empty
 from ..operators import coverage as CV
 from ..operators import findings as O
 from ..operators import measure as M
-from ..session import cut_lineage
+from ..session import cut_lineage, shared_folder
 from ..sinks import cyclonedx as CX
 from ..sinks import sarif as SA
 from ..sinks import spdx as SP
+from ..sinks import streams as ST
 from ..sources import boms as B
 from ..sources import files as FI
 from ..sources import reports as R
@@ -139,24 +140,40 @@ def _inputs(s, d):
     return profiles, read(T.COMPONENT_FILES), read(T.LICENSE_ROWS), read(T.DATASET_ROWS), read(T.DOMAIN_ROWS), O.normalized(read(T.FINDINGS))
 
 
-def emit_cyclonedx(s, d, version="1.6"):
+def _cyclonedx(s, d):
     profiles, files, licenses, datasets, domains, findings = _inputs(s, d)
-    nodes = CX.cyclonedx_nodes(profiles, files, licenses, datasets, domains, findings, _hyper(s, d), _refs(s, d))
-    return CX.emit_cyclonedx(profiles, nodes, NOW, version).select("artifact_id", "document")
+    return profiles, CX.cyclonedx_nodes(profiles, files, licenses, datasets, domains, findings, _hyper(s, d), _refs(s, d))
 
 
-def emit_spdx(s, d):
+def _spdx(s, d):
     profiles, files, _, datasets, _, findings = _inputs(s, d)
-    nodes = SP.spdx_nodes(profiles, files, datasets, findings, _hyper(s, d), _refs(s, d))
-    return SP.emit_spdx(profiles, nodes, NOW).select("artifact_id", "document")
+    return profiles, SP.spdx_nodes(profiles, files, datasets, findings, _hyper(s, d), _refs(s, d))
 
 
-def emit_sarif(s, d):
+def _sarif(s, d):
     # a log needs no more of an artifact than its name and its primary file
     names = T.read(s, d, T.PROFILES).select("artifact_id", nullif_empty(F.col("name")).alias("name"))
     profiles = names.join(CV.file_facts(T.read(s, d, T.COMPONENT_FILES)), "artifact_id", "left")
-    findings = O.normalized(T.read(s, d, T.FINDINGS))
-    return SA.emit_sarif(profiles, SA.sarif_nodes(profiles, findings), NOW).select("artifact_id", "document")
+    return profiles, SA.sarif_nodes(profiles, O.normalized(T.read(s, d, T.FINDINGS)))
+
+
+def emit_cyclonedx(s, d, version="1.6"):
+    return CX.emit_cyclonedx(*_cyclonedx(s, d), NOW, version).select("artifact_id", "document")
+
+
+def emit_spdx(s, d):
+    return SP.emit_spdx(*_spdx(s, d), NOW).select("artifact_id", "document")
+
+
+def emit_sarif(s, d):
+    return SA.emit_sarif(*_sarif(s, d), NOW).select("artifact_id", "document")
+
+
+def _written(s, pieces):
+    """Documents written as chunk files in the shared folder, and read back from them."""
+    path = shared_folder(s, "documents")
+    ST.write(pieces, path)
+    return ST.read_documents(s, path)
 
 
 QUERIES = {
@@ -184,6 +201,9 @@ QUERIES = {
     "emit_cyclonedx": emit_cyclonedx,
     "emit_spdx": emit_spdx,
     "emit_sarif": emit_sarif,
+    "emit_cyclonedx_stream": lambda s, d: _written(s, CX.cyclonedx_pieces(*_cyclonedx(s, d), NOW)),
+    "emit_spdx_stream": lambda s, d: _written(s, SP.spdx_pieces(*_spdx(s, d), NOW)),
+    "emit_sarif_stream": lambda s, d: _written(s, SA.sarif_pieces(*_sarif(s, d), NOW)),
 }
 
 # --- the same in plain SQL ---------------------------------------------------------------------------------
@@ -433,4 +453,7 @@ ORACLES = {
     "emit_cyclonedx": CDX_SQL,
     "emit_spdx": SPDX_SQL,
     "emit_sarif": SARIF_SQL,
+    "emit_cyclonedx_stream": CDX_SQL,
+    "emit_spdx_stream": SPDX_SQL,
+    "emit_sarif_stream": SARIF_SQL,
 }

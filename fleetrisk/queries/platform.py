@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 from ..functions import controls as K
 from ..functions import paths as P
 from ..functions import text as S
+from ..operators import chunked
 from ..operators import compliance as C
 from ..operators import coverage as CV
 from ..operators import digest as DG
 from ..operators import fetch as FE
 from ..operators import provenance as PR
 from ..operators import verify as VF
+from ..sources import chunks
 from . import tables as T
 
 NOW = datetime(1998, 1, 1)
@@ -141,12 +143,20 @@ def uri_parts(s, d):
     ).select("page_id", "scheme", "mlflow", "r.repo", "r.revision", "r.error")
 
 
+def range_digests(s, d):
+    """Digests of documents that come in ranges of 1000 bytes."""
+    content = F.encode("text", "UTF-8").alias("content")
+    files = T.table(s, d, "documents").select(F.col("source").alias("artifact_id"), F.concat(F.lit("d"), F.col("doc_id")).alias("path"), content)
+    return chunked.digests(chunks.chunked(files, 1000, 0)).select("artifact_id", "path", "size", "sha256", "complete")
+
+
 QUERIES = {
     "file_digests": lambda s, d: DG.file_digests(
         T.table(s, d, "documents").select(
             F.col("source").alias("artifact_id"), F.concat(F.lit("d"), "doc_id").alias("path"), F.encode("text", "UTF-8").alias("content")
         )
     ).select("artifact_id", "path", "size", "sha256"),
+    "range_digests": range_digests,
     "file_digests_all": lambda s, d: DG.file_digests(
         T.table(s, d, "documents").select(
             F.col("source").alias("artifact_id"), F.concat(F.lit("d"), "doc_id").alias("path"), F.encode("text", "UTF-8").alias("content")
@@ -418,6 +428,7 @@ PLAN_SQL = """WITH RECURSIVE f AS ({files}), o AS (SELECT artifact_id, path, siz
 )
 
 ORACLES = {
+    "range_digests": "SELECT source AS artifact_id, 'd' || doc_id AS path, octet_length(encode(text)) AS size, sha256(text) AS sha256, true AS complete FROM documents",
     "file_digests": "SELECT source AS artifact_id, 'd' || doc_id AS path, octet_length(encode(text)) AS size, sha256(text) AS sha256 FROM documents",
     "tree_digest": T.with_ctes(
         "SELECT artifact_id, 'sha256:' || sha256(string_agg(sha256 || ' ' || path || chr(10), '' ORDER BY path)) AS tree_digest, sum(size)::BIGINT AS total_size FROM m GROUP BY 1",

@@ -10,6 +10,7 @@ from ..functions.lookups import nullif_empty
 from ..functions.paths import purl
 from ..operators.coverage import executable_property, file_executable_property, file_structured_property
 from . import parts as J
+from . import streams as ST
 
 VERSIONS = ["1.6", "1.7"]
 SECTIONS = [
@@ -239,6 +240,13 @@ HEAD_COLUMNS = {
 }
 
 
+def _heads(profiles: DataFrame, version: str) -> DataFrame:
+    if version not in VERSIONS:
+        raise ValueError(f"unsupported CycloneDX version {version!r}: use {', '.join(VERSIONS)}")
+    missing = {n: F.lit(None).cast(t) for n, t in HEAD_COLUMNS.items() if n not in profiles.columns}
+    return profiles.withColumns(missing) if missing else profiles
+
+
 def emit_cyclonedx(
     profiles: DataFrame,
     node_rows: DataFrame,
@@ -248,11 +256,14 @@ def emit_cyclonedx(
     limit: int | None = None,
 ) -> DataFrame:
     """``(artifact_id, document, large)``. ``node_rows`` comes from ``cyclonedx_nodes``."""
-    if version not in VERSIONS:
-        raise ValueError(f"unsupported CycloneDX version {version!r}: use {', '.join(VERSIONS)}")
-    missing = {n: F.lit(None).cast(t) for n, t in HEAD_COLUMNS.items() if n not in profiles.columns}
-    heads = profiles.withColumns(missing) if missing else profiles
+    heads = _heads(profiles, version)
     # section names double as head columns, so the gathered arrays get a suffix
     renamed = node_rows.withColumn("section", F.concat("section", F.lit("_nodes")))
     sections = [f"{s}_nodes" for s in SECTIONS]
     return J.assembled(heads, renamed, sections, _document(heads, version, generated_at, tool_version), limit)
+
+
+def cyclonedx_pieces(profiles: DataFrame, node_rows: DataFrame, generated_at: str, version: str = "1.6", tool_version: str = "1.0") -> DataFrame:
+    """The documents of ``emit_cyclonedx`` as pieces for ``streams.write``."""
+    heads = _heads(profiles, version)
+    return ST.pieces(heads, node_rows, [ST.Section(s) for s in SECTIONS], _document(heads, version, generated_at, tool_version), "_nodes")

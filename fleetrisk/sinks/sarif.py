@@ -9,6 +9,7 @@ from ..functions import text as S
 from ..functions.lookups import nullif_empty
 from ..operators.skew import first_row_per_key
 from . import parts as J
+from . import streams as ST
 
 SECTIONS = ["rules", "results"]
 SCHEMA = "https://raw.githubusercontent.com/oasis-tcs/sarif-spec/main/sarif-2.1/schema/sarif-schema-2.1.0.json"
@@ -79,3 +80,8 @@ def emit_sarif(
 ) -> DataFrame:
     """``(artifact_id, document, large)``. ``node_rows`` comes from ``sarif_nodes``."""
     return J.assembled(profiles, node_rows, SECTIONS, _document(generated_at, tool_version), limit)
+
+
+def sarif_pieces(profiles: DataFrame, node_rows: DataFrame, generated_at: str, tool_version: str = "1.0") -> DataFrame:
+    """The documents of ``emit_sarif`` as pieces for ``streams.write``."""
+    return ST.pieces(profiles, node_rows, [ST.Section(s) for s in SECTIONS], _document(generated_at, tool_version))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as S
 from ..functions.lookups import nullif_empty
 from . import parts as J
+from . import streams as ST
 
 SECTIONS = [
     "hyperparameters", "files", "datasets", "basemodels", "rel_files", "dataset_ids", "basemodel_ids", "limitations",
@@ -189,12 +190,22 @@ def _document(generated_at: str, tool_version: str) -> Column:
     return J.splice(J.members(context), J.member("@graph", J.joined(graph)))
 
 
+def _heads(profiles: DataFrame) -> DataFrame:
+    heads = profiles.withColumn("_ns", namespace())
+    return heads if "parameter_count" in heads.columns else heads.withColumn("parameter_count", F.lit(None).cast("string"))
+
+
 def emit_spdx(
     profiles: DataFrame, node_rows: DataFrame, generated_at: str, tool_version: str = "1.0", limit: int | None = None
 ) -> DataFrame:
     """``(artifact_id, document, large)``. ``node_rows`` comes from ``spdx_nodes``."""
-    heads = profiles.withColumn("_ns", namespace())
-    if "parameter_count" not in heads.columns:
-        heads = heads.withColumn("parameter_count", F.lit(None).cast("string"))
+    heads = _heads(profiles)
     renamed = node_rows.withColumn("section", F.concat("section", F.lit("_nodes")))
     return J.assembled(heads, renamed, [f"{s}_nodes" for s in SECTIONS], _document(generated_at, tool_version), limit)
+
+
+def spdx_pieces(profiles: DataFrame, node_rows: DataFrame, generated_at: str, tool_version: str = "1.0") -> DataFrame:
+    """The documents of ``emit_spdx`` as pieces for ``streams.write``."""
+    order = ["hyperparameters", "limitations", "files", "datasets", "basemodels", "rel_files", "dataset_ids", "basemodel_ids"]
+    sections = [ST.Section(s, in_string=s == "limitations") for s in order]
+    return ST.pieces(_heads(profiles), node_rows, sections, _document(generated_at, tool_version), "_nodes")
