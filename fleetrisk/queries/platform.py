@@ -181,7 +181,7 @@ QUERIES = {
     "coverage_bsi": _coverage("bsi"),
     "coverage_cisa2026": _coverage("cisa-2026"),
     "coverage_values": coverage_values,
-    "coverage_report": lambda s, d: CV.coverage_report(CV.coverage(_profiles(s, d))),
+    "coverage_report": lambda s, d: CV.coverage_counts(_profiles(s, d)),
     "bsi_properties": lambda s, d: CV.bsi_properties(_profiles(s, d), T.read(s, d, T.COMPONENT_FILES)),
     "catalog_controls": _artifact_frameworks,
     "catalog_coverage": catalog_by_artifact,
