@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_binary
+from .common import arrow_binary, tidy
 
 HEAD, LINE, TAIL = b"### ", b"\n", b"</turn>\n"
 SCHEMA = "conv_id long, part int, formatted string, loss_start array<long>, loss_end array<long>"
@@ -100,7 +100,7 @@ def render(turns: DataFrame, partitions: int | None = None) -> DataFrame:
                 ["conv_id", "part", "formatted", "loss_start", "loss_end"],
             )
 
-    return rows.repartition(n, "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text").mapInArrow(run, SCHEMA)
+    return rows.repartition(n, "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text").mapInArrow(tidy(run), SCHEMA)
 
 
 def unescape(text: str) -> str:
@@ -152,4 +152,4 @@ def read_back(parts: DataFrame) -> DataFrame:
 
     n = int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = parts.repartition(n, "conv_id").sortWithinPartitions("conv_id", "part")
-    return ordered.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return ordered.mapInArrow(tidy(run), "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

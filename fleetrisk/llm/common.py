@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from fleetrisk.session import cut_lineage as checkpointed
 
-__all__ = ["checkpointed", "read", "texts", "arrow_binary", "components", "joined", "worker_cache"]
+__all__ = ["checkpointed", "read", "texts", "arrow_binary", "components", "joined", "tidy", "worker_cache"]
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -102,6 +102,35 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select("b", "b")).distinct()
 
 
+def tidy(run):
+    """``run`` over Arrow batches, giving back to the system after each batch and at the end what it has freed.
+
+    Workers outlive their tasks, and an executor's limit holds for all of them together with its JVM.
+    """
+
+    def give_back():
+        import ctypes
+
+        import pyarrow as pa
+
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+    def tidied(batches):
+        def each():
+            for batch in batches:
+                yield batch
+                del batch
+                give_back()
+
+        yield from run(each())
+        give_back()
+
+    return tidied
+
+
 def worker_cache() -> dict:
     """A dictionary that lives as long as the Python worker, for what is costly to build and the same for all tasks."""
     import sys

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts
+from .common import texts, tidy
 
 SEED_TOKENS = 5  # a document and an item meet where they share a run of so many tokens
 LEAST_TILE = 4  # tokens of the shortest tile that counts
@@ -91,7 +91,7 @@ def keep(docs: DataFrame, benchmark: DataFrame, seed: int = SEED_TOKENS, least:
             for batch in batches:
                 yield batch.filter(pa.array([judge(t.as_py() or "", (None, 0.0, 0))[1] < threshold for t in batch.column(place)], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(tidy(run), docs.schema)
     return docs
 
 
@@ -122,7 +122,7 @@ def _pass(rows: DataFrame, items: list, seed: int, least: int, more: bool) -> Da
             yield pa.RecordBatch.from_arrays([batch.column(0), *([batch.column(1)] if more else []), *out], names)
 
     names = ["doc_id", *(["text"] if more else []), "item_id", "coverage", "n_tiles"]
-    return rows.mapInArrow(run, f"doc_id long, {'text string, ' if more else ''}item_id long, coverage double, n_tiles int")
+    return rows.mapInArrow(tidy(run), f"doc_id long, {'text string, ' if more else ''}item_id long, coverage double, n_tiles int")
 
 
 def tiler(items: list, seed: int, least: int):

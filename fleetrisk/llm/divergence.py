@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_binary
+from .common import arrow_binary, tidy
 from .tokens import shared_path
 
 MIN_DOCS = 10
@@ -76,7 +76,7 @@ def term_counts(docs: DataFrame) -> DataFrame:
         yield from rows()
 
     empty = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
-    found = docs.select(empty("lang"), empty("source"), empty("text")).mapInArrow(run, "lang string, source string, term string, n long, docs long")
+    found = docs.select(empty("lang"), empty("source"), empty("text")).mapInArrow(tidy(run), "lang string, source string, term string, n long, docs long")
     return found.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 

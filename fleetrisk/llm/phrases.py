@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_binary
+from .common import arrow_binary, tidy
 from .tokens import shared_path
 
 MAX_WORDS = 5
@@ -159,7 +159,7 @@ def build_filter(rows: DataFrame, column: str, count: int):
     at = rows.select(F.expr(f"`{column}` & {size - 1}").alias("at"))
     dealt = at.repartition(max(1, size // piece), F.expr(f"at div {piece}"))
     bits = np.zeros(size // 8, np.uint8)
-    for r in dealt.mapInArrow(run, "piece long, bits binary").collect():
+    for r in dealt.mapInArrow(tidy(run), "piece long, bits binary").collect():
         bits[r.piece * piece // 8 : (r.piece + 1) * piece // 8] |= np.frombuffer(r.bits, np.uint8)
     return rows.sparkSession.sparkContext.broadcast(bits.tobytes())
 
@@ -230,7 +230,7 @@ def count_phrases(docs: DataFrame, n: int, shorter=None) -> DataFrame:
             nothing = np.zeros(len(totals), np.int64)
             yield batch(0, np.array(list(totals), np.uint64).view(np.int64), nothing.astype(np.int32), np.array(list(totals.values()), np.int64), nothing)
 
-    found = docs.mapInArrow(run, "words int, fingerprint long, check int, n long, doc long")
+    found = docs.mapInArrow(tidy(run), "words int, fingerprint long, check int, n long, doc long")
     return found.groupBy("words", "fingerprint", "check").agg(F.sum("n").alias("n"), F.min("doc").alias("doc"))
 
 
@@ -268,7 +268,7 @@ def cut_out(docs: DataFrame, frequent: DataFrame) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array(in_filter(bits, batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64))))
 
-    own = docs.mapInArrow(near, "doc long, lang string, text string").withColumn("other", F.hash("text")).dropDuplicates(["doc", "other"])
+    own = docs.mapInArrow(tidy(near), "doc long, lang string, text string").withColumn("other", F.hash("text")).dropDuplicates(["doc", "other"])
 
     def run(batches):
         import pyarrow as pa
@@ -312,7 +312,7 @@ def cut_out(docs: DataFrame, frequent: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([m[j] for m in made], kind) for j, kind in enumerate(kinds.values())], list(kinds))
 
     schema = "lang string, lang_key long, phrase string, words int, fingerprint long, check int, n long, parts array<struct<k: int, l_f: long, l_c: int, r_f: long, r_c: int>>"
-    return own.join(asked, "doc").select("doc", "lang", "text", "asked").mapInArrow(run, schema).dropDuplicates(["fingerprint", "check"])
+    return own.join(asked, "doc").select("doc", "lang", "text", "asked").mapInArrow(tidy(run), schema).dropDuplicates(["fingerprint", "check"])
 
 
 def quotient() -> Column:

@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_binary, texts
+from .common import arrow_binary, texts, tidy
 
 PASSAGE_BYTES = 512
 TRIGRAM_BINS = 64
@@ -145,7 +145,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([b.tobytes() for b in bags])], ["doc_id", "quality", "bag"])
 
     chosen = texts(docs).join(F.broadcast(known), "doc_id").select("doc_id", "text", "quality")
-    rows = chosen.mapInArrow(run, "doc_id long, quality int, bag binary").collect()
+    rows = chosen.mapInArrow(tidy(run), "doc_id long, quality int, bag binary").collect()
     rows = sorted(((r.doc_id, r.quality, bytes(r.bag)) for r in rows))[:sample_rows]
     model = AttentionModel(FEATURES)
     if not rows:
@@ -180,7 +180,7 @@ def score(docs: DataFrame, model: AttentionModel, threshold: float = 0.7) -> Dat
             y, n, top = score_batch(batch.column(1), model)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(y), pa.array((y >= threshold).astype(np.int32)), pa.array(n), pa.array(top)], ["doc_id", "score", "predicted", "n_passages", "top_weight"])
 
-    return texts(docs).mapInArrow(run, "doc_id long, score double, predicted int, n_passages long, top_weight double")
+    return texts(docs).mapInArrow(tidy(run), "doc_id long, score double, predicted int, n_passages long, top_weight double")
 
 
 def keep(docs: DataFrame, model: AttentionModel, threshold: float = 0.7) -> DataFrame:
@@ -194,4 +194,4 @@ def keep(docs: DataFrame, model: AttentionModel, threshold: float = 0.7) -> Data
             y = score_batch(batch.column(place), model)[0]
             yield batch.filter(pa.array(y >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

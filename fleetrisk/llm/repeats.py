@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_binary, checkpointed
+from .common import arrow_binary, checkpointed, tidy
 
 LENGTH = 100
 GRAM = 28
@@ -99,7 +99,7 @@ def anchor_rows(docs: DataFrame) -> DataFrame:
                 row, place, gram = anchors_of(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(ids[a:b][row]), pa.array(place.astype(np.int32))], ["gram", "doc_id", "place"])
 
-    return docs.mapInArrow(run, "gram long, doc_id long, place int")
+    return docs.mapInArrow(tidy(run), "gram long, doc_id long, place int")
 
 
 def snippets_of(text: bytes, places: np.ndarray, counts: np.ndarray, grams: list | None = None) -> list[tuple[int, int, bytes]]:
@@ -257,7 +257,7 @@ def spans_by_anchor(snippets: DataFrame) -> DataFrame:
 
     n = int(snippets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = snippets.repartition(n, "key").sortWithinPartitions("key", "doc_id", "start")
-    return ordered.mapInArrow(run, "doc_id long, low int, high int")
+    return ordered.mapInArrow(tidy(run), "doc_id long, low int, high int")
 
 
 def novel(held: list, found: list) -> list:
@@ -343,7 +343,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         yield out([(key, *own, own[1] + len(part), part) for (key, part), own in first.items()])
         yield spans(later)
 
-    spans = spans_by_anchor(searched.mapInArrow(cut, "key long, doc_id long, start int, stop int, bytes binary"))
+    spans = spans_by_anchor(searched.mapInArrow(tidy(cut), "key long, doc_id long, start int, stop int, bytes binary"))
     spans = spans.groupBy(F.col("doc_id").alias("number")).agg(F.collect_list(F.struct("low", "high")).alias("spans"))
     first = kept_ids.join(spans, "number", "left").drop("number").withColumn("first", F.lit(True))
     marks = ids.join(first, ["doc_id", "h1", "h2"], "left").select("doc_id", "h1", "h2", F.coalesce("first", F.lit(False)).alias("first"), "spans")
@@ -366,4 +366,4 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([o[i] for o in out], k) for i, k in enumerate(kinds))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return whole.mapInArrow(clean, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return whole.mapInArrow(tidy(clean), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

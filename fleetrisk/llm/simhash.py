@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, components, joined, texts
+from .common import checkpointed, components, joined, texts, tidy
 
 GENERATOR = 0b110001110101  # of the (23, 12) Golay code
 SEGMENTS = ((0, 22), (22, 21), (43, 21))  # first bit and width
@@ -92,7 +92,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42) -> DataFrame
             values = [fingerprint(t.as_py(), shingle, seed) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(values, np.uint64).view(np.int64))], ["doc_id", "bits"])
 
-    return texts(docs).mapInArrow(run, "doc_id long, bits long")
+    return texts(docs).mapInArrow(tidy(run), "doc_id long, bits long")
 
 
 def golay_tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -247,15 +247,15 @@ def links(distinct: DataFrame, distance: int = 4, ready: str | None = None) -> D
             rows, low = forest(pair, bits, distance)
             yield pa.RecordBatch.from_arrays([pa.array(node[rows]), pa.array(node[low])], ["a", "b"])
 
-    spread_out = distinct.select("node", *names, *([ready] if ready else [])).mapInArrow(spread, f"key long, {bits_type}, node long")
+    spread_out = distinct.select("node", *names, *([ready] if ready else [])).mapInArrow(tidy(spread), f"key long, {bits_type}, node long")
     n = distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    met = checkpointed(spread_out.repartition(int(n), "key").sortWithinPartitions("key", "node").mapInArrow(compare, f"a long, b long, key long, {bits_type}, chunk long"))
+    met = checkpointed(spread_out.repartition(int(n), "key").sortWithinPartitions("key", "node").mapInArrow(tidy(compare), f"a long, b long, key long, {bits_type}, chunk long"))
     chunks = met.where("b is null")
     last = chunks.groupBy("key").agg(F.max("chunk").alias("last"))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))).alias("other")
     pairs = chunks.withColumnRenamed("a", "node").join(last, "key").select("key", "chunk", *names, "node", other)
     pairs = pairs.where("chunk <> other").select(F.xxhash64("key", F.least("chunk", "other"), F.greatest("chunk", "other")).alias("pair"), *names, "node")
-    crossed = pairs.repartition(int(n), "pair").sortWithinPartitions("pair", "node").mapInArrow(cross, "a long, b long")
+    crossed = pairs.repartition(int(n), "pair").sortWithinPartitions("pair", "node").mapInArrow(tidy(cross), "a long, b long")
     return met.where("b is not null").select("a", "b").union(crossed)
 
 
@@ -331,11 +331,11 @@ def verified(texts_of: DataFrame, candidates: DataFrame, shingle: int, similarit
     chunks = F.ceil(F.count("*") / SET_ROWS).cast("long").alias("chunks")
     sized = candidates.join(candidates.groupBy("component").agg(chunks), "component")
     members = texts_of.join(sized, texts_of["doc_id"] == sized["node"]).select("node", "component", "text", "chunks")
-    rows = members.mapInArrow(sets, "node long, component long, chunks long, shingles binary")
+    rows = members.mapInArrow(tidy(sets), "node long, component long, chunks long, shingles binary")
     chunk, other = F.pmod(F.xxhash64("node"), F.col("chunks")), F.col("other")
     rows = rows.withColumn("chunk", chunk).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
     rows = rows.where("chunk <> other or chunks = 1").select(F.xxhash64("component", F.least("chunk", other), F.greatest("chunk", other)).alias("pair"), "node", "shingles")
-    return rows.repartition(n, "pair").sortWithinPartitions("pair", "node").mapInArrow(compare, "a long, b long")
+    return rows.repartition(n, "pair").sortWithinPartitions("pair", "node").mapInArrow(tidy(compare), "a long, b long")
 
 
 def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
@@ -367,7 +367,7 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -
 
     names = [f"s{i}" for i in range(HASHES // 64)]
     own = texts(docs)
-    sketches = own.mapInArrow(mark, f"doc_id long, d1 long, d2 long, {', '.join(f'{c} long' for c in names)}, bands binary")
+    sketches = own.mapInArrow(tidy(mark), f"doc_id long, d1 long, d2 long, {', '.join(f'{c} long' for c in names)}, bands binary")
     marked = checkpointed(sketches)
     distinct = checkpointed(marked.groupBy("d1", "d2").agg(F.min("doc_id").alias("node"), *[F.first(c).alias(c) for c in (*names, "bands")]))
     candidates = checkpointed(components(links(distinct.where("node is not null").drop("d1", "d2"), SKETCH_BITS, "bands")))

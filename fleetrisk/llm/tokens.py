@@ -21,7 +21,7 @@ from pyspark.sql import Window
 
 from fleetrisk.session import ensure_checkpoint_dir
 
-from .common import texts, worker_cache
+from .common import texts, tidy, worker_cache
 
 BLOCK_IDS = 1 << 16
 TEXT_AT_ONCE = 1 << 19  # characters of text whose words are looked up together, at most but for a longer word
@@ -343,7 +343,7 @@ def write(docs: DataFrame, tokenizer_json: str, path: str, end_id: int = 0, bloc
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
     ordered = texts(docs).repartitionByRange(n, *order).sortWithinPartitions(*order, "text")
-    ordered.mapInArrow(run, SCHEMA).write.mode("errorifexists").parquet(path)
+    ordered.mapInArrow(tidy(run), SCHEMA).write.mode("errorifexists").parquet(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -376,7 +376,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)], ["doc_id", "in_shard", "n_tokens", "ids_crc32", "shard"])
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = blocks.repartition(n, "shard").sortWithinPartitions("shard", "block").mapInArrow(run, "doc_id long, in_shard long, n_tokens long, ids_crc32 long, shard int")
+    found = blocks.repartition(n, "shard").sortWithinPartitions("shard", "block").mapInArrow(tidy(run), "doc_id long, in_shard long, n_tokens long, ids_crc32 long, shard int")
     return found.join(starts, "shard").select("doc_id", (F.col("shard_start") + F.col("in_shard")).alias("start"), "n_tokens", "ids_crc32", "shard")
 
 
