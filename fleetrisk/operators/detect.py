@@ -15,6 +15,7 @@ from ..functions import text as S
 from ..functions import values as V
 from ..functions.lookups import any_of, rows_where
 from ..session import tolerate_repeated_keys
+from ..sources.json_events import puller
 from . import patterns
 
 FINDING = "struct<id:string,title:string,severity:string,category:string,location:string,description:string>"
@@ -225,8 +226,37 @@ def _named_callables(keys: list[str]):
     """Small helper over one Arrow batch: keys of each JSON text that name a callable, at any depth.
 
     Measured against unrolled levels of VARIANT explodes this is an order of magnitude faster, and it has no
-    level at which it must stop. It is a closure, so executors need not have this package.
+    level at which it must stop: what nests too deep for the library's parser goes through the pull parser. It is a
+    closure, so executors need not have this package.
     """
+    make = puller()
+
+    def deep(text):
+        events, _ = make
+        found, names, open_ = [], [], []  # open_: kind of each open container, and its current key or position
+        for kind, value in events([text]):
+            if kind == "key":
+                open_[-1][1] = value
+                continue
+            if kind in "{[":
+                if not open_ and kind == "[":
+                    return []
+                if open_:
+                    names.append(str(open_[-1][1]))
+                open_.append([kind, 0])
+                continue
+            if kind in "}]":
+                open_.pop()
+                if not open_:
+                    return found
+                names.pop()
+            elif not open_:
+                return []
+            elif open_[-1][0] == "{" and open_[-1][1] in keys and isinstance(value, str) and value:
+                found.append({"where": ".".join(names), "key": open_[-1][1], "target": value})
+            if open_[-1][0] == "[":
+                open_[-1][1] += 1
+        return found
 
     def hits(text):
         import json
@@ -234,7 +264,10 @@ def _named_callables(keys: list[str]):
         try:
             document = json.loads(text)
         except RecursionError:
-            return [{"where": "", "key": None, "target": None}]
+            try:
+                return deep(text)
+            except ValueError:
+                return []
         except ValueError:
             return []
         found, stack = [], [("", document)] if isinstance(document, dict) else []
@@ -291,9 +324,7 @@ def detect_instantiation(files: DataFrame) -> DataFrame:
         where,
         F.concat("key", F.lit(" names "), "target"),
     )
-    unread = finding("AR-IO-002", "Configuration not examined", "Low", F.col("path"), "nested too deep")
-    note = F.when(F.col("key").isNull(), unread).otherwise(named)
-    return hits.select("artifact_id", note.alias("f")).select("artifact_id", "f.*")
+    return hits.select("artifact_id", named.alias("f")).select("artifact_id", "f.*")
 
 
 # --- Keras, graphs, arrays, magic bytes ----------------------------------------------------------------------

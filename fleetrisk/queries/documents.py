@@ -15,6 +15,7 @@ from ..sinks import sarif as SA
 from ..sinks import spdx as SP
 from ..sinks import streams as ST
 from ..sources import boms as B
+from ..sources import chunks as CH
 from ..sources import files as FI
 from ..sources import reports as R
 from ..sources import sidecars as SC
@@ -99,6 +100,18 @@ def read_spdx(s, d):
     return _with_files(*B.bom_read_spdx(docs))
 
 
+def _document_ranges(s, d):
+    """The documents in ranges of 200 bytes."""
+    body = F.encode("body", "UTF-8").alias("content")
+    rows = CH.chunked(T.read(s, d, DOCUMENTS).select("artifact_id", F.col("doc_id").alias("path"), body), 200, 0)
+    return rows.withColumnRenamed("path", "doc_id")
+
+
+def read_bom_ranges(s, d):
+    _, claims, files = B.read_ranges(_document_ranges(s, d))
+    return _with_files(claims, files)
+
+
 def _header_files(s, d):
     rows = T.read(s, d, HEADERS)
     size = F.length(F.encode("header", "UTF-8"))
@@ -188,6 +201,8 @@ QUERIES = {
     "bom_detect": lambda s, d: B.bom_detect(T.read(s, d, DOCUMENTS)).select("doc_id", "kind", "error"),
     "bom_read_cyclonedx": read_cyclonedx,
     "bom_read_spdx": read_spdx,
+    "bom_detect_ranges": lambda s, d: B.read_ranges(_document_ranges(s, d))[0].select("doc_id", "kind", "error"),
+    "bom_read_ranges": read_bom_ranges,
     "sidecar_config": lambda s, d: SC.sidecar_config(T.read(s, d, CONFIG_BODY)),
     "sidecar_index": lambda s, d: SC.sidecar_index(T.read(s, d, INDEX_BODY)),
     "sidecar_card": cards,
@@ -457,3 +472,7 @@ ORACLES = {
     "emit_spdx_stream": SPDX_SQL,
     "emit_sarif_stream": SARIF_SQL,
 }
+ORACLES["bom_detect_ranges"] = ORACLES["bom_detect"]
+ORACLES["bom_read_ranges"] = f"SELECT {{shown}} FROM ({ORACLES['bom_read_cyclonedx']}) UNION ALL SELECT {{shown}} FROM ({ORACLES['bom_read_spdx']})".format(
+    shown="doc_id, format, model_name, version, architecture, quantization, parameters, path, sha256, sha384, size"
+)
