@@ -529,7 +529,54 @@ def detect_truncated(listing: DataFrame, max_files: int) -> DataFrame:
     return emit(large, F.array(finding("AR-COVERAGE-001", "Artifact only partly examined", "High", "", detail)))
 
 
-WIDE = "decimal(20,0)"
+WIDE = "decimal(38,0)"
+SLICE_MEMBERS = 1024  # members of an archive whose sizes are summed in one row
+
+
+def _walked_sizes(entries: DataFrame, keys: list[str], max_entries: int, max_bytes: int) -> DataFrame:
+    """Per archive: compressed and expanded bytes of the members before the walk stops, and whether it stopped for size.
+
+    Two levels of sums: members meet in slices of ``SLICE_MEMBERS``, each with its total and its highest running total;
+    only slices are put in order over an archive. The slice in which the walk stops is the first whose highest total,
+    on top of what came before, passes the limit, and its own list tells the member. Sizes can be near the ends of int64
+    and below zero, so they are summed as decimals and the running total need not rise.
+    """
+    wide = lambda c: F.coalesce(F.col(c).cast(WIDE), F.lit(0).cast(WIDE))
+    slices = (
+        entries.filter((F.col("ord") <= max_entries) & F.col("_counted"))
+        .groupBy(*keys, F.floor((F.col("ord") - 1) / SLICE_MEMBERS).alias("slice"))
+        .agg(F.sort_array(F.collect_list(F.struct("ord", wide("size").alias("out"), wide("compressed").alias("in")))).alias("members"))
+    )
+    state = f"struct<total:{WIDE},peak:{WIDE},packed:{WIDE},stopped:boolean>"
+    nothing = F.lit(0).cast(WIDE)
+
+    def fold(start: Column, stop: bool) -> Column:
+        """Totals over the members of a slice; with ``stop``, up to the member that passes the limit."""
+        first = F.struct(start.cast(WIDE).alias("total"), F.lit(None).cast(WIDE).alias("peak"), nothing.alias("packed"), F.lit(False).alias("stopped"))
+
+        def step(acc: Column, m: Column) -> Column:
+            total = (acc["total"] + m["out"]).cast(WIDE)
+            after = F.struct(
+                total.alias("total"), F.greatest(acc["peak"], total).alias("peak"), (acc["packed"] + m["in"]).cast(WIDE).alias("packed"),
+                (total > max_bytes if stop else F.lit(False)).alias("stopped"),
+            )
+            return F.when(acc["stopped"], acc).otherwise(after).cast(state)
+
+        return F.aggregate("members", first.cast(state), step)
+
+    order = Window.partitionBy(*keys).orderBy("slice")
+    summed = slices.withColumn("s", fold(nothing, False))
+    before = F.coalesce(F.sum("s.total").over(order.rowsBetween(Window.unboundedPreceding, -1)), nothing).cast(WIDE)
+    placed = summed.withColumn("before", before).withColumn("over", F.col("before") + F.col("s.peak") > max_bytes)
+    earlier = F.coalesce(F.max("over").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))
+    reached = placed.withColumn("earlier", earlier).filter(~F.col("earlier"))
+    last = fold(F.col("before"), True)
+    part = reached.withColumn("e", F.when(F.col("over"), last))
+    return part.groupBy(*keys).agg(
+        F.bool_or("over").alias("_stopped"),
+        F.sum(F.coalesce(F.col("e.packed"), F.col("s.packed"))).cast("double").alias("_in"),
+        F.sum(F.when(F.col("over"), F.col("e.total") - F.col("before")).otherwise(F.col("s.total"))).cast("double").alias("_out"),
+    )
 
 
 def detect_archive(
@@ -540,55 +587,39 @@ def detect_archive(
 ) -> DataFrame:
     """Archive members: traversal, links, entry and size limits, and expansion ratio.
 
-    ``ord`` is the 1-based position in the archive. The walk stops at the first limit it meets, so only
-    the first ``max_entries`` members are ever ranked: a limit of the rule that bounds each window.
+    ``ord`` is the 1-based position in the archive. Names and links of all members are judged, also of those that a walk
+    with these limits would not reach; the limits decide what is summed, and each has its own finding.
     """
     keys = ["artifact_id", "archive"]
-    in_archive = Window.partitionBy(*keys).orderBy("ord").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    over = entries.groupBy(*keys).agg((F.max("ord") > max_entries).alias("_over"))
-    escapes = P.archive_traversal(F.col("name"))
-    walked = entries.filter(F.col("ord") <= max_entries).withColumns(
-        {"_escapes": escapes, "_counted": ~escapes & ~F.coalesce("is_link", F.lit(False))}
-    )
-    # declared sizes can be near the ends of int64, so they are summed as decimals
-    total = F.sum(F.when(F.col("_counted"), F.col("size").cast(WIDE)).otherwise(0)).over(in_archive)
-    walked = walked.withColumn("_total", total)
-    stopped = F.min(F.when(F.col("_counted") & (F.col("_total") > max_bytes), F.col("ord"))).over(
-        Window.partitionBy(*keys)
-    )
-    # members after the one that broke the size limit are not reached
-    seen = walked.withColumn("_stop", stopped).filter(F.col("_stop").isNull() | (F.col("ord") <= F.col("_stop")))
+    link = F.coalesce("is_link", F.lit(False))
+    rows = entries.withColumn("_escapes", P.archive_traversal(F.col("name"))).withColumn("_counted", ~F.col("_escapes") & ~link)
     inside = F.concat("archive", F.lit("!"), "name")
     members = emit(
-        seen,
+        rows,
         rows_where(
             (
                 F.col("_escapes"),
                 finding("AR-ARCHIVE-003", "Archive member leaves the directory", "Critical", inside, F.col("name")),
             ),
             (
-                ~F.col("_escapes") & F.coalesce("is_link", F.lit(False)),
+                ~F.col("_escapes") & link,
                 finding("AR-ARCHIVE-004", "Link inside an archive", "High", inside, F.col("name")),
             ),
         ),
     )
-    sums = seen.groupBy(*keys).agg(
-        F.max("_stop").isNotNull().alias("_stopped"),
-        F.max(F.col("kind") == "zip").alias("_zip"),
-        F.sum(F.when(F.col("_counted"), F.col("compressed").cast(WIDE))).cast("double").alias("_in"),
-        F.sum(F.when(F.col("_counted"), F.col("size").cast(WIDE))).cast("double").alias("_out"),
-    )
+    about = entries.groupBy(*keys).agg((F.max("ord") > max_entries).alias("_over"), F.max(F.col("kind") == "zip").alias("_zip"))
+    stopped = F.coalesce("_stopped", F.lit(False))
     ratio = F.when((F.col("_in") > 0) & F.col("_zip"), F.col("_out") / F.col("_in"))
     archive = F.col("archive")
     whole = emit(
-        over.join(sums, keys),
+        about.join(_walked_sizes(rows, keys, max_entries, max_bytes), keys, "left"),
         rows_where(
             (
-                F.col("_over") & ~F.col("_stopped"),
+                F.col("_over") & ~stopped,
                 finding("AR-ARCHIVE-002", "Archive has too many members", "High", archive, f"more than {max_entries}"),
             ),
             (
-                F.col("_stopped"),
+                stopped,
                 finding("AR-ARCHIVE-005", "Archive expands too far", "High", archive, f"more than {max_bytes} bytes"),
             ),
             (

@@ -9,50 +9,59 @@ from ..functions import text as S
 from ..functions import values as V
 from .skew import first_n_per_key
 
-STATE = "struct<total:bigint,plan:array<struct<path:string,size:bigint,action:string,reason:string>>>"
+PLAN = "artifact_id string, path string, size bigint, action string, reason string"
 
 
 def fetch_plan(files: DataFrame, limits: dict | None = None) -> DataFrame:
     """Action and reason for each file, in path order within a repository.
 
-    The file limit comes first and bounds what is collected: whether a file fits depends on every file
-    accepted before it, which only a running fold over the ordered list can tell. Files beyond the limit
-    are reported from the table itself and never collected.
+    Whether a file fits depends on every file accepted before it, which is a running fold over the ordered list: the
+    files of a repository pass one task as a stream that keeps one number, whatever their count. The file limit is the
+    caller's; files beyond it are told apart before, in slices, and reported from the table itself.
     """
     lim = {**V.FETCH_LIMITS, **(limits or {})}
     entries = files.select("artifact_id", "path", F.col("size").cast("bigint").alias("size"))
-    considered = first_n_per_key(entries, ["artifact_id"], [F.col("path")], lim["max_files"])
-    beyond = entries.join(considered.select("artifact_id", "path"), ["artifact_id", "path"], "left_anti").select(
-        "artifact_id", "path", "size", F.lit("skipped").alias("action"), F.lit("file limit reached").alias("reason")
-    )
+    if lim["max_files"] is None:
+        considered = entries.repartition("artifact_id")
+    else:
+        # its last step leaves each repository whole, in one partition
+        considered = first_n_per_key(entries, ["artifact_id"], [F.col("path")], lim["max_files"])
+        beyond = entries.join(considered.select("artifact_id", "path"), ["artifact_id", "path"], "left_anti").select(
+            "artifact_id", "path", "size", F.lit("skipped").alias("action"), F.lit("file limit reached").alias("reason")
+        )
+    most_total, most_file, header_bytes = lim["max_total_bytes"], lim["max_file_bytes"], lim["header_bytes"]
     header = S.extension(F.col("path")).isin(V.HEADER_INSPECTABLE_EXTS)
-    listed = considered.groupBy("artifact_id").agg(
-        F.sort_array(F.collect_list(F.struct("path", "size", header.alias("header")))).alias("items")
-    )
 
-    def step(acc, item):
-        sampled = F.least(item["size"], F.lit(lim["header_bytes"]).cast("bigint"))
-        fits = acc["total"] + item["size"] <= lim["max_total_bytes"]
-        small = item["size"] <= lim["max_file_bytes"]
-        whole = ~item["header"] & small & fits
-        taken = F.when(item["header"], sampled).when(whole, item["size"]).otherwise(0)
-        action = F.when(item["header"], "header").when(whole, "whole").otherwise("skipped")
-        reason = F.when(~item["header"] & small & ~fits, "total fetch limit reached").when(
-            ~item["header"] & ~small, "file too large and without a readable header"
-        )
-        decided = F.struct(
-            item["path"].alias("path"), item["size"].alias("size"), action.alias("action"), reason.alias("reason")
-        )
-        return F.struct(
-            (acc["total"] + taken).cast("bigint").alias("total"),
-            F.concat(acc["plan"], F.array(decided)).alias("plan"),
-        )
+    def run(batches):
+        import pyarrow as pa
+
+        current, total = object(), 0
+        for batch in batches:
+            action, reason = [], []
+            for artifact, size, by_header in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3))):
+                if artifact != current:
+                    current, total = artifact, 0
+                size, why = size or 0, None
+                if by_header:
+                    what = "header"
+                    total += min(size, header_bytes)
+                elif size > most_file:
+                    what, why = "skipped", "file too large and without a readable header"
+                elif total + size > most_total:
+                    what, why = "skipped", "total fetch limit reached"
+                else:
+                    what = "whole"
+                    total += size
+                action.append(what)
+                reason.append(why)
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(i) for i in range(3)), pa.array(action, pa.string()), pa.array(reason, pa.string())],
+                ["artifact_id", "path", "size", "action", "reason"],
+            )
 
-    start = F.struct(F.lit(0).cast("bigint").alias("total"), F.array().cast(
-        "array<struct<path:string,size:bigint,action:string,reason:string>>").alias("plan"))
-    folded = listed.select("artifact_id", F.aggregate("items", start.cast(STATE), lambda a, i: step(a, i).cast(STATE)).alias("s"))
-    decided = folded.select("artifact_id", F.explode("s.plan").alias("p")).select("artifact_id", "p.*")
-    return decided.unionByName(beyond)
+    ordered = considered.select("artifact_id", "path", "size", header.alias("header")).sortWithinPartitions("artifact_id", "path")
+    decided = ordered.mapInArrow(run, PLAN)
+    return decided if lim["max_files"] is None else decided.unionByName(beyond)
 
 
 def fetch_coverage(plan: DataFrame) -> DataFrame:

@@ -64,23 +64,74 @@ def plain_files(files: DataFrame) -> DataFrame:
     return files.join(taken.distinct(), ["artifact_id", "path"], "left_anti")
 
 
-def publisher_scope(artifacts: DataFrame, publishers: DataFrame) -> DataFrame:
-    """Publishers accepted for each artifact URI: no prefixes means any, else one prefix must match.
+SAMPLE_ROWS = 20_000  # URIs, about, from which the borders of ranges are taken; they decide balance, never a result
+
+
+def _borders(uris: DataFrame, n: int) -> list[str]:
+    """Up to ``n - 1`` URIs that cut the sorted rows into ranges of about equal size; a frequent URI comes repeatedly."""
+    step = max(1, uris.count() // SAMPLE_ROWS)
+    sample = sorted(r.uri for r in uris.filter(F.pmod(F.xxhash64("uri", "artifact_id"), F.lit(step)) == 0).select("uri").collect())
+    return [sample[len(sample) * i // n] for i in range(1, n)] if sample else []
+
+
+def prefix_join(uris: DataFrame, prefixes: DataFrame, ranges: int | None = None) -> DataFrame:
+    """``artifact_id, uri, entry``: each URI with the ``entry`` of every ``prefix`` that begins it.
 
-    A prefix match is turned into an equi-join: a URI offers its own leading parts, at the lengths that
-    occur among the prefixes. So the join shuffles or broadcasts by measured size like any other.
+    An ordered merge. URIs and prefixes are dealt by ranges of their text; a prefix goes to every range that can hold
+    URIs with it, which is one but for the few that span a border. Sorted together, the prefixes of a URI are those still
+    open when it comes: each range keeps them on a stack. So a URI is shuffled once, however many lengths prefixes have.
+    Rows of one URI that make up several ranges are dealt over them by artifact.
     """
-    any_uri = F.array(F.lit(""))
-    prefixes = publishers.withColumn(
-        "prefix",
-        F.explode(F.when(F.size(F.coalesce("uri_prefixes", F.array().cast("array<string>"))) > 0, F.col("uri_prefixes")).otherwise(any_uri)),
-    ).withColumn("_len", F.length("prefix"))
-    # one row; at most as many values as a URI has characters
-    lengths = prefixes.agg(F.collect_set("_len").alias("l")).scalar()
-    offered = artifacts.select("artifact_id", "uri").withColumn("_len", F.explode(lengths)).filter(
-        F.col("_len") <= F.length("uri")
-    )
-    offered = offered.withColumn("prefix", F.left("uri", F.col("_len"))).drop("_len")
+    spark = uris.sparkSession
+    borders = _borders(uris, ranges or int(spark.conf.get("spark.sql.shuffle.partitions")))
+    edges = F.array(*map(F.lit, borders)).cast("array<string>")
+    below = lambda text: F.size(F.filter(edges, lambda b: b < text))
+    equal = lambda text: F.size(F.filter(edges, lambda b: b == text))
+    first = below(F.col("prefix"))
+    spanned = F.size(F.filter(edges, lambda b: F.startswith(b, F.col("prefix"))))
+    entry_type = dict(prefixes.dtypes)["entry"]
+    left = prefixes.select(
+        F.explode(F.sequence(first, first + spanned)).alias("range"), F.col("prefix").alias("text"), F.lit(0).alias("kind"),
+        F.lit(None).cast("string").alias("artifact_id"), "entry",
+    )
+    right = uris.select(
+        (below(F.col("uri")) + F.pmod(F.hash("artifact_id"), equal(F.col("uri")) + 1)).alias("range"), F.col("uri").alias("text"), F.lit(1).alias("kind"), "artifact_id",
+        F.lit(None).cast(entry_type).alias("entry"),
+    )
+
+    def run(batches):
+        import pyarrow as pa
+
+        current, stack, numbers, entries = None, [], [], None
+        for batch in batches:
+            table = pa.table(batch)
+            # entries of open prefixes are kept as an Arrow column and taken by number
+            entries = table["entry"].combine_chunks() if entries is None else pa.concat_arrays([entries, table["entry"].combine_chunks()])
+            base = len(entries) - batch.num_rows
+            at, which, taken = [], [], []
+            for i, (number, text, kind) in enumerate(zip(*(table[c].to_pylist() for c in ("range", "text", "kind")))):
+                if number != current:
+                    current, stack = number, []
+                while stack and not text.startswith(stack[-1][0]):
+                    stack.pop()
+                if kind == 0:
+                    stack.append((text, base + i))
+                else:
+                    at.extend([i] * len(stack))
+                    taken.extend(place for _, place in stack)
+            rows = table.take(pa.array(at, pa.int64()))
+            yield from pa.table([rows["artifact_id"], rows["text"], entries.take(pa.array(taken, pa.int64()))], names=["artifact_id", "uri", "entry"]).to_batches()
+            entries = entries.take(pa.array([place for _, place in stack], pa.int64()))
+            stack = [(text, i) for i, (text, _) in enumerate(stack)]
+
+    n = len(borders) + 1
+    dealt = left.unionByName(right).repartition(n, "range").sortWithinPartitions("range", "text", "kind")
+    return dealt.mapInArrow(run, f"artifact_id string, uri string, entry {entry_type}")
+
+
+def publisher_scope(artifacts: DataFrame, publishers: DataFrame) -> DataFrame:
+    """Publishers accepted for each artifact URI: no prefixes means any, else one prefix must match."""
+    none = F.coalesce("uri_prefixes", F.array().cast("array<string>"))
     label = F.coalesce(nullif_empty(F.col("display_name")), F.col("name"))
     keyless = (F.coalesce("issuer", F.lit("")) != "") & (F.coalesce("subject", F.lit("")) != "")
     shown = (
@@ -88,12 +139,11 @@ def publisher_scope(artifacts: DataFrame, publishers: DataFrame) -> DataFrame:
         .when(F.coalesce("public_key", F.lit("")) != "", F.concat(label, F.lit(" (public key)")))
         .otherwise(label)
     )
-    scoped = prefixes.select("prefix", "name", keyless.alias("keyless"), shown.alias("label"), "subject")
-    return (
-        offered.join(scoped, "prefix")
-        .select("artifact_id", "uri", F.col("name").alias("publisher"), "keyless", "label", "subject")
-        .distinct()
-    )
+    entry = F.struct(F.col("name").alias("publisher"), keyless.alias("keyless"), shown.alias("label"), "subject")
+    scoped = publishers.select(F.explode(F.when(F.size(none) > 0, none).otherwise(F.array(F.lit("")))).alias("prefix"), entry.alias("entry"))
+    uris = artifacts.select("artifact_id", "uri").filter("uri IS NOT NULL")
+    found = prefix_join(uris, scoped.filter("prefix IS NOT NULL").distinct())
+    return found.select("artifact_id", "uri", "entry.*").distinct()
 
 
 def subject_matches(subject: Column, san: Column) -> Column:

@@ -270,7 +270,7 @@ ORACLES = {
         st AS (SELECT artifact_id, min(ord) FILTER (WHERE NOT esc AND NOT is_link AND tot > 200000) AS stop FROM t GROUP BY 1),
         sn AS (SELECT t.*, stop FROM t JOIN st USING (artifact_id) WHERE stop IS NULL OR ord <= stop),
         ag AS (SELECT artifact_id, any_value(kind) AS kind, any_value(stop) AS stop, sum(compressed) FILTER (WHERE NOT esc AND NOT is_link) AS i, sum(size) FILTER (WHERE NOT esc AND NOT is_link) AS o FROM sn GROUP BY 1)
-        SELECT artifact_id, CASE WHEN esc THEN 'AR-ARCHIVE-003' ELSE 'AR-ARCHIVE-004' END AS id, CASE WHEN esc THEN 'Critical' ELSE 'High' END AS severity, archive || '!' || name AS location FROM sn WHERE esc OR is_link
+        SELECT artifact_id, CASE WHEN esc THEN 'AR-ARCHIVE-003' ELSE 'AR-ARCHIVE-004' END AS id, CASE WHEN esc THEN 'Critical' ELSE 'High' END AS severity, archive || '!' || name AS location FROM (SELECT *, name LIKE '../%' OR name LIKE 'a/../%' AS esc FROM e) WHERE esc OR is_link
         UNION ALL SELECT artifact_id, 'AR-ARCHIVE-002', 'High', 'a.zip' FROM ag WHERE stop IS NULL AND artifact_id IN (SELECT artifact_id FROM e GROUP BY 1 HAVING max(ord) > 5)
         UNION ALL SELECT artifact_id, 'AR-ARCHIVE-005', 'High', 'a.zip' FROM ag WHERE stop IS NOT NULL
         UNION ALL SELECT artifact_id, 'AR-ARCHIVE-006', 'High', 'a.zip' FROM ag WHERE kind = 'zip' AND i > 0 AND o / i > 2000""",

@@ -4,6 +4,8 @@ import json
 import pickle
 import re
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from fleetrisk.functions import values as V
@@ -146,45 +148,45 @@ def test_keras_graphs_magic_and_arrays(spark):
 
 
 def brute_archive(entries, max_entries, max_bytes, max_ratio):
-    """The rule read one member at a time."""
-    out, compressed, expanded, count, kind = [], 0, 0, 0, entries[0][2]
-    for _, name, kind, ins, outs, link in entries:
-        count += 1
-        if count > max_entries:
-            out.append("AR-ARCHIVE-002")
-            break
-        if re.search(r"^/|(^|/)\.\.(/|$)", name):
-            out.append("AR-ARCHIVE-003")
-            continue
-        if link:
-            out.append("AR-ARCHIVE-004")
-            continue
-        compressed += ins
-        expanded += outs
-        if expanded > max_bytes:
-            out.append("AR-ARCHIVE-005")
-            break
+    """The rule read one member at a time: all are judged, sums stop at a limit."""
+    out, compressed, expanded, kind, stopped = [], 0, 0, entries[0][2], False
+    for i, name, kind, ins, outs, link in entries:
+        escapes = bool(re.search(r"^/|(^|/)\.\.(/|$)", name))
+        if escapes or link:
+            out.append("AR-ARCHIVE-003" if escapes else "AR-ARCHIVE-004")
+        elif i <= max_entries and not stopped:
+            compressed += ins
+            expanded += outs
+            stopped = expanded > max_bytes
+    if stopped:
+        out.append("AR-ARCHIVE-005")
+    elif len(entries) > max_entries:
+        out.append("AR-ARCHIVE-002")
     if kind == "zip" and compressed > 0 and expanded / compressed > max_ratio:
         out.append("AR-ARCHIVE-006")
     return sorted(out)
 
 
-def test_archives_against_a_walk(spark):
+@pytest.mark.parametrize("members", [1, 4, 1024])
+def test_archives_against_a_walk(spark, monkeypatch, members):
     import random
 
+    monkeypatch.setattr(D, "SLICE_MEMBERS", members)
     rng = random.Random(5)
     archives, rows = {}, []
-    for n in range(60):
+    for n in range(80):
         kind = "zip" if n % 3 else "tar"
-        size = rng.randrange(1, 14)
+        size = rng.randrange(1, 24)
+        low = -40 if n % 4 == 0 else 0
         entries = [
-            (i, rng.choice(["ok", "../x", "a/b", "/abs"]) + str(i), kind, rng.randrange(3), rng.randrange(60), rng.random() < 0.15)
+            (i, rng.choice(["ok", "ok", "../x", "a/b", "/abs"]) + str(i), kind, rng.randrange(3), rng.randrange(low, 60), rng.random() < 0.15)
             for i in range(1, size + 1)
         ]
         archives[f"z{n}"] = entries
         rows += [("a", f"z{n}", kind, i, name, ins, outs, link, None) for i, name, kind, ins, outs, link in entries]
+    rng.shuffle(rows)
     df = spark.createDataFrame(rows, "artifact_id string, archive string, kind string, ord int, name string, compressed bigint, size bigint, is_link boolean, link_target string")
-    limits = dict(max_entries=9, max_bytes=150, max_ratio=20.0)
+    limits = dict(max_entries=17, max_bytes=150, max_ratio=20.0)
     got = {}
     for r in D.detect_archive(df, **limits).collect():
         got.setdefault(r.location.split("!")[0], []).append(r.id)
@@ -192,6 +194,11 @@ def test_archives_against_a_walk(spark):
         assert sorted(got.get(name, [])) == brute_archive(entries, *limits.values()), name
 
 
+def test_a_hostile_member_behind_the_entry_limit_is_found(spark):
+    rows = spark.range(1, 10_002).selectExpr("'a' AS artifact_id", "'z.zip' AS archive", "'zip' AS kind", "id AS ord", "if(id = 10001, '../x', 'ok') AS name", "1L AS compressed", "1L AS size", "false AS is_link")
+    assert {r.id for r in D.detect_archive(rows).collect()} == {"AR-ARCHIVE-002", "AR-ARCHIVE-003"}
+
+
 def test_listing_and_failures(spark):
     listing = spark.createDataFrame(
         [("a", "lib.so", False, None), ("a", "x.sh", True, None), ("a", "d/l", False, "../../y"), ("a", "d/k", True, "../y"), ("b", "t", False, None)],

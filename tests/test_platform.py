@@ -1,5 +1,6 @@
 """Verification, manifests, coverage, controls, provenance and fetch planning."""
 
+import random
 from datetime import datetime
 
 import pytest
@@ -245,3 +246,39 @@ def test_fetch_plan_against_a_loop(spark):
     assert {(r.artifact_id, r.path): r.action for r in plan.collect()} == want
     coverage = {r.artifact_id: r for r in FE.fetch_coverage(plan).collect()}
     assert coverage["hot"].whole + coverage["hot"].header_only + coverage["hot"].skipped == 90 and not coverage["hot"].complete
+
+
+@pytest.mark.parametrize("ranges", [1, 3, 40])
+def test_prefix_join_against_all_pairs(spark, ranges):
+    """Nested prefixes over borders, a URI that is a third of all rows, texts beyond ASCII and prefixes of nothing."""
+    rng = random.Random(ranges)
+    part = lambda: rng.choice(["a", "b", "ab", "é", "日", "/"])
+    uris = [(f"m{i}", "".join(part() for _ in range(rng.randrange(0, 7)))) for i in range(400)] + [(f"h{i}", "ab/hot") for i in range(200)]
+    prefixes = sorted({"".join(part() for _ in range(rng.randrange(0, 5))) for _ in range(60)} | {"", "ab/hot", "ab/hot/x"})
+    left = spark.createDataFrame(uris, "artifact_id string, uri string").repartition(3)
+    right = spark.createDataFrame([(p, (p, i)) for i, p in enumerate(prefixes)] + [("a", ("again", -1))], "prefix string, entry struct<p: string, i: int>")
+    got = sorted((r.artifact_id, r.uri, r.entry.p, r.entry.i) for r in PR.prefix_join(left, right, ranges).collect())
+    rows = [(p, p, i) for i, p in enumerate(prefixes)] + [("a", "again", -1)]
+    assert got == sorted((a, u, name, i) for a, u in uris for p, name, i in rows if u.startswith(p))
+    assert PR.prefix_join(left.filter("false"), right, ranges).count() == 0 and PR.prefix_join(left, right.filter("false"), ranges).count() == 0
+
+
+def test_fetch_plan_without_a_file_limit(spark):
+    rng = random.Random(1)
+    files = [("a", f"f{i:05d}" + rng.choice([".bin", ".safetensors", ""]), rng.randrange(400)) for i in range(3000)] + [("b", "x", 10), ("b", "y", None)]
+    limits = {"max_files": None, "max_file_bytes": 300, "max_total_bytes": 50_000, "header_bytes": 20}
+    got = {(r.artifact_id, r.path): (r.action, r.reason) for r in FE.fetch_plan(spark.createDataFrame(files, "artifact_id string, path string, size long").repartition(5), limits).collect()}
+    total, want = {}, {}
+    for a, path, size in sorted(files):
+        size, used = size or 0, total.get(a, 0)
+        if path.endswith(".safetensors"):
+            want[a, path], total[a] = ("header", None), used + min(size, 20)
+        elif size > 300:
+            want[a, path] = ("skipped", "file too large and without a readable header")
+        elif used + size > 50_000:
+            want[a, path] = ("skipped", "total fetch limit reached")
+        else:
+            want[a, path], total[a] = ("whole", None), used + size
+    assert got == want and ("skipped", "total fetch limit reached") in want.values()
+    limits["max_files"] = 5000
+    assert {(r.artifact_id, r.path): (r.action, r.reason) for r in FE.fetch_plan(spark.createDataFrame(files, "artifact_id string, path string, size long"), limits).collect()} == want
