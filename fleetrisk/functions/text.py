@@ -134,9 +134,25 @@ def parse_count(raw: Column) -> Column:
     return F.when((number > 0) & (count < float(2**63)), count.try_cast("bigint")).otherwise(F.lit(0).cast("bigint"))
 
 
+def one_decimal(number: Column) -> Column:
+    """A double of at least 1 with one decimal, rounded as its exact binary value lies.
+
+    Formatting by the JVM rounds the shortest decimal text instead, which turns 657.15 (a little less in binary) up.
+    Twenty times the number is taken as a product and its exact error, so the comparison with the middle is exact.
+    """
+    tenths = F.floor(number * 10)
+    spread = number * F.lit(134217729.0)  # 2^27 + 1 parts the 53 bits in two halves
+    high = spread - (spread - number)
+    product = number * 20
+    error = (high * 20 - product) + (number - high) * 20
+    beyond = (product - (2 * tenths + 1)) + error
+    rounded = tenths + F.when((beyond > 0) | ((beyond == 0) & (tenths % 2 == 1)), 1).otherwise(0)
+    return F.concat(F.floor(rounded / 10).cast("string"), F.lit("."), (rounded % 10).cast("string"))
+
+
 def human_count(count: Column) -> Column:
     def scaled(unit: float, label: str) -> Column:
-        return F.format_string(f"%.1f{label}", count / F.lit(unit))
+        return F.concat(one_decimal(count / F.lit(unit)), F.lit(label))
 
     return (
         F.when(count >= 1_000_000_000, scaled(1e9, "B"))

@@ -171,7 +171,7 @@ QUERIES = {
         P.path_traversal(F.col("name")).alias("reference"),
         P.archive_traversal(F.col("name")).alias("member"),
     ),
-    "link_escape": lambda s, d: T.read(s, d, LISTING).filter("link_target IS NOT NULL").select(
+    "link_escape": lambda s, d: T.read(s, d, LISTING).select(
         "artifact_id", "path", P.link_escape(F.lit("/artifact"), F.col("path"), F.col("link_target")).alias("escapes")
     ),
 }
@@ -314,7 +314,7 @@ ORACLES = {
         e=ARCHIVE,
     ),
     "link_escape": T.with_ctes(
-        "SELECT artifact_id, path, link_target IN ('../../y', '/etc/passwd', './../z/../../q') AS escapes FROM l WHERE link_target IS NOT NULL",
+        "SELECT artifact_id, path, link_target IN ('../../y', '/etc/passwd', './../z/../../q') AS escapes FROM l",
         l=LISTING,
     ),
 }

@@ -175,7 +175,7 @@ ORACLES = {
             WHEN '28' THEN 'IQ2_S' WHEN '30' THEN 'IQ4_XS' WHEN '32' THEN 'BF16' ELSE 'file_type=' || ft END AS quantization,
           'gguf/ggml' AS framework
         FROM (SELECT artifact_id, max(value) FILTER (WHERE key='general.name') AS n, max(value) FILTER (WHERE key='general.repo_url') AS u,
-           nullif(max(value) FILTER (WHERE key='general.license'),'') AS l, max(value) FILTER (WHERE key='general.license.name') AS ln,
+           nullif(nullif(max(value) FILTER (WHERE key='general.license'), ''),'') AS l, nullif(max(value) FILTER (WHERE key='general.license.name'), '') AS ln,
            nullif(max(value) FILTER (WHERE key='general.architecture'),'') AS a, max(value) FILTER (WHERE key='general.size_label') AS sz,
            max(value) FILTER (WHERE key='general.file_type') AS ft FROM kv GROUP BY 1)""",
         kv=T.RAW_KV,

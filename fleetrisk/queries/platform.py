@@ -170,7 +170,7 @@ QUERIES = {
     "manifest_build": lambda s, d: VF.manifest_build(
         T.read(s, d, T.BUNDLE_MANIFESTS),
         T.read(s, d, T.BUNDLE_SOURCES),
-        T.read(s, d, T.MODEL_FILES).withColumnRenamed("artifact_id", "manifest_id").filter("manifest_id <> 'src9'"),
+        T.read(s, d, T.MODEL_FILES).withColumnRenamed("artifact_id", "manifest_id"),
     ),
     "manifest_verify": lambda s, d: VF.manifest_verify(
         T.read(s, d, T.BUNDLE_MANIFESTS), T.read(s, d, T.BUNDLE_ENTRIES), T.read(s, d, T.BUNDLE_MEMBERS)
@@ -441,7 +441,7 @@ ORACLES = {
     "manifest_build": T.with_ctes(
         """SELECT manifest_id, 1 AS format_version, CASE WHEN kind = '' THEN 'mixed' ELSE kind END AS kind, name, created_at, coalesce(n, 0) AS entries, coalesce(t, 0) AS total_size, coalesce(k, 0) AS sources,
          CASE WHEN n IS NULL THEN 'no files' WHEN created_at = '' THEN 'no creation time' WHEN name = '' THEN 'no name' WHEN u > 0 THEN 'source without a retrieval date' END AS problem
-        FROM m LEFT JOIN (SELECT artifact_id AS manifest_id, count(*) AS n, sum(size)::BIGINT AS t FROM f WHERE artifact_id <> 'src9' GROUP BY 1) USING (manifest_id)
+        FROM m LEFT JOIN (SELECT artifact_id AS manifest_id, count(*) AS n, sum(size)::BIGINT AS t FROM f GROUP BY 1) USING (manifest_id)
         LEFT JOIN (SELECT manifest_id, count(*) AS k, count(*) FILTER (WHERE retrieved_at = '') AS u FROM s GROUP BY 1) USING (manifest_id)""",
         m=T.BUNDLE_MANIFESTS, s=T.BUNDLE_SOURCES, f=T.MODEL_FILES,
     ),

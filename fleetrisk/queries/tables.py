@@ -73,13 +73,13 @@ FROM (SELECT DISTINCT c_mktsegment AS policy_id FROM {customer} WHERE c_mktsegme
 
 EXCEPTIONS = """
 SELECT 'm' || CAST(o_custkey AS STRING) AS artifact_id,
-       CASE WHEN o_orderpriority = '1-URGENT' THEN split('blockSecrets,maxHighCVEs', ',')
+       CASE WHEN o_orderstatus <> 'P' THEN split('noSuchRule', ',')
+            WHEN o_orderpriority = '1-URGENT' THEN split('blockSecrets,maxHighCVEs', ',')
             WHEN o_orderpriority = '2-HIGH' THEN split('scanIncomplete', ',')
             ELSE split('blockModelDrift,noSuchRule', ',') END AS rules,
        'accepted' AS reason,
        CASE WHEN o_orderpriority = '3-MEDIUM' THEN NULL ELSE o_orderdate END AS expires_at
 FROM {orders}
-WHERE o_orderstatus = 'P'
 """
 
 TENSORS = """
@@ -111,7 +111,7 @@ UNION ALL SELECT 'm' || CAST(c_custkey AS STRING), 'general.file_type', CAST(c_n
 UNION ALL SELECT 'm' || CAST(c_custkey AS STRING), 'general.quantization_version', CAST(c_nationkey % 3 AS STRING) FROM {customer}
 UNION ALL SELECT 'm' || CAST(c_custkey AS STRING), 'general.license',
   CASE c_mktsegment WHEN 'BUILDING' THEN 'apache 2.0' WHEN 'MACHINERY' THEN 'llama3' WHEN 'FURNITURE' THEN 'House Terms/1' ELSE '' END FROM {customer}
-UNION ALL SELECT 'm' || CAST(c_custkey AS STRING), 'general.license.name', 'mit' FROM {customer} WHERE c_mktsegment = 'HOUSEHOLD'
+UNION ALL SELECT 'm' || CAST(c_custkey AS STRING), 'general.license.name', CASE c_mktsegment WHEN 'HOUSEHOLD' THEN 'mit' ELSE '' END FROM {customer}
 UNION ALL SELECT 'm' || CAST(c_custkey AS STRING), 'general.repo_url', 'https://huggingface.co/org' || CAST(c_nationkey AS STRING) || '/model' FROM {customer}
 UNION ALL SELECT 'm' || CAST(c_custkey AS STRING), 'general.size_label', CAST(c_nationkey AS STRING) || 'B' FROM {customer}
 UNION ALL SELECT 'm' || CAST(c_custkey AS STRING), 'general.alignment', CAST(c_custkey AS STRING) FROM {customer}
@@ -123,7 +123,7 @@ UNION ALL SELECT 'm' || CAST(o_custkey AS STRING),
   'general.base_model.' || CAST(o_orderkey AS STRING) || CASE o_orderstatus WHEN 'F' THEN '.name' WHEN 'O' THEN '.repo_url' ELSE '.organization' END,
   CASE o_orderpriority WHEN '5-LOW' THEN '' ELSE 'base' || CAST(o_custkey AS STRING) END FROM {orders}
 UNION ALL SELECT 'm' || CAST(o_custkey AS STRING), 'general.base_model.' || CAST(o_orderkey AS STRING) || '.doi',
-  '10.1/' || CAST(o_orderkey AS STRING) FROM {orders} WHERE o_orderpriority IN ('1-URGENT', '2-HIGH')
+  CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN '10.1/' || CAST(o_orderkey AS STRING) ELSE '' END FROM {orders}
 """
 
 DRIFT_ROWS = f"""
@@ -164,9 +164,9 @@ SELECT 'm' || CAST(l_orderkey AS STRING) AS artifact_id, 'shard-' || CAST(l_line
 """
 
 SHARD_FILES = """
-SELECT 'm' || CAST(l_orderkey AS STRING) AS artifact_id, 'shard-' || CAST(l_linenumber AS STRING) AS path,
+SELECT 'm' || CAST(l_orderkey AS STRING) AS artifact_id, CASE l_returnflag WHEN 'R' THEN 'moved-' ELSE 'shard-' END || CAST(l_linenumber AS STRING) AS path,
        l_partkey * 1024 AS size
-FROM {lineitem} WHERE l_returnflag <> 'R'
+FROM {lineitem}
 """
 
 
@@ -222,7 +222,7 @@ BUNDLE_MANIFESTS = """
 SELECT source AS manifest_id, CASE source WHEN 'src5' THEN 2 ELSE 1 END AS format_version,
        CASE source WHEN 'src1' THEN '' ELSE 'rule-pack' END AS kind, CASE source WHEN 'src2' THEN '' ELSE source END AS name,
        CASE source WHEN 'src4' THEN '' ELSE '2026-01-01T00:00:00Z' END AS created_at
-FROM (SELECT DISTINCT source FROM {documents}) s
+FROM (SELECT DISTINCT source FROM {documents} UNION ALL SELECT 'src-empty') s
 """
 
 BUNDLE_SOURCES = """
@@ -245,17 +245,17 @@ LICENSE_ROWS = """
 SELECT 'm' || CAST(o_custkey AS STRING) AS artifact_id, o_orderkey AS ord,
        CASE o_orderkey % 4 WHEN 0 THEN 'house' WHEN 1 THEN '' WHEN 2 THEN 'mit' ELSE 'terms' END AS raw,
        CASE o_orderkey % 8 WHEN 2 THEN 'MIT' ELSE '' END AS spdx_id
-FROM {orders} WHERE o_orderstatus = 'F'
+FROM {orders}
 """
 
 DATASET_ROWS = """
 SELECT 'm' || CAST(o_custkey AS STRING) AS artifact_id, o_orderkey AS ord, 'ds' || CAST(o_orderkey AS STRING) AS name
-FROM {orders} WHERE o_orderstatus = 'O'
+FROM {orders}
 """
 
 DOMAIN_ROWS = """
 SELECT DISTINCT 'm' || CAST(o_custkey AS STRING) AS artifact_id, 'dom' || CAST(o_orderkey % 5 AS STRING) AS domain
-FROM {orders} WHERE o_orderpriority = '1-URGENT'
+FROM {orders}
 """
 
 PROFILES = """
@@ -333,7 +333,7 @@ SELECT host AS name, CASE WHEN length(host) % 2 = 0 THEN '' ELSE 'Team ' || host
        CASE WHEN length(host) % 3 = 0 THEN 'issuer' ELSE '' END AS issuer, CASE WHEN length(host) % 3 = 0 THEN 'https://example.org/*' ELSE '' END AS subject,
        CASE WHEN length(host) % 3 = 1 THEN 'PEM' ELSE '' END AS public_key, split('https://' || host || ',http://' || host || '/fr', ',') AS uri_prefixes
 FROM (SELECT DISTINCT split_part(url, '/', 3) AS host FROM {pages}) h
-UNION ALL SELECT 'any-' || r_name, '', '', '', '', CASE WHEN r_regionkey = 0 THEN NULL ELSE split('http', ',') END FROM {region} WHERE r_regionkey < 2
+UNION ALL SELECT 'any-' || r_name, '', '', '', '', CASE WHEN r_regionkey = 0 THEN NULL ELSE split('http', ',') END FROM {region}
 """
 
 LINKS = """

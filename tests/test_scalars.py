@@ -91,3 +91,11 @@ def test_uris(spark):
 def test_control_order(spark):
     keys = values(spark, S.control_sort_key(F.lit("MEASURE"), F.col("x")), ["MEASURE 2.9", "MEASURE 2.10", "MEASURE 3"])
     assert [tuple(k) for k in keys] == [(2, 2, 9), (2, 2, 10), (2, 3, 0)]
+
+
+def test_one_decimal_rounds_the_binary_value(spark):
+    rng = __import__("random").Random(3)
+    counts = [657_150, 657_250, 1000, 1050, 1150, 999_949, 999_950, 10**18 + 1, 2**63 - 1] + [rng.randrange(1000, 10 ** rng.randrange(4, 19)) for _ in range(400)] + [50 + 100 * rng.randrange(10, 99_999) for _ in range(400)]
+    got = spark.createDataFrame([(c,) for c in counts], "n long").select(S.human_count(F.col("n"))).collect()
+    label = lambda n: f"{n / 1e9:.1f}B" if n >= 10**9 else f"{n / 1e6:.1f}M" if n >= 10**6 else f"{n / 1e3:.1f}K"
+    assert [r[0] for r in got] == [label(n) for n in counts]
