@@ -75,7 +75,8 @@ def tree_digest(files: DataFrame) -> DataFrame:
 
         import pandas as pd
 
-        current, state, total, single = None, None, 0, None
+        nobody = object()
+        current, state, total, single = nobody, None, 0, None
 
         def row():
             digest = single or state.hexdigest()
@@ -83,9 +84,10 @@ def tree_digest(files: DataFrame) -> DataFrame:
 
         for batch in batches:
             done = []
-            for artifact, group in batch.groupby("artifact_id", sort=False):
+            for artifact, group in batch.groupby("artifact_id", sort=False, dropna=False):
+                artifact = None if pd.isna(artifact) else artifact
                 if artifact != current:
-                    if current is not None:
+                    if current is not nobody:
                         done.append(row())
                     current, state, total, single = artifact, hashlib.sha256(), 0, None
                 state.update("".join(group["sha256"] + " " + group["path"] + "\n").encode())
@@ -93,7 +95,7 @@ def tree_digest(files: DataFrame) -> DataFrame:
                 if group["path"].iloc[0] == "":
                     single = group["sha256"].iloc[0]
             yield pd.DataFrame(done, columns=["artifact_id", "tree_digest", "total_size"])
-        if current is not None:
+        if current is not nobody:
             yield pd.DataFrame([row()])
 
     ordered = lines.repartition("artifact_id").sortWithinPartitions("artifact_id", "path")

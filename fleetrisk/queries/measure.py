@@ -180,12 +180,9 @@ ORACLES = {
            max(value) FILTER (WHERE key='general.file_type') AS ft FROM kv GROUP BY 1)""",
         kv=T.RAW_KV,
     ),
-    "hyperparameters": T.with_ctes(
-        """, ar AS (SELECT artifact_id, value AS arch FROM kv WHERE key='general.architecture' AND value<>'')
-        SELECT artifact_id, CASE WHEN key='general.quantization_version' THEN 'quantization_version' ELSE substr(key, length(arch)+2) END AS name, value
-        FROM kv JOIN ar USING (artifact_id) WHERE (starts_with(key, arch||'.') AND NOT starts_with(key, arch||'.vocab')) OR key='general.quantization_version'""",
-        kv=T.RAW_KV,
-    ).replace(") , ar", "), ar"),
+    # only llama has keys of its own; its vocabulary is left out
+    "hyperparameters": """SELECT 'm' || c_custkey AS artifact_id, 'block.' || o_orderkey AS name, o_orderstatus AS value FROM customer JOIN orders ON o_custkey = c_custkey WHERE c_nationkey % 4 = 0
+        UNION ALL SELECT 'm' || c_custkey, 'quantization_version', CAST(c_nationkey % 3 AS VARCHAR) FROM customer WHERE c_nationkey % 4 <> 3""",
     "lineage_collect": T.with_ctes(
         """SELECT artifact_id, CAST(split_part(key,'.',3) AS INTEGER) AS ord,
           max(value) FILTER (WHERE split_part(key,'.',4) IN ('name','organization')) AS name,

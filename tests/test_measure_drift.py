@@ -133,3 +133,10 @@ def test_first_n_per_key_is_exact_on_a_hot_key(spark):
     got = skew.first_n_per_key(df, ["k"], [F.col("v").desc()], 30).groupBy("k").agg(F.min("v").alias("lo"), F.count("*").alias("n"))
     hot = got.filter("k = 'hot'").first()
     assert (hot.lo, hot.n) == (1970, 30) and got.count() == 51
+
+
+def test_tree_digest_keeps_files_without_an_artifact(spark):
+    rows = [(None, "b", 1, "22"), (None, "a", 2, "11"), ("m", "x", 3, "33")]
+    got = {r.artifact_id: (r.tree_digest, r.total_size) for r in DG.tree_digest(spark.createDataFrame(rows, "artifact_id string, path string, size long, sha256 string")).collect()}
+    digest = lambda text: "sha256:" + hashlib.sha256(text.encode()).hexdigest()
+    assert got == {None: (digest("11 a\n22 b\n"), 3), "m": (digest("33 x\n"), 3)}
