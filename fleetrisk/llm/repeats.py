@@ -87,12 +87,21 @@ def by_size(offsets: np.ndarray, limit: int):
 
 
 def anchor_rows(docs: DataFrame) -> DataFrame:
-    """``gram, doc_id, place`` of every anchor of ``docs(doc_id, text)``."""
+    """``gram, doc_id, place`` of every anchor of ``docs(doc_id, text, order, h1, h2)``.
+
+    Of equal texts (equal hashes) that come in one batch, only the first by ``order`` is read: it alone can be the one
+    that is searched.
+    """
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
+            order, h1, h2 = (batch.column(i).to_numpy(zero_copy_only=False) for i in (2, 3, 4))
+            by = np.lexsort((order, h2, h1))
+            first = np.ones(len(by), bool)
+            first[by[1:]] = (h1[by[1:]] != h1[by[:-1]]) | (h2[by[1:]] != h2[by[:-1]])
+            batch = batch.filter(pa.array(first))
             data, offsets = arrow_binary(batch.column(1))
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for a, b in by_size(offsets, TEXT_AT_ONCE):
@@ -186,6 +195,15 @@ def earlier(group: list[tuple[tuple, bytes]]) -> list[tuple[tuple, int, int]]:
     which = np.repeat(np.arange(len(kept)), windows)
     inside = np.arange(len(which)) - np.repeat(np.cumsum(windows) - windows, windows)
     start, rest = base[which] + inside, sizes[which] - inside
+    # only windows whose first LENGTH bytes come again can share an interval; the others leave no gap in one
+    hashes = rolling(data, LENGTH)[start]
+    order = np.argsort(hashes)
+    again = hashes[order[1:]] == hashes[order[:-1]]
+    repeated = np.zeros(len(start), bool)
+    repeated[order[1:][again]] = repeated[order[:-1][again]] = True
+    if not repeated.any():
+        return out
+    which, inside, start, rest = which[repeated], inside[repeated], start[repeated], rest[repeated]
     rows = np.lib.stride_tricks.sliding_window_view(data, width)[start]
     rows[np.arange(width)[None, :] >= rest[:, None]] = 0
     order = np.argsort(np.ascontiguousarray(rows).view(f"V{width}").ravel(), kind="stable")
@@ -296,7 +314,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     # anchors of texts that share an id come together, and each text takes its own; those without one go by text hash
     owner = F.when(F.col("doc_id") < LAST, F.col("doc_id")).otherwise(F.col("h1"))
-    found = anchor_rows(rows.select(owner.alias("doc_id"), "text")).withColumnRenamed("doc_id", "owner")
+    found = anchor_rows(rows.select(owner.alias("doc_id"), "text", F.col("doc_id").alias("order"), "h1", "h2")).withColumnRenamed("doc_id", "owner")
     counts = found.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1")
     warm = F.col("n") > WARM
     flagged = found.join(counts, "gram").select("owner", "place", F.when(warm, F.col("n")).alias("n"), F.when(warm, F.col("gram")).alias("gram"))
