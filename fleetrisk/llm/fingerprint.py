@@ -9,6 +9,8 @@ sketched anew in more and more cells, with new hashes, until it does.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +22,7 @@ GROUP = 8  # digests of one version in a group, about
 RETRIES = (12, 24, 96)  # cells of a sub-table; the last retry takes twice as many as there are digests
 ROUNDS = 16
 BUCKET = 4096  # neighbouring ids that are ordered together
+EDGES = 256  # ranges of ids that the driver knows
 
 
 def let(value: Column, use) -> Column:
@@ -97,7 +100,8 @@ def with_difference(rows: DataFrame, a: str, b: str, own: str, other: str, name:
     """Adds ``name``, a struct ``ok, left, right``: the digests that only ``a`` and only ``b`` has.
 
     Sketches ``own`` and ``other`` are subtracted and peeled; what does not peel is sketched again by groups, and each
-    group that still does not is retried in the larger sizes, the last with room for any difference.
+    group that still does not is retried in the larger sizes, the last with room for any difference. Where even that does
+    not peel, ``ok`` is false and the difference is that of the digests themselves.
     """
     rows = rows.withColumn(name, peel(subtract(F.col(own), F.col(other)), F.lit(FIRST), 1))
     rows = _groups(rows, a, b, name)
@@ -109,8 +113,11 @@ def with_difference(rows: DataFrame, a: str, b: str, own: str, other: str, name:
         else:
             tried = F.transform("groups", lambda p: F.when(p["d"]["ok"], p).otherwise(F.struct(p["x"].alias("x"), p["y"].alias("y"), met(p).alias("d"))))  # noqa: B023
         rows = rows.withColumn("groups", tried)
-    whole = F.struct(F.forall("groups", lambda p: p["d"]["ok"]).alias("ok"), F.flatten(F.transform("groups", lambda p: p["d"]["left"])).alias("left"), F.flatten(F.transform("groups", lambda p: p["d"]["right"])).alias("right"))
-    return rows.withColumn(name, F.when(F.col(f"{name}.ok"), F.col(name)).otherwise(whole)).drop("groups")
+    peeled = F.forall("groups", lambda p: p["d"]["ok"])
+    side = lambda key: F.flatten(F.transform("groups", lambda p: p["d"][key]))
+    found = F.struct(F.lit(True).alias("ok"), side("left").alias("left"), side("right").alias("right"))
+    exact = F.struct(F.lit(False).alias("ok"), F.array_except(a, b).alias("left"), F.array_except(b, a).alias("right"))
+    return rows.withColumn(name, F.when(F.col(f"{name}.ok"), F.col(name)).when(peeled, found).otherwise(exact)).drop("groups")
 
 
 def likeness(keys: Column, difference: Column) -> Column:
@@ -124,17 +131,38 @@ def written(cells: Column) -> Column:
     return F.array_join(F.transform(cells, lambda c: F.concat_ws(".", c["n"].cast("string"), F.hex(c["k"]), F.hex(c["c"]))), "|")
 
 
+def id_buckets(own: DataFrame) -> Column:
+    """A bucket of some ``BUCKET`` neighbouring rows for each row, buckets ascending with doc_id, for any 64-bit ids.
+
+    Up to ``EDGES`` quantiles of the ids reach the driver. Between two of them buckets have the width of the mean gap
+    there, so an id far off makes no other range wide. Rows without doc_id come below all others, by text hash.
+    """
+    n, ids = own.agg(F.count("*"), F.count("doc_id")).first()
+    nulls = max(1, (n - ids) // BUCKET)
+    without = -1 - F.pmod(F.xxhash64("text"), F.lit(nulls))
+    if not ids:
+        return without
+    parts = max(1, min(EDGES, ids // BUCKET))
+    at = [i / parts for i in range(parts + 1)]
+    edges = sorted(set(own.agg(F.percentile_approx("doc_id", at, 4 * parts + 100)).first()[0]))
+    each = max(1, ids // (max(1, len(edges) - 1) * BUCKET))  # buckets of a range
+    widths = [max(1, -(-(b - a) // each)) for a, b in zip(edges, edges[1:])] + [1 << 62]
+    wide = lambda values: F.array(*[F.lit(Decimal(v)).cast("decimal(20,0)") for v in values])
+    place = F.greatest(F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e <= F.col("doc_id"))), F.lit(1))
+    far = F.col("doc_id").cast("decimal(20,0)") - F.get(wide(edges), place - 1)
+    inside = F.least(F.floor(far / F.get(wide(widths), place - 1)).cast("long"), F.lit(each))
+    return F.when(F.col("doc_id").isNull(), without).otherwise(place.cast("long") * (each + 2) + F.greatest(inside, F.lit(-1)))
+
+
 def with_next(docs: DataFrame) -> DataFrame:
     """``doc_id, text, next_text``: each row with the text of the next by descending doc_id, the last with the first.
 
-    Equal ids follow by text, null ids come last. Rows are ordered in buckets of neighbouring ids, each one group; the
-    width follows the mean gap of the ids, so a bucket has about ``BUCKET`` rows. A small table of buckets in order
-    gives what comes after the last row of each.
+    Equal ids follow by text; rows without an id come last, in the order of buckets of text hashes. Rows are ordered in
+    buckets of neighbouring ids, each one group; rows that repeat one id are in one bucket. A small table of buckets in
+    order gives what comes after the last row of each.
     """
     own = texts(docs)
-    low, high, n = own.agg(F.min("doc_id"), F.max("doc_id"), F.count("doc_id")).first()
-    width = BUCKET * max(1, -(-(high - low + 1) // n)) if n else BUCKET
-    bucket = F.when(F.col("doc_id").isNull(), F.lit(-1).cast("long")).otherwise(F.floor((F.col("doc_id") - F.lit(low or 0)) / width))
+    bucket = id_buckets(own)
     rows = own.withColumn("bucket", bucket)
     heads = rows.groupBy("bucket").agg(F.max("doc_id").alias("head"))
     order = Window.orderBy(F.desc("bucket"))
