@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from .common import arrow_binary, tidy
 
 HEAD, LINE, TAIL = b"### ", b"\n", b"</turn>\n"
+PART_BYTES = 8 << 20  # text of the turns that are put together in one buffer; a longer turn has one of its own
+SCATTER_BYTES = 1 << 20
 SCHEMA = "conv_id long, part int, formatted string, loss_start array<long>, loss_end array<long>"
 
 
@@ -54,22 +56,34 @@ def assemble(role, text) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
     role_at = starts + len(HEAD)
     text_at = role_at + role_size + len(LINE)
     for (data, offsets, put, _), at in zip(columns, (role_at, text_at)):
-        owner = np.repeat(np.arange(len(at)), np.diff(offsets))
-        moved = np.searchsorted(put, np.arange(len(data)), "right")
         before = np.searchsorted(put, offsets[:-1])
-        place = at[owner] + np.arange(len(data)) - offsets[:-1][owner] + moved - before[owner]
-        out[place] = data
-        out[place[put] - 1] = 92
+        for low in range(0, len(data), SCATTER_BYTES):  # places of some bytes at a time, as they take many times their room
+            index = np.arange(low, min(low + SCATTER_BYTES, len(data)))
+            owner = np.searchsorted(offsets, index, "right") - 1
+            place = at[owner] + index - offsets[owner] + np.searchsorted(put, index, "right") - before[owner]
+            out[place] = data[low : low + SCATTER_BYTES]
+            marks = put[np.searchsorted(put, low) : np.searchsorted(put, low + len(index))]
+            out[place[marks - low] - 1] = 92
     for mark, at in ((HEAD, starts), (LINE, role_at + role_size), (TAIL, text_at + text_size)):
         out[at[:, None] + np.arange(len(mark))] = np.frombuffer(mark, np.uint8)
     return out, np.concatenate([[0], ends]), text_at, text_at + text_size
 
 
+def slices(batches):
+    """Batches cut where their texts make up ``PART_BYTES``."""
+    for batch in batches:
+        bounds, at = arrow_binary(batch.column(2))[1], 0
+        while at < batch.num_rows:
+            stop = max(at + 1, int(np.searchsorted(bounds, bounds[at] + PART_BYTES, "right")) - 1)
+            yield batch.slice(at, stop - at)
+            at = stop
+
+
 def render(turns: DataFrame, partitions: int | None = None) -> DataFrame:
     """``conv_id, part, formatted, loss_start, loss_end``: conversations in the template, in parts.
 
     Rows are ordered by turn, nulls first, equal turns by role and text; null roles and texts are empty; repeated rows
-    stay. A conversation is one part for each Arrow batch that it spans, numbered in order, so one of any length passes
+    stay. A conversation is one part for each ``PART_BYTES`` that it spans, numbered in order, so one of any length passes
     its task as a stream. The loss mask holds the byte ranges of assistant texts in each part. Null ids are one
     conversation of their own.
     """
@@ -80,9 +94,7 @@ def render(turns: DataFrame, partitions: int | None = None) -> DataFrame:
         import pyarrow as pa
 
         last, part = ("none",), 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in slices(batches):
             out, offsets, text_start, text_end = assemble(batch.column(1), batch.column(2))
             ids = batch.column(0).to_pylist()
             cuts = [0] + [i for i in range(1, len(ids)) if ids[i] != ids[i - 1]]

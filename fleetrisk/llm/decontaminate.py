@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import deque
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,30 +37,53 @@ def rolling(tokens: np.ndarray, n: int) -> np.ndarray:
         return out
 
 
+def open_runs(free: np.ndarray, n: int) -> np.ndarray:
+    """Where ``n`` unmarked tokens begin."""
+    marked = np.concatenate([[0], np.cumsum(~free)])
+    return np.nonzero(marked[n:] == marked[: len(marked) - n])[0]
+
+
 def tiles(item: np.ndarray, text: np.ndarray, least: int) -> list[tuple[int, int, int]]:
     """Greedy tiling: the longest matches of unmarked tokens first, then shorter ones, until ``least`` tokens.
 
-    Returns (start in item, start in text, length), none of which overlap on either side. At every search length the
-    unmarked runs of the item are hashed and met with those of the text; equal hashes are compared token by token.
+    Returns (start in item, start in text, length), none of which overlap on either side; of equal lengths the first in
+    the text is taken, with the first place of the item. Where a run of n tokens is shared, so is one of n - 1, so the
+    next length that has a match is searched by halving; equal hashes are compared token by token before they are marked.
     """
     free_item, free_text, found = np.ones(len(item), bool), np.ones(len(text), bool), []
-    size = len(item)
-    while size >= least:
-        a, b = rolling(item, size), rolling(text, size)
-        open_a = np.convolve(~free_item, np.ones(size, int))[size - 1 : len(item)] == 0
-        open_b = np.convolve(~free_text, np.ones(size, int))[size - 1 : len(text)] == 0
-        at = {}
-        for i in np.nonzero(open_a)[0]:
-            at.setdefault(int(a[i]), []).append(int(i))
-        runs = np.nonzero(open_b)[0]
-        runs = runs[np.isin(b[runs], np.fromiter(at, np.uint64, len(at)))] if at and len(runs) else runs[:0]
-        for j in map(int, runs):
-            for i in at[int(b[j])]:
-                if free_item[i : i + size].all() and free_text[j : j + size].all() and np.array_equal(item[i : i + size], text[j : j + size]):
-                    free_item[i : i + size] = free_text[j : j + size] = False
-                    found.append((i, j, size))
-                    break
-        size -= 1
+
+    def shared(n: int):
+        """Open runs of the item and of the text with a hash that both have."""
+        a, b = open_runs(free_item, n), open_runs(free_text, n)
+        if not len(a) or not len(b):
+            return a[:0], b[:0], None, None
+        hash_a, hash_b = rolling(item, n), rolling(text, n)
+        b = b[np.isin(hash_b[b], hash_a[a])]
+        return (a[np.isin(hash_a[a], hash_b[b])] if len(b) else a[:0]), b, hash_a, hash_b
+
+    most = min(len(item), len(text))
+    while most >= least:
+        low, high = least - 1, most  # the longest match lies in between, or is none
+        while low < high:
+            middle = (low + high + 1) // 2
+            low, high = (middle, high) if len(shared(middle)[1]) else (low, middle - 1)
+        if low < least:
+            break
+        a, b, hash_a, hash_b = shared(low)
+        at: dict[int, deque] = {}
+        for i in a.tolist():
+            at.setdefault(int(hash_a[i]), deque()).append(i)
+        for j in b.tolist():
+            places = at.get(int(hash_b[j]))
+            if not places or not free_text[j : j + low].all():
+                continue
+            while places and not free_item[places[0] : places[0] + low].all():
+                places.popleft()  # what is marked stays so
+            i = next((i for i in places if free_item[i : i + low].all() and np.array_equal(item[i : i + low], text[j : j + low])), None)
+            if i is not None:
+                free_item[i : i + low] = free_text[j : j + low] = False
+                found.append((i, j, low))
+        most = low - 1
     return found
 
 

@@ -169,7 +169,10 @@ def test_targets_stop_at_three_times_the_size():
     assert mixing.targets([10, 100, 100], [1, 2, 3], 210) == pytest.approx([30, 72, 108])
 
 
-def test_chat_round_trip(spark):
+@pytest.mark.parametrize("part_bytes, scatter_bytes", [(8 << 20, 1 << 20), (5, 3), (1, 1)])
+def test_chat_round_trip(spark, monkeypatch, part_bytes, scatter_bytes):
+    monkeypatch.setattr(chat, "PART_BYTES", part_bytes)
+    monkeypatch.setattr(chat, "SCATTER_BYTES", scatter_bytes)
     said = [(-8, 0, "a\n#", "####</turn></turn>\\"), (-8, 1, "assistant", "\\\\n### "), (-8, 2, "assistant", None), (-8, 3, None, "é😀###\n"), (-8, 4, "assistant", "</turn"), (-8, 5, "assistant", ">x #"), (1, None, "user", "x"), (None, 0, "assistant", "y"), (1, None, "user", "x")]
     df = spark.createDataFrame(said, "conv_id long, turn long, role string, text string").withColumn("part", F.lit(3))
     got = {r.conv_id: r for r in chat.read_back(chat.render(df)).collect()}
