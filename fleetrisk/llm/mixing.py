@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from .common import texts
 
 WORD = r"[^\x20\x09-\x0D]+"
+SPACED = r"([^\x20\x09-\x0D]+[\x20\x09-\x0D]*)"  # words with the white space that follows them
 BLOCK_WORDS = 256
 SHARDS = 64
 BUCKET_ROWS = 2000
@@ -79,16 +80,35 @@ def permuted(index: np.ndarray, n: int, key: int) -> np.ndarray:
     return x.astype(np.int64)
 
 
+def univariate(rng, good: int, bad: int, draw: int) -> int:
+    """How many of ``draw`` blocks are among the ``good`` ones, by inversion of the hypergeometric law, at any size.
+
+    Weights follow from the mode outwards by the exact ratios of neighbouring terms. Beyond ten standard deviations they
+    are below what a double of the sum can hold, so nothing is left out that could be drawn.
+    """
+    total = good + bad
+    low, high = max(0, draw - bad), min(draw, good)
+    if low == high:
+        return low
+    mode = min(high, max(low, (draw + 1) * (good + 1) // (total + 2)))
+    spread = (draw * good / total * (bad / total) * ((total - draw) / max(1, total - 1))) ** 0.5
+    reach = int(10 * spread) + 60
+    first, last = max(low, mode - reach), min(high, mode + reach)
+    # ratio of the terms k + 1 and k: (good - k)(draw - k) / ((k + 1)(bad - draw + k + 1))
+    k = np.arange(first, last, dtype=np.float64)
+    steps = np.log((good - k) / (k + 1)) + np.log((draw - k) / (bad - draw + k + 1))
+    logs = np.concatenate([[0.0], np.cumsum(steps)])
+    weights = np.cumsum(np.exp(logs - logs.max()))
+    return first + int(np.searchsorted(weights, rng.random() * weights[-1], "right"))
+
+
 def hypergeometric(rng, counts: np.ndarray, draw: int) -> np.ndarray:
-    """One multivariate-hypergeometric draw; where the library's range of 10^9 ends, each step is drawn from the normal law."""
-    if counts.sum() < 10**9:
-        return rng.multivariate_hypergeometric(counts, draw, method="marginals")
+    """One multivariate-hypergeometric draw, as a chain of marginal ones."""
     out, left = np.zeros_like(counts), int(counts.sum())
     for i, c in enumerate(map(int, counts)):
-        p = c / left if left else 0.0
-        sd = (draw * p * (1 - p) * (left - draw) / max(1, left - 1)) ** 0.5
-        out[i] = min(c, draw, max(0, draw - (left - c), round(rng.normal(draw * p, sd))))
-        draw, left = draw - int(out[i]), left - c
+        left -= c
+        out[i] = univariate(rng, c, left, draw)
+        draw -= int(out[i])
     return out
 
 
@@ -195,6 +215,29 @@ def plan(docs: DataFrame, weights=(1, 2, 3), share: float = 1.0, cap: float = 3.
     return placed.mapInArrow(run, f"doc_id long, digest long, size long, source_size long, target double, taken long, pieces {PIECES}")
 
 
+def shards(docs: DataFrame, **options) -> DataFrame:
+    """``shard, order, doc_id, source, epoch, first, text``: what each output shard holds, a row for each block's part of a document.
+
+    The quotas of the splitting tree say how many blocks of each source a shard has; the blocks are disjoint draws from
+    the source's permutation, and ``order`` is their place in the shard, the parts of a block one after the other.
+    Rows that repeat an id and text share one plan.
+    """
+    chosen = plan(docs, **options).where("taken > 0").groupBy("doc_id", "digest").agg(F.first("pieces").alias("pieces"))
+    full = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("source").cast("string").alias("source")).withColumn("digest", F.xxhash64(F.coalesce("text", F.lit(""))))
+    joined = full.join(chosen.withColumnRenamed("doc_id", "id").withColumnRenamed("digest", "d"), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("digest") == F.col("d")))
+    spaced = F.regexp_extract_all("text", F.lit(SPACED), F.lit(1))
+    parts = joined.select("doc_id", "source", spaced.alias("words"), F.explode("pieces").alias("p"))
+    cut = F.array_join(F.slice("words", (F.col("p.first") + 1).cast("int"), F.col("p.words").cast("int")), "")
+    return parts.select("p.shard", "p.order", "doc_id", "source", "p.epoch", "p.first", cut.alias("text"))
+
+
+def write(docs: DataFrame, path: str, **options) -> None:
+    """The shards as Parquet below ``path``, a folder each, in shuffled order."""
+    rows = shards(docs, **options)
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows.repartitionByRange(n, "shard", "order").sortWithinPartitions("shard", "order", "doc_id", "first").write.partitionBy("shard").parquet(path)
+
+
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The mixed corpus with the columns ``doc_id, text, lang, source, n_chars``: a row for each document and time it is taken.
 
@@ -208,7 +251,7 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     drawn = epochs.withColumn("drawn", F.filter("pieces", lambda p: p["epoch"] == F.col("epoch")))
     words = F.aggregate("drawn", F.lit(0).cast("long"), lambda a, p: a + p["words"])
     # words with the white space that follows them; a piece is a slice of that list
-    spaced = F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+[\x20\x09-\x0D]*)"), F.lit(1))
+    spaced = F.regexp_extract_all("text", F.lit(SPACED), F.lit(1))
     part = F.array_join(F.flatten(F.transform(F.array_sort(F.transform("drawn", lambda p: F.struct(p["first"].alias("first"), p["words"].alias("words")))), lambda p: F.slice(spaced, (p["first"] + 1).cast("int"), p["words"].cast("int")))), "")
     text = F.when(words == F.col("size"), F.col("text")).otherwise(part)
     return drawn.select("doc_id", text.alias("text"), "lang", "source").withColumn("n_chars", F.length("text").cast("long"))
