@@ -3,7 +3,8 @@
 Outcomes of labelled pages are counted by host, registered domain and suffix. Each level is a beta-binomial whose
 prior mean is its parent's posterior mean and whose prior strength is fitted by moments from how far the level's rates
 scatter about their parents: little seen hosts lean on their domain, little seen domains on their suffix. A host is
-blocked where the lower bound of its posterior is above the cut.
+blocked where the lower bound of its posterior is above the cut: the rate of all pages, unless the caller states one, so
+that a host is blocked which is worse than the others beyond doubt, whatever outcome is counted.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from .common import checkpointed
 TWO_LABELS = ["ac.uk", "co.in", "co.jp", "co.kr", "co.nz", "co.uk", "co.za", "com.ar", "com.au", "com.br", "com.cn", "com.mx", "com.tr", "gov.uk", "net.au", "or.jp", "org.au", "org.uk"]
 NOISE = r"(?:[%#*$!|]{2,}|(?:&amp;){2,}| \| )"
 BOUND_Z = 1.645  # one-sided 95 %
-CUT = 0.5
+ADDRESS = r"^(\d{1,3}(\.\d{1,3}){3}|\[.*\])(:\d*)?$"
 
 
 def host_of(url: Column) -> Column:
@@ -50,14 +51,23 @@ def noisy(html: Column) -> Column:
     return (F.regexp_count(text, F.lit(NOISE)) * 20 >= F.regexp_count(text, F.lit(r"\S+")) + 1).cast("int")
 
 
-def suffix_of(host: Column) -> Column:
-    two = F.substring_index(host, ".", -2)
-    return F.when(two.isin(TWO_LABELS), two).otherwise(F.substring_index(host, ".", -1))
+def _named(host: Column) -> Column:
+    """The host without a port and a final dot."""
+    return F.regexp_replace(host, r"\.?(:\d*)?$", "")
 
 
-def domain_of(host: Column) -> Column:
-    two = F.substring_index(host, ".", -2)
-    return F.when(two.isin(TWO_LABELS), F.substring_index(host, ".", -3)).otherwise(two)
+def suffix_of(host: Column, two_labels: list[str] = TWO_LABELS) -> Column:
+    """The public suffix; addresses have one in common."""
+    name = _named(host)
+    two = F.substring_index(name, ".", -2)
+    return F.when(host.rlike(ADDRESS), "address").when(two.isin(two_labels), two).otherwise(F.substring_index(name, ".", -1))
+
+
+def domain_of(host: Column, two_labels: list[str] = TWO_LABELS) -> Column:
+    """The registered domain: a label more than the suffix; an address is its own."""
+    name = _named(host)
+    two = F.substring_index(name, ".", -2)
+    return F.when(host.rlike(ADDRESS), name).when(two.isin(two_labels), F.substring_index(name, ".", -3)).otherwise(two)
 
 
 def strength(groups: DataFrame) -> float:
@@ -71,7 +81,8 @@ def strength(groups: DataFrame) -> float:
 
 
 def reputations(outcomes: DataFrame, z: float = BOUND_Z) -> DataFrame:
-    """``host, n, k, rate, low``: posterior mean and lower bound of the bad share, from ``outcomes(host, bad)``.
+    """``host, n, k, rate, low, base``: posterior mean and lower bound of the bad share, from ``outcomes(host, bad)``, and
+    the rate of all outcomes.
 
     Outcomes are summed by host before anything is shuffled twice, so a host with a third of all pages is one sum for
     each task. Parents are sums of their children. Only the strengths of the three priors reach the driver. Null
@@ -93,18 +104,21 @@ def reputations(outcomes: DataFrame, z: float = BOUND_Z) -> DataFrame:
     of_domain = settled(domains.join(of_suffix, "suffix"), "domain").select("domain", F.col("rate").alias("parent_rate"))
     of_host = settled(hosts.join(of_domain, "domain"), "host")
     low = F.greatest(F.lit(0.0), F.col("rate") - z * F.sqrt(F.col("rate") * (1 - F.col("rate")) / (F.col("weight") + 1)))
-    return of_host.select("host", "n", "k", "rate", low.alias("low"))
+    return of_host.select("host", "n", "k", "rate", low.alias("low"), F.lit(top).alias("base"))
 
 
-def judge(pages: DataFrame, rules: list[tuple[str, str, str]], cut: float = CUT, z: float = BOUND_Z) -> DataFrame:
+def judge(pages: DataFrame, rules: list[tuple[str, str, str]], cut: float | None = None, z: float = BOUND_Z, outcomes: DataFrame | None = None) -> DataFrame:
     """``page_id, host, path, rule, verdict, bad_rate, bad_low`` for every row of ``pages``.
 
-    A rule's action holds; without one a page is blocked if its host's bound is above ``cut``. Urls that are null or
-    lack ``://`` have empty host and path, fit no rule and are allowed. Empty tables give empty results.
+    A rule's action holds; without one a page is blocked if its host's bound is above ``cut`` (default: the rate of all
+    pages). ``outcomes(host, bad)`` come from the caller, else from marks in the pages themselves. Urls that are null or
+    lack ``://`` have empty host and path, fit no rule and are allowed; repeated rows count as often as they come, other
+    columns of ``pages`` are not read. Empty tables give empty results.
     """
-    seen = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), noisy(F.col("html")).alias("bad"))
-    known = reputations(seen.select("host", "bad"), z).select("host", F.col("rate").alias("bad_rate"), F.col("low").alias("bad_low"))
+    if outcomes is None:
+        outcomes = pages.select(host_of(F.col("url")).alias("host"), noisy(F.col("html")).alias("bad"))
+    known = reputations(outcomes, z).select("host", F.col("rate").alias("bad_rate"), F.col("low").alias("bad_low"), "base")
     urls = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     ruled = urls.withColumn("fit", longest_rule(F.col("host"), F.col("path"), rules)).join(known, "host", "left")
-    verdict = F.coalesce(F.col("fit.action"), F.when(F.col("bad_low") > cut, "block").otherwise("allow"))
+    verdict = F.coalesce(F.col("fit.action"), F.when(F.col("bad_low") > (F.col("base") if cut is None else F.lit(cut)), "block").otherwise("allow"))
     return ruled.select("page_id", "host", "path", F.col("fit.rule").alias("rule"), verdict.alias("verdict"), "bad_rate", "bad_low")
