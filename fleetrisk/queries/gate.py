@@ -214,6 +214,11 @@ def _norm_sql(body: str) -> str:
 EVAL_COLUMNS = (
     [f"{p}_{s}" for p in ("cve", "model", "aibom") for s in SEV] + [f"drift_{s}" for s in SEV]
 )
+EVALUATE_BODY = (
+    f"SELECT artifact_id, {VERDICT_SQL} AS verdict, CAST({RISK_SQL} AS INTEGER) AS risk_score, enforced AS enforced_violations, "
+    f"waivedn AS waived_violations, malware_status, secrets_status, signature_verified, provenance_checked, aibom_generated, "
+    f"{', '.join(EVAL_COLUMNS)}, CASE WHEN enforced=0 THEN 0 WHEN crit>0 THEN 3 ELSE 2 END AS exit_code FROM j"
+)
 
 ORACLES = {
     "severity_normalize": _norm_sql("SELECT ord, severity FROM n"),
@@ -287,9 +292,5 @@ ORACLES = {
     "scan_exit": _gate_sql(
         f"SELECT artifact_id, {VERDICT_SQL} AS verdict, CASE WHEN enforced=0 THEN 0 WHEN crit>0 THEN 3 ELSE 2 END AS exit_code FROM j"
     ),
-    "gate_evaluate": _gate_sql(
-        f"SELECT artifact_id, {VERDICT_SQL} AS verdict, CAST({RISK_SQL} AS INTEGER) AS risk_score, enforced AS enforced_violations, "
-        f"waivedn AS waived_violations, malware_status, secrets_status, signature_verified, provenance_checked, aibom_generated, "
-        f"{', '.join(EVAL_COLUMNS)}, CASE WHEN enforced=0 THEN 0 WHEN crit>0 THEN 3 ELSE 2 END AS exit_code FROM j"
-    ),
+    "gate_evaluate": _gate_sql(EVALUATE_BODY),
 }
