@@ -85,4 +85,4 @@ def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_suffix_array_dedup, op2_paragraph_sketch, op3_token_packing, op4_source_mixing, op5_chat_format, op6_quality_classifier, op7_decontamination, op8_simhash_golay, op9_host_reputation, op10_secret_scan, op11_collocations, op12_source_divergence, op13_exact_dedup)}
-ORACLES: dict[str, str] = {"op11_collocations": oracles.OP11, "op12_source_divergence": oracles.OP12, "op13_exact_dedup": oracles.OP13}
+ORACLES: dict[str, str] = {"op5_chat_format": oracles.OP5, "op11_collocations": oracles.OP11, "op12_source_divergence": oracles.OP12, "op13_exact_dedup": oracles.OP13}
