@@ -23,7 +23,7 @@ from .common import arrow_binary, checkpointed, tidy
 LENGTH = 100
 GRAM = 28
 WARM, HOT = 2000, 100_000  # occurrences from which windows meet in eights, and one by one
-TEXT_AT_ONCE = 2 << 20
+TEXT_AT_ONCE = 1 << 20
 COMBINE_BYTES = 64 << 20  # snippets of a task among which equal ones are combined before the shuffle
 GROUP_BYTES = 1 << 20  # snippet bytes of whole groups that are sorted together
 LAST = (1 << 63) - 1
