@@ -15,6 +15,7 @@ SMALL = "/root/testdata/sf0.001"
 SAMPLE = [
     "tally", "cap_top500", "merge_findings", "gate_evaluate", "gate_waivers", "dominant_dtype", "component_set", "drift_param_count",
     "detect_config_flags", "detect_archive", "license_resolve", "ingest_dispatch", "bom_read_cyclonedx", "sidecar_card", "tree_digest",
+    "inspect_ranges", "range_digests", "bom_read_ranges", "emit_sarif_stream", "scan_fleet", "human_count", "hyperparameters", "coverage_report",
     "verify_files", "manifest_verify", "coverage_cisa2026", "control_status", "publisher_scope", "fetch_plan", "signature_discovery",
 ]
 pytestmark = pytest.mark.skipif(not Path(SMALL).is_dir(), reason="the given tables are not here")
