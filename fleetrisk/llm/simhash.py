@@ -7,10 +7,11 @@ bit of it, at most six. Two segments within two bits have a word in the middle,
 word. Every fingerprint therefore meets every other within four bits under a pair of codewords; the meeting is
 verified by the true distance.
 
-``similar_groups`` finds looser copies, by the similarity of their word shingles. A hash function has the same least
-value over two sets with the probability of their similarity, wherever the texts differ: texts meet where all
-``BAND_HASHES`` of one of ``BANDS`` bands are equal, one bit of each function weeds out chance, and every pair that is left
-is verified by the exact similarity of the shingle sets.
+``similar_groups`` finds copies by the similarity of their word shingles. SimHash fingerprints of the shingle sets meet
+by the same codewords, all pairs within four bits. Looser copies have fingerprints further apart, so texts meet by least
+hashes too: a hash function has the same least value over two sets with the probability of their similarity, wherever
+the texts differ. Texts meet where all ``BAND_HASHES`` of one of ``BANDS`` bands are equal, one bit of each function weeds
+out chance. Every pair that meets either way is verified by the exact similarity of the shingle sets.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ from .common import checkpointed, components, joined, texts, tidy
 GENERATOR = 0b110001110101  # of the (23, 12) Golay code
 SEGMENTS = ((0, 22), (22, 21), (43, 21))  # first bit and width
 RUN_ROWS = 4096  # rows of one bucket that are compared at once; longer buckets are compared in pairs of such chunks
+DISTANCE = 4  # bits in which the fingerprints of candidates may differ, all of which the codewords find
 SLICE = 1 << 16  # shingle hashes that are counted at once
 BANDS, BAND_HASHES = 40, 6  # a pair of similarity s meets in none with probability (1 - s ** 6) ** 40: 0.8 gives 0.000005
 HASHES = 256  # hash functions; the bands take the first 240, the sketch one bit of each
@@ -342,12 +344,14 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -
     """``doc_id, component_id`` for every row of ``docs``: groups of near copies.
 
     Two texts are linked if the sets of their ``shingle``-word shingles have ``similarity`` (a shorter text is one
-    shingle; texts without words are equal). The fingerprints of ``near_duplicates`` have no part in it: a line that is
-    repeated often decides all their bits, in texts that share nothing else. Texts of the same words are one node, so
-    large groups of copies add no pairs. ``component_id`` is the smallest doc_id that links reach; rows without doc_id
-    belong to the group of their text and never name one. Null texts are empty, repeated rows stay, an empty table gives
-    an empty result. Candidates come from least hashes of the same sets, so a pair of similarity 0.8 is missed with
-    probability 0.000005 and closer ones less; for a ``similarity`` below 0.8 more are missed. What is found is exact.
+    shingle; texts without words are equal). Texts of the same words are one node, so large groups of copies add no
+    pairs. ``component_id`` is the smallest doc_id that links reach; rows without doc_id belong to the group of their text
+    and never name one. Null texts are empty, repeated rows stay, an empty table gives an empty result.
+
+    Candidates are all pairs whose SimHash fingerprints differ in at most four bits, and pairs that least hashes of the
+    same sets add, so a pair of similarity 0.8 is missed with probability 0.000005 at most and closer ones less; for a
+    ``similarity`` below 0.8 more are missed. What is found is exact. The fingerprint is the majority over the set, each
+    shingle once: in that of ``near_duplicates``, which counts repeats, a line that is repeated often decides all bits.
     """
 
     def mark(batches):
@@ -359,18 +363,24 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -
             for t in batch.column(1):
                 words = words_of(t.as_py())
                 line = xxhash.xxh3_128_intdigest(b" ".join(words))
-                sketch, of_bands = bands_of(least_hashes(np.unique(hashes(words, shingle, 0))))
-                made.append((line >> 64, line & (1 << 64) - 1, *sketch.tolist()))
+                found = np.unique(hashes(words, shingle, 0))
+                sketch, of_bands = bands_of(least_hashes(found))
+                made.append((line >> 64, line & (1 << 64) - 1, majority(found), *sketch.tolist()))
                 keys.append(of_bands.tobytes())
-            columns = np.array(made, np.uint64).reshape(-1, 6).view(np.int64).T.copy()
-            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, columns), pa.array(keys, pa.binary())], ["doc_id", "d1", "d2", *names, "bands"])
+            columns = np.array(made, np.uint64).reshape(-1, 7).view(np.int64).T.copy()
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, columns), pa.array(keys, pa.binary())], ["doc_id", "d1", "d2", "bits", *names, "bands"])
 
     names = [f"s{i}" for i in range(HASHES // 64)]
     own = texts(docs)
-    sketches = own.mapInArrow(tidy(mark), f"doc_id long, d1 long, d2 long, {', '.join(f'{c} long' for c in names)}, bands binary")
+    sketches = own.mapInArrow(tidy(mark), f"doc_id long, d1 long, d2 long, bits long, {', '.join(f'{c} long' for c in names)}, bands binary")
     marked = checkpointed(sketches)
-    distinct = checkpointed(marked.groupBy("d1", "d2").agg(F.min("doc_id").alias("node"), *[F.first(c).alias(c) for c in (*names, "bands")]))
-    candidates = checkpointed(components(links(distinct.where("node is not null").drop("d1", "d2"), SKETCH_BITS, "bands")))
+    distinct = checkpointed(marked.groupBy("d1", "d2").agg(F.min("doc_id").alias("node"), *[F.first(c).alias(c) for c in ("bits", *names, "bands")]))
+    nodes = distinct.where("node is not null")
+    lowest = checkpointed(nodes.groupBy("bits").agg(F.min("node").alias("node")))
+    equal = nodes.select("bits", F.col("node").alias("a")).join(lowest.withColumnRenamed("node", "b"), "bits").where("a <> b").select("a", "b")
+    near = links(lowest, DISTANCE)
+    looser = links(nodes.select("node", *names, "bands"), SKETCH_BITS, "bands")
+    candidates = checkpointed(components(near.union(equal).union(looser)))
     found = components(verified(own.where("doc_id is not null"), candidates, shingle, similarity))
     named = distinct.join(found, "node", "left").select("d1", "d2", F.coalesce("component", "node").alias("component_id"))
     return marked.join(named, ["d1", "d2"]).select("doc_id", "component_id")

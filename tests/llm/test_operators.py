@@ -336,6 +336,18 @@ def test_unlike_texts_with_a_repeated_line_stay_apart(spark):
     assert {tuple(r) for r in simhash.similar_groups(df).collect()} == {(0, 0), (1, 1)}
 
 
+def test_fingerprints_within_four_bits_are_candidates_without_least_hashes(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "bands_of", lambda least, old=simhash.bands_of: (old(least)[0], least[: simhash.BANDS]))
+    monkeypatch.setattr(simhash, "least_hashes", lambda found: np.random.default_rng([len(found), int(found[0])]).integers(0, 1 << 63, simhash.HASHES, np.uint64))
+    base = ["w%d" % i for i in range(400)]
+    far = ["v%d" % i for i in range(400)]
+    texts = [" ".join(base), " ".join([*base[:-1], "other"]), " ".join(far), " ".join(["first", *far[1:]])]
+    prints = [simhash.majority(np.unique(simhash.hashes(simhash.words_of(t), 5, 0))) for t in texts]
+    assert all((prints[i] ^ prints[i + 1]).bit_count() <= simhash.DISTANCE for i in (0, 2))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {tuple(r) for r in simhash.similar_groups(df).collect()} == {(0, 0), (1, 0), (2, 2), (3, 2)}
+
+
 def test_copies_with_a_passage_appended_or_replaced_are_found(spark):
     rng = random.Random(6)
     words = lambda n: ["w%d" % rng.randrange(20000) for _ in range(n)]
