@@ -46,10 +46,14 @@ def natural_order(catalogue: DataFrame) -> DataFrame:
 
 def catalog_coverage(catalogue: DataFrame) -> DataFrame:
     """Totals by automation level per framework and function; NULL function is the framework total."""
-    return catalogue.rollup("framework", "function").agg(
+    rows = catalogue.filter("framework IS NOT NULL")
+    counts = [
         F.count(F.lit(1)).cast("int").alias("total"),
         *[F.count_if(F.col("automation") == a).cast("int").alias(a.lower()) for a in ("Full", "Partial", "None")],
-    ).filter("framework IS NOT NULL")
+    ]
+    # two aggregates, each with its own groups in memory; a rollup holds three rows for each given one in one table
+    totals = rows.groupBy("framework").agg(*counts).withColumn("function", F.lit(None).cast("string"))
+    return rows.groupBy("framework", "function").agg(*counts).unionByName(totals)
 
 
 def observed_kinds() -> Column:

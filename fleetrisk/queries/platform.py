@@ -85,7 +85,7 @@ def _statuses(s, d):
 
 def _artifact_frameworks(s, d):
     """Each artifact's own catalogue: every control with the artifact's function counts."""
-    evidence = T.read(s, d, T.EVIDENCE)
+    evidence = T.spread(T.read(s, d, T.EVIDENCE), "artifact_id")
     return C.control_status(evidence, K.SP_800_53).select("artifact_id", "control_id", "function", "automation")
 
 

@@ -38,3 +38,12 @@ def test_ranges_do_not_carry_the_whole_content(spark):
     got = sorted((r.path, r.offset, bytes(r.before), bytes(r.content)) for r in cut.collect())
     assert got == sorted([("f", o, whole[max(0, o - 30) : o], whole[o : o + 100]) for o in range(0, 1280, 100)] + [("none", 0, b"", b"")])
     assert "transform(" in [line for line in plan(cut).splitlines() if "Generate" in line][0]
+
+
+def test_totals_of_frameworks_do_not_triple_the_rows(spark):
+    rows = [("a", "f", "Full"), ("a", "g", "None"), ("a", None, "Partial"), ("b", "f", None), (None, "f", "Full")]
+    got = compliance.catalog_coverage(spark.createDataFrame(rows, "framework string, function string, automation string"))
+    assert "Expand" not in plan(got)
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, [
+        ("a", "f", 1, 1, 0, 0), ("a", "g", 1, 0, 0, 1), ("a", None, 1, 0, 1, 0), ("a", None, 3, 1, 1, 1), ("b", "f", 1, 0, 0, 0), ("b", None, 1, 0, 0, 0),
+    ]))
