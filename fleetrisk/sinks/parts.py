@@ -71,6 +71,13 @@ def nodes(rows: DataFrame, section: str, order: Column, tie: Column, json: Colum
     )
 
 
+def several(rows: DataFrame, order: Column, tie: Column, **json: Column) -> DataFrame:
+    """Nodes of several sections, named by the keywords, from each row: the rows are made once for all of them."""
+    made = rows.select("artifact_id", order.cast("bigint").alias("ord"), tie.cast("string").alias("tie"), *[j.alias(f"_{s}") for s, j in json.items()])
+    each = F.array(*[F.struct(F.lit(s).alias("section"), F.col(f"_{s}").alias("json")) for s in json])
+    return made.select("artifact_id", "ord", "tie", F.inline(each)).select(*NODE_COLUMNS)
+
+
 def large_artifacts(parts: DataFrame, limit: int) -> DataFrame:
     """Artifacts with more nodes than one text should hold. Counts keys only; no JSON is built for it."""
     return parts.groupBy("artifact_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > limit).select("artifact_id")
@@ -78,11 +85,15 @@ def large_artifacts(parts: DataFrame, limit: int) -> DataFrame:
 
 def gather(parts: DataFrame, sections: list[str]) -> DataFrame:
     """One row per artifact with an ordered array of JSON values per section. Only for bounded documents."""
-    item = F.struct("ord", "tie", "json")
-    collected = parts.groupBy("artifact_id").agg(
-        *[F.sort_array(F.collect_list(F.when(F.col("section") == s, item))).alias(s) for s in sections]
-    )
-    return collected.select("artifact_id", *[F.transform(s, lambda n: n["json"]).alias(s) for s in sections])
+    place = F.array_position(F.array(*map(F.lit, sections)), F.col("section")).cast("int").alias("place")
+    item = F.struct(place, "ord", "tie", "json")
+    # one list for all sections: a list of each would be carried and sorted by itself
+    collected = parts.groupBy("artifact_id").agg(F.sort_array(F.collect_list(item)).alias("_nodes"))
+
+    def of(number: int) -> Column:
+        return F.transform(F.filter("_nodes", lambda n: n["place"] == number), lambda n: n["json"])
+
+    return collected.select("artifact_id", *[of(i).alias(s) for i, s in enumerate(sections, 1)])
 
 
 def assembled(heads: DataFrame, parts: DataFrame, sections: list[str], document: Column, limit: int | None = None) -> DataFrame:

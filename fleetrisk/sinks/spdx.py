@@ -73,16 +73,12 @@ def spdx_nodes(
     )
     file_node = _node("software_File", c("_id"), name=c("path"), verifiedUsing=_hashes())
     contains = _relation(F.concat(F.lit("rel-file-"), "_local"), "contains", F.to_json(F.array("_id")))
-    result = J.nodes(others, "files", F.lit(0), c("path"), file_node).unionByName(
-        J.nodes(others, "rel_files", F.lit(0), c("path"), contains)
-    )
+    result = J.several(others, F.lit(0), c("path"), files=file_node, rel_files=contains)
 
     def named(rows: DataFrame, section: str, ids: str, label: str, node: Column) -> DataFrame:
         node_id = F.concat("_ns", F.lit(f"#{label}-"), S.slug(c("name")), F.lit("-"), c("ord").cast("string"))
         joined = rows.join(facts, "artifact_id").withColumn("_id", node_id)
-        return J.nodes(joined, section, c("ord"), c("name"), node).unionByName(
-            J.nodes(joined, ids, c("ord"), c("name"), J.quoted(c("_id")))
-        )
+        return J.several(joined, c("ord"), c("name"), **{section: node, ids: J.quoted(c("_id"))})
 
     nowhere = F.lit("NOASSERTION")
     dataset = _node(

@@ -47,3 +47,21 @@ def test_totals_of_frameworks_do_not_triple_the_rows(spark):
     assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, [
         ("a", "f", 1, 1, 0, 0), ("a", "g", 1, 0, 0, 1), ("a", None, 1, 0, 1, 0), ("a", None, 3, 1, 1, 1), ("b", "f", 1, 0, 0, 0), ("b", None, 1, 0, 0, 0),
     ]))
+
+
+def test_nodes_of_two_sections_are_made_by_one_join(spark):
+    profiles = spark.createDataFrame([("m", "n", "ab")], "artifact_id string, name string, primary_sha256 string")
+    files = spark.createDataFrame([("m", "f", "shard", "", "", "")], "artifact_id string, path string, role string, sha256 string, sha384 string, sha512 string")
+    datasets = spark.createDataFrame([("m", 1, "d")], "artifact_id string, ord long, name string")
+    findings = spark.createDataFrame([("m", 1, "i", "t", "High")], "artifact_id string, ord long, id string, title string, severity string")
+    nodes = spdx.spdx_nodes(profiles, files, datasets, findings)
+    assert plan(nodes).count("Join") == 2
+    assert sorted(r.section for r in nodes.collect()) == ["dataset_ids", "datasets", "files", "limitations", "rel_files"]
+
+
+def test_one_list_for_all_sections(spark):
+    made = [("m", "b", 2, "x", "3"), ("m", "a", 2, "x", "2"), ("m", "a", 1, "z", "1"), ("m", "a", 2, "y", None), ("k", "other", 0, "", "9")]
+    rows = spark.createDataFrame(made, "artifact_id string, section string, ord long, tie string, json string")
+    got = parts.gather(rows, ["a", "b"])
+    assert plan(got).count("collect_list") == 1
+    assert {r.artifact_id: (r.a, r.b) for r in got.collect()} == {"m": (["1", "2", None], ["3"]), "k": ([], [])}
