@@ -14,6 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from . import parts as J
 
 PIECES = "artifact_id string, slot int, separator string, text string"
@@ -37,6 +38,7 @@ def pieces(heads: DataFrame, nodes: DataFrame, sections: list[Section], document
     that occur meet in a row.
     """
     mark = uuid.uuid4().hex
+    nodes = cut_lineage(nodes)  # read for the names, the borders of the sort and the text; made once
     names = [s.name for s in sections]
     present = nodes.groupBy("artifact_id").agg(F.collect_set("section").alias("_present"))
     rows = heads.join(present, "artifact_id", "left")
@@ -201,8 +203,8 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(INDEX).json(f"{_uri(path)}/index")
 
 
-def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """``artifact_id, document`` of documents that fit a row."""
+def read_documents(spark: SparkSession, path: str, at_once: int = 1 << 20) -> DataFrame:
+    """``artifact_id, document`` of documents that fit a row; rows leave a task together up to ``at_once`` bytes."""
     uri = _uri(path)
 
     def run(batches):
@@ -210,14 +212,32 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
         from pyarrow import fs
 
         system, base = fs.FileSystem.from_uri(uri)
+        name = handle = None
+
+        def out(artifacts, texts):
+            return pa.RecordBatch.from_arrays([pa.array(artifacts, pa.string()), pa.array(texts, pa.string())], ["artifact_id", "document"])
+
         for batch in batches:
+            artifacts, texts, size = [], [], 0
             for artifact, parts in zip(*(c.to_pylist() for c in batch.columns)):
                 text = b""
                 for part in parts:
-                    with system.open_input_file(f"{base}/chunks/{part['file']}") as handle:
-                        handle.seek(part["start"])
-                        text += part["before"].encode() + handle.read(part["bytes"])
-                yield pa.RecordBatch.from_arrays([pa.array([artifact]), pa.array([text.decode()])], ["artifact_id", "document"])
+                    if part["file"] != name:  # documents of a file follow each other
+                        if handle is not None:
+                            handle.close()
+                        name, handle = part["file"], system.open_input_file(f"{base}/chunks/{part['file']}")
+                    handle.seek(part["start"])
+                    text += part["before"].encode() + handle.read(part["bytes"])
+                artifacts.append(artifact)
+                texts.append(text.decode())
+                size += len(text)
+                if size > at_once:
+                    yield out(artifacts, texts)
+                    artifacts, texts, size = [], [], 0
+            if artifacts:
+                yield out(artifacts, texts)
+        if handle is not None:
+            handle.close()
 
     return read_index(spark, path).mapInArrow(run, "artifact_id string, document string")
 

@@ -65,3 +65,22 @@ def test_one_list_for_all_sections(spark):
     got = parts.gather(rows, ["a", "b"])
     assert plan(got).count("collect_list") == 1
     assert {r.artifact_id: (r.a, r.b) for r in got.collect()} == {"m": (["1", "2", None], ["3"]), "k": ([], [])}
+
+
+def test_nodes_of_streams_are_made_once(spark, tmp_path):
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    heads = spark.range(40).select(F.concat(F.lit("m"), F.col("id").cast("string")).alias("artifact_id"))
+    rows = heads.select("artifact_id", F.lit("s").alias("section"), F.lit(0).cast("bigint").alias("ord"), F.lit("").alias("tie"), F.lit("1").alias("json"))
+    nodes = rows.mapInArrow(count, "artifact_id string, section string, ord bigint, tie string, json string")
+    text = F.concat(F.lit("["), F.array_join("s", ","), F.lit("]"))
+    streams.write(streams.pieces(heads, nodes, [streams.Section("s")], text), str(tmp_path / "out"))
+    assert made.value == 40
+    for at_once in (1, 10, 1 << 20):
+        got = streams.read_documents(spark, str(tmp_path / "out"), at_once)
+        assert {tuple(r) for r in got.collect()} == {("m%d" % i, "[1]") for i in range(40)}
