@@ -84,3 +84,12 @@ def test_nodes_of_streams_are_made_once(spark, tmp_path):
     for at_once in (1, 10, 1 << 20):
         got = streams.read_documents(spark, str(tmp_path / "out"), at_once)
         assert {tuple(r) for r in got.collect()} == {("m%d" % i, "[1]") for i in range(40)}
+
+
+def test_shards_are_counted_without_a_join(spark):
+    schema = "artifact_id string, path string"
+    index = spark.createDataFrame([("a", "1"), ("a", "1"), ("a", "2"), ("a", None), (None, "1"), ("b", "9")], schema)
+    files = spark.createDataFrame([("a", "1"), ("a", "3"), ("a", None), (None, "1"), ("c", "1")], schema)
+    got = drift.shard_counts(index, files)
+    assert "Join" not in plan(got)
+    assert {tuple(r) for r in got.collect()} == {("a", 3, 1), ("b", 1, 0), (None, 1, 0)}
