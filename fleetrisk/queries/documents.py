@@ -73,7 +73,7 @@ def _report(fmt, reader):
 
 
 def _parsed_documents(s, d):
-    detected = B.bom_detect(T.read(s, d, DOCUMENTS))
+    detected = B.bom_detect(T.spread(T.read(s, d, DOCUMENTS), "doc_id"))
     return detected.filter("error IS NULL")
 
 

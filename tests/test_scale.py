@@ -93,3 +93,10 @@ def test_shards_are_counted_without_a_join(spark):
     got = drift.shard_counts(index, files)
     assert "Join" not in plan(got)
     assert {tuple(r) for r in got.collect()} == {("a", 3, 1), ("b", 1, 0), (None, 1, 0)}
+
+
+def test_documents_of_a_small_table_are_read_by_all_tasks(spark, tmp_path):
+    rows = [(i, "n%d" % i, i % 25) for i in range(200)]
+    spark.createDataFrame(rows, "c_custkey long, c_name string, c_nationkey int").coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
+    found = documents._parsed_documents(spark, str(tmp_path))
+    assert found.rdd.getNumPartitions() >= 4 and found.count() == documents.B.bom_detect(tables.read(spark, str(tmp_path), documents.DOCUMENTS)).filter("error IS NULL").count()
