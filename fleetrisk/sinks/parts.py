@@ -8,6 +8,8 @@ and position, beside a head that is flagged and lacks those lists.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,13 +28,18 @@ def record(**fields: Column) -> Column:
 
 def present(*values: Column) -> Column:
     """Array of the values that are not NULL; NULL instead of an empty one, so that its member is left out."""
-    kept = F.array_compact(F.array(*values))
-    return F.when(F.size(kept) > 0, kept)
+    return _once(F.array_compact(F.array(*values)), lambda kept: F.when(F.size(kept) > 0, kept))
+
+
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, with a value that is made once however often ``use`` names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def members(json_object: Column) -> Column:
     """The members of a JSON object without its braces, or NULL when it has none."""
-    return F.nullif(F.substr(json_object, F.lit(2), F.length(json_object) - 2), F.lit(""))
+    inside = lambda j: F.substr(j, F.lit(2), F.length(j) - 2)
+    return _once(json_object, lambda j: F.when(F.length(j) > 2, inside(j)))
 
 
 def member(name: str, json_value: Column) -> Column:
@@ -47,18 +54,17 @@ def splice(*parts: Column) -> Column:
 
 def non_empty(json: Column) -> Column:
     """NULL instead of an empty object or array, so that its member is left out."""
-    return F.when(~json.isin("{}", "[]"), json)
+    return _once(json, lambda j: F.when(~j.isin("{}", "[]"), j))
 
 
 def joined(json_array: Column) -> Column:
     """JSON array from an array column of JSON values; NULL when it is empty or missing."""
-    return F.when(F.size(json_array) > 0, F.concat(F.lit("["), F.array_join(json_array, ","), F.lit("]")))
+    return _once(json_array, lambda a: F.when(F.size(a) > 0, F.concat(F.lit("["), F.array_join(a, ","), F.lit("]"))))
 
 
 def quoted(value: Column) -> Column:
     """A text as a JSON string."""
-    encoded = F.to_json(F.array(value))
-    return F.substr(encoded, F.lit(2), F.length(encoded) - 2)
+    return _once(F.to_json(F.array(value)), lambda j: F.substr(j, F.lit(2), F.length(j) - 2))
 
 
 def nodes(rows: DataFrame, section: str, order: Column, tie: Column, json: Column) -> DataFrame:

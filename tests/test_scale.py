@@ -1,10 +1,13 @@
 """Work and memory that must not grow faster than the tables: what plans and tasks hold, on rows made here."""
 
+import os
+
 import pyarrow as pa
 from pyspark.sql import functions as F
 
 from fleetrisk.operators import chunked, compliance, drift
 from fleetrisk.queries import documents, tables
+from fleetrisk.session import kept
 from fleetrisk.sinks import parts, spdx, streams
 from fleetrisk.sources import chunks
 
@@ -100,3 +103,20 @@ def test_documents_of_a_small_table_are_read_by_all_tasks(spark, tmp_path):
     spark.createDataFrame(rows, "c_custkey long, c_name string, c_nationkey int").coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
     found = documents._parsed_documents(spark, str(tmp_path))
     assert found.rdd.getNumPartitions() >= 4 and found.count() == documents.B.bom_detect(tables.read(spark, str(tmp_path), documents.DOCUMENTS)).filter("error IS NULL").count()
+
+
+def test_nodes_of_streams_meet_their_heads_in_the_sort_only(spark):
+    heads = spark.createDataFrame([("m",)], "artifact_id string")
+    nodes = spark.createDataFrame([("m", "s", 1, "", "1"), ("gone", "s", 1, "", "1")], "artifact_id string, section string, ord long, tie string, json string")
+    assert "Join" not in plan(streams.pieces(heads, nodes, [streams.Section("s")], F.array_join("s", ",")))
+
+
+def test_kept_rows_are_compressed_and_leave_no_shuffle(spark):
+    blocks = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+    shuffles = lambda: {f.split("/")[-1] for f in blocks.getAllFiles().mkString(" ").split() if "/shuffle_" in f}
+    before = shuffles()
+    rows = spark.range(20000).select((F.col("id") % 50).alias("k"), F.repeat(F.lit("text "), 20).alias("t")).repartition(8, "k")
+    got = kept(rows, "rows")
+    assert shuffles() <= before
+    assert sorted(r.t for r in got.groupBy("k").agg(F.count("t").alias("t")).collect()) == [400] * 50
+    assert sum(os.path.getsize(f.removeprefix("file:")) for f in got.inputFiles()) < 200_000

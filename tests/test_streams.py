@@ -64,6 +64,43 @@ def test_no_documents(spark, tmp_path):
     assert streams.read_documents(spark, str(tmp_path)).count() == 0
 
 
+def on_disk(path):
+    return sum(os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(path) for f in names)
+
+
+def test_chunk_files_are_compressed(spark, tmp_path):
+    profiles, nodes = inputs(spark)
+    want = {r.artifact_id: r.document for r in sarif.emit_sarif(profiles, nodes, NOW).collect()}
+    streams.write(sarif.sarif_pieces(profiles, nodes, NOW), str(tmp_path))
+    assert on_disk(tmp_path / "chunks") < sum(len(t.encode()) for t in want.values()) / 4
+    assert {r.artifact_id: r.document for r in streams.read_documents(spark, str(tmp_path)).collect()} == want
+
+
+@pytest.mark.parametrize("frame", [1, 50, 4096])
+def test_documents_begin_anywhere_in_frames(spark, tmp_path, frame):
+    """In small frames, over several tasks, with nodes that have no head, or no artifact, beside documents without text."""
+    heads = spark.createDataFrame([(f"a{i:02d}",) for i in range(0, 40, 2)] + [(None,)], "artifact_id string").repartition(3)
+    rows = [(f"a{i:02d}", "list", k, "", f'"{i}-{k}é"') for i in range(41) for k in range(0 if i % 5 == 0 else 300 if i in (11, 12) else 7)]
+    nodes = spark.createDataFrame(rows + [(None, "list", 1, "", "0"), ("a02", "list", 9, "", None), ("a02", "other", 9, "", "1")], "artifact_id string, section string, ord long, tie string, json string")
+    document = F.coalesce(J.joined(F.col("list")), F.lit(""))
+    cells = {r.artifact_id: r.document for r in J.assembled(heads, nodes.filter("json is not null"), ["list"], document).collect()}
+    settings = {"spark.sql.shuffle.partitions": "9", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.execution.arrow.maxRecordsPerBatch": "100"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        streams.write(streams.pieces(heads, nodes, [streams.Section("list")], document), str(tmp_path), frame)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert {r.artifact_id: r.document for r in streams.read_documents(spark, str(tmp_path)).collect()} == cells
+    assert cells["a00"] == cells[None] == "" and len(json.loads(cells["a12"])) == 300
+    for r in streams.read_index(spark, str(tmp_path)).collect():
+        out = io.BytesIO()
+        streams.copy_document(str(tmp_path), r.pieces, out, at_once=7)
+        assert out.getvalue().decode() == cells[r.artifact_id]
+
+
 def test_an_aborted_write_leaves_nothing(spark, tmp_path):
     rows = spark.range(0, 4000, 1, 4).select(F.col("id").cast("string").alias("artifact_id"), F.lit(0).alias("slot"), F.lit(0).cast("bigint").alias("ord"), F.lit("").alias("tie"), F.lit("").alias("separator"), F.when(F.col("id") == 3999, F.raise_error(F.lit("stop"))).otherwise("x").cast("string").alias("text"))
     with pytest.raises(Exception, match="stop"):
