@@ -3,11 +3,12 @@
 import os
 
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from fleetrisk.operators import chunked, compliance, drift
 from fleetrisk.queries import documents, tables
-from fleetrisk.session import kept
+from fleetrisk.session import ensure_checkpoint_dir, kept
 from fleetrisk.sinks import parts, spdx, streams
 from fleetrisk.sources import chunks
 
@@ -120,3 +121,19 @@ def test_kept_rows_are_compressed_and_leave_no_shuffle(spark):
     assert shuffles() <= before
     assert sorted(r.t for r in got.groupBy("k").agg(F.count("t").alias("t")).collect()) == [400] * 50
     assert sum(os.path.getsize(f.removeprefix("file:")) for f in got.inputFiles()) < 200_000
+
+
+@pytest.mark.parametrize("name", ["emit_cyclonedx", "emit_spdx"])
+def test_a_stream_of_documents_takes_less_disk_than_their_text(spark, tmp_path, name):
+    n = F.col("id")
+    customer = spark.range(30).select(n.alias("c_custkey"), F.concat(F.lit("c"), n).alias("c_name"), (n % 25).cast("int").alias("c_nationkey"), n.cast("double").alias("c_acctbal"), F.lit("BUILDING").alias("c_mktsegment"))
+    order = [n.alias("o_orderkey"), (n % 29).alias("o_custkey"), F.lit("O").alias("o_orderstatus"), n.cast("double").alias("o_totalprice"), F.lit("2026-01-01").cast("timestamp").alias("o_orderdate"), F.lit("1-URGENT").alias("o_orderpriority")]
+    customer.write.parquet(str(tmp_path / "customer.parquet"))
+    spark.range(3000).select(*order).write.parquet(str(tmp_path / "orders.parquet"))
+    ensure_checkpoint_dir(spark)
+    shared = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+    sizes = lambda: sum(os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(shared) for f in names)
+    before = sizes()
+    got = {tuple(r) for r in documents.QUERIES[f"{name}_stream"](spark, str(tmp_path)).collect()}
+    assert sizes() - before < sum(len(t) for _, t in got) / 4
+    assert len(got) == 30 and got == {tuple(r) for r in documents.QUERIES[name](spark, str(tmp_path)).collect()}
